@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality
+from . import fingerprints, langid, packing, quality, toxicity
 from .common import table
 
 
@@ -19,11 +19,37 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, _remainder(5) != 0)
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "n_words")
+
+
+def op7_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted", "n_clauses")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_language_crf": op3_language_crf,
+    "op7_quartile_digest": op7_quartile_digest,
+    "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_quality_rules": op9_quality_rules,
 }
