@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, packing, quality, toxicity
+from . import fingerprints, langid, packing, quality, toxicity, webarchive
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = webarchive.archive_and_read(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op7_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_language_crf": op3_language_crf,
+    "op6_zip_warc": op6_zip_warc,
     "op7_quartile_digest": op7_quartile_digest,
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_quality_rules": op9_quality_rules,
