@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, packing, quality, toxicity, webarchive
+from . import fingerprints, langid, packing, pitmanyor, quality, toxicity, webarchive
 from .common import table
 
 
@@ -31,6 +31,11 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "n_words")
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pitmanyor.score_texts(table(spark, sf_dir, "documents"), _remainder(7) != 2)
+    return found.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "train_types")
+
+
 def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = webarchive.archive_and_read(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -54,6 +59,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_language_crf": op3_language_crf,
+    "op4_pitman_yor": op4_pitman_yor,
     "op6_zip_warc": op6_zip_warc,
     "op7_quartile_digest": op7_quartile_digest,
     "op8_toxicity_grammar": op8_toxicity_grammar,
