@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, packing, pitmanyor, quality, toxicity, webarchive
+from . import fingerprints, langid, packing, pitmanyor, quality, suffixes, toxicity, webarchive
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_language_crf": op3_language_crf,
@@ -64,4 +68,5 @@ QUERIES = {
     "op7_quartile_digest": op7_quartile_digest,
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
