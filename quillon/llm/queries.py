@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, packing, pitmanyor, quality, suffixes, toxicity, webarchive
+from . import fingerprints, jaccard, langid, packing, pitmanyor, quality, suffixes, toxicity, webarchive
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "train_types")
 
 
+def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = webarchive.archive_and_read(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
@@ -60,10 +64,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_packing": op1_packing,
     "op3_language_crf": op3_language_crf,
     "op4_pitman_yor": op4_pitman_yor,
+    "op5_partenum_join": op5_partenum_join,
     "op6_zip_warc": op6_zip_warc,
     "op7_quartile_digest": op7_quartile_digest,
     "op8_toxicity_grammar": op8_toxicity_grammar,
