@@ -23,8 +23,11 @@ BLOCK = 12 << 20
 LAST_ID = np.int64(2**63 - 1)  # stands for a null id
 
 
-def text_blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """A table of blocks: block, payload (ids, null marks of ids and of texts, lengths, bytes). Written once."""
+def text_blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, level: int = 1) -> DataFrame:
+    """A table of blocks: block, payload (ids, null marks of ids and of texts, lengths, bytes). Written once.
+
+    level is the compression's: a higher one trades CPU time for disk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -38,7 +41,7 @@ def text_blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bloc
             numbers = np.array([LAST_ID if i is None else i for i in ids], "<i8")
             marks = np.array([(i is None) | (t is None) << 1 for i, t in zip(ids, texts, strict=True)], "<u1")
             lengths = np.array([len(t or b"") for t in texts], "<i8")
-            payload = pack(numbers, marks, lengths, np.frombuffer(b"".join(t or b"" for t in texts), np.uint8))
+            payload = pack(numbers, marks, lengths, np.frombuffer(b"".join(t or b"" for t in texts), np.uint8), level=level)
             return pa.RecordBatch.from_arrays([pa.array([base + done], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
         for b in batches:
@@ -115,5 +118,5 @@ def answered(blocks: DataFrame, answers: DataFrame, body, schema: str) -> DataFr
 
 
 def _none(schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     return pa.table({n: pa.array([], kinds[k]) for n, k in (x.split() for x in schema.split(", "))})

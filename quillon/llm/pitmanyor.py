@@ -43,13 +43,13 @@ STRENGTH = (2.0, 2.0, 10.0)  # of the contexts, their parents, the root
 STEPS = 24  # customers seated one by one before waiting times are drawn
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     import zstandard
 
     parts = []
     for a in arrays:
         parts += [struct.pack("<2sxxxxxxq", a.dtype.str[1:].encode(), len(a)), np.ascontiguousarray(a).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:

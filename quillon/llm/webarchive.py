@@ -183,14 +183,15 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 def plan_records(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload, payload_digest and refers_to (null for responses).
 
-    The smallest id of each digest that occurs more than once is joined back; only digests and ids are aggregated, and
-    a digest that many pages share is one row on the small side.
+    The smallest id of each digest that occurs more than once is written first and joined back: only digests and ids
+    are aggregated, and a digest that many pages share is one row. Spark knows that table's size; where it is within
+    spark.sql.autoBroadcastJoinThreshold it is broadcast and the payloads aren't shuffled, else both sides are.
     """
     rows = pages.select(F.col(id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256))
     large = rows.where(F.length("payload") >= min_revisit).select("payload_digest", "page_id")
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id").select("payload_digest", "first_id")
-    joined = rows.join(first, "payload_digest", "left")
+    joined = rows.join(staged(first, "repeated-digests"), "payload_digest", "left")
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
