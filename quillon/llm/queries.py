@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard, langid, packing, pitmanyor, quality, suffixes, toxicity, webarchive
+from . import fingerprints, jaccard, langid, packing, pieces, pitmanyor, quality, suffixes, toxicity, webarchive
 from .common import table
 
 
@@ -24,6 +24,10 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op2_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, _remainder(5) != 0)
@@ -73,6 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": pipeline,
     "op1_packing": op1_packing,
+    "op2_piece_lattice": op2_piece_lattice,
     "op3_language_crf": op3_language_crf,
     "op4_pitman_yor": op4_pitman_yor,
     "op5_partenum_join": op5_partenum_join,
