@@ -14,7 +14,7 @@ as its string is unique to one document, and the doubling ends at the threshold:
 Half strings are named by 64-bit hashes; two strings are taken for equal only if both halves' hashes and the
 representative's agree. Ranks are names, not lexicographic places, which deduplication has no use for.
 
-A block (of up to 12 MB of texts) asks at most once for each distinct string, with its least document id, so a passage
+A block (of about 4 MB of texts) asks at most once for each distinct string, with its least document id, so a passage
 that a third of all documents share is one row a block. Texts are written once and not shuffled.
 
 Defined cases: null and empty texts have no bytes, nothing is removed from texts shorter than the threshold; a null id
@@ -37,6 +37,8 @@ from .common import shuffle_parts, staged
 from .pitmanyor import pack
 
 THRESHOLD = 50
+BLOCK = 4 << 20  # bytes of text; all windows of a block may repeat
+BUCKETS = 8  # a shuffle partition
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -207,13 +209,16 @@ def repeated_bytes(texts: Texts, first: list, second: list, buckets: int, thresh
         lo, hi = upto[starts[bucket]], upto[starts[bucket + 1]]
         flags[lo:hi] = np.unpackbits(bits)[: hi - lo]
     later = texts.ids[runs.doc] > least[which]  # the same string stands in this block under a smaller id
-    n = runs.count
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    hit = flags[np.repeat(upto[which], n) + at] | np.repeat(later, n)
-    begins = (np.repeat(runs.start, n) + at)[hit]
-    change = np.bincount(begins, minlength=len(texts.bytes) + threshold + 1).astype(np.int64)
-    change[threshold:] -= change[:-threshold].copy()
-    return np.cumsum(change)[: len(texts.bytes)] > 0
+    hit = np.zeros(len(texts.bytes) + 1, bool)
+    for lo in range(0, len(which), 1 << 15):  # runs in slices: arrays over all windows would be large
+        n, w = runs.count[lo : lo + (1 << 15)], which[lo : lo + (1 << 15)]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        again = flags[np.repeat(upto[w], n) + at] | np.repeat(later[lo : lo + (1 << 15)], n)
+        hit[(np.repeat(runs.start[lo : lo + (1 << 15)], n) + at)[again]] = True
+    begun = np.cumsum(hit[:-1], dtype=np.int32)
+    removed = begun > 0
+    removed[threshold:] = begun[threshold:] > begun[:-threshold]
+    return removed
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -224,8 +229,8 @@ def _deduplicated(docs: DataFrame, body, schema: str, *, id: str, text: str, thr
     if threshold < 2 or threshold % 2:
         raise ValueError("the threshold is an even number of bytes")
     spark = docs.sparkSession
-    buckets = shuffle_parts(spark)
-    blocks = text_blocks(docs, id=id, text=text)
+    buckets = shuffle_parts(spark) * BUCKETS
+    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK)
 
     def ask_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
