@@ -8,7 +8,9 @@ similar sets share a signature, always. A set signs for its own band and the nex
 
 Steps:
 1. Equal sets form classes; only a class's first document takes part further.
-2. Signatures meet in buckets; a bucket returns its groups of sets that share one (each distinct group once).
+2. Signatures meet in buckets; a bucket returns its groups of sets that share one (each distinct group once). Each set
+   has a sketch of 2,048 parity bits; two sets differ in at least as many elements as their sketches in bits, so groups
+   are split where the sketches prove that no similar pair is lost.
 3. Every set is verified against one partner, the member of its groups that shares most; links make components.
 4. Groups that still span components are verified in blocks: their sets are dealt to tasks for pairs of chunks, where
    all pairs of different components are compared by a matrix product. Candidates are never written as pairs.
@@ -38,6 +40,9 @@ from .pitmanyor import pack
 
 SHINGLE, SIMILAR = 4, (85, 100)
 CHUNK = 400  # sets a chunk in step 4
+BLOCK = 4 << 20
+BUCKETS = 4  # a shuffle partition
+SKETCH = 2048
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -150,7 +155,12 @@ def _reference(block: int, place) -> int:
     return block << PLACE_BITS | place
 
 
-SETS = "ref long, doc_id long, n long, a long, b long"
+SETS = "ref long, doc_id long, n long, a long, b long, sketch binary"
+
+
+def parity_sketch(elements: np.ndarray) -> bytes:
+    """SKETCH bits: bit i is whether an odd number of elements falls on it."""
+    return np.packbits((np.bincount((elements >> np.uint64(20)) % np.uint64(SKETCH), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
 def _classes(blocks: DataFrame, size: int) -> DataFrame:
@@ -161,12 +171,14 @@ def _classes(blocks: DataFrame, size: int) -> DataFrame:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 texts = Texts(payload.as_py())
                 n, keys = np.zeros(len(texts.ids), np.int64), np.zeros((len(texts.ids), 2), np.uint64)
+                sketches: list[bytes | None] = [None] * len(texts.ids)
                 for i, s in shingle_sets(texts, size):
                     n[i] = len(s)
                     if len(s):
                         keys[i] = s.sum(dtype=np.uint64), mix(s ^ _MIX1).sum(dtype=np.uint64)
+                        sketches[i] = parity_sketch(s)
                 refs = _reference(block, np.arange(len(texts.ids), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(refs), texts.id_array(), pa.array(n), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64))], names=["ref", "doc_id", "n", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(refs), texts.id_array(), pa.array(n), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.array(sketches, pa.binary())], names=["ref", "doc_id", "n", "a", "b", "sketch"])
 
     return blocks.mapInArrow(run, SETS)
 
@@ -203,11 +215,11 @@ def _ask_signatures(blocks: DataFrame, chosen: DataFrame, bands: Bands, buckets:
     return answered(blocks, chosen.select("ref", F.shiftright("ref", PLACE_BITS).alias("block")), body, QUESTION)
 
 
-MEMBERS = "gid long, ref long, partner long, shared long"
+GROUPS = "gid long, ref long"
 
 
 def _groups(table: pa.Table) -> pa.Table:
-    """The distinct groups of sets that share a signature of this bucket. partner: the member that shares most."""
+    """The distinct groups of sets that share a signature of this bucket."""
     asked = in_order(table, "block")
     every = np.concatenate([s for _, (s, _) in asked])
     refs = np.concatenate([_reference(block, p.astype(np.int64)) for block, (_, p) in asked])
@@ -215,24 +227,70 @@ def _groups(table: pa.Table) -> pa.Table:
     every, refs = every[order], refs[order]
     starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
     sizes = np.diff(np.append(starts, len(every)))
-    shared = np.repeat(sizes > 1, sizes)
-    refs, sizes = refs[shared], sizes[sizes > 1]
-    empty = pa.table({n: pa.array([], pa.int64()) for n in ("gid", "ref", "partner", "shared")})
+    refs, sizes = refs[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
     if not len(sizes):
-        return empty
-    starts = np.cumsum(sizes) - sizes
+        return pa.table({n: pa.array([], pa.int64()) for n in ("gid", "ref")})
     # A group's name is a hash of its members; equal groups are returned once.
-    name = mix(np.add.reduceat(mix(refs.view(np.uint64) + _MIX1), starts) + sizes.astype(np.uint64))
-    used, where, times = np.unique(refs, return_inverse=True, return_counts=True)
-    count = times[where]
-    best = np.maximum.reduceat(count, starts)
-    lead = np.where(count == np.repeat(best, sizes), refs, np.iinfo(np.int64).max)
-    partner = np.repeat(np.minimum.reduceat(lead, starts), sizes)
+    name = mix(np.add.reduceat(mix(refs.view(np.uint64) + _MIX1), np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
     _, first = np.unique(name, return_index=True)
     keep = np.zeros(len(sizes), bool)
     keep[first] = True
     keep = np.repeat(keep, sizes)
-    return pa.table({"gid": pa.array(np.repeat(name.view(np.int64), sizes)[keep]), "ref": pa.array(refs[keep]), "partner": pa.array(partner[keep]), "shared": pa.array(np.repeat(best, sizes)[keep])})
+    return pa.table({"gid": pa.array(np.repeat(name.view(np.int64), sizes)[keep]), "ref": pa.array(refs[keep])})
+
+
+MEMBERS = "gid long, ref long, partner long, shared long"
+
+
+def _split_groups(num: int, den: int):
+    """Cut groups (a slot holds many) where the sketches allow; partner: the member of most possible links."""
+
+    def near(sketches, n):
+        """Pairs of rows that may be similar: bits by which sketches differ against the Hamming bound of the sizes."""
+        bound = (den - num) * (n[:, None] + n[None, :]) // (den + num)
+        out = np.empty((len(n), len(n)), bool)
+        for lo in range(0, len(n), 64):  # 64 rows against all
+            out[lo : lo + 64] = np.bitwise_count(sketches[lo : lo + 64, None, :] ^ sketches[None, :, :]).sum(2, dtype=np.int64) <= bound[lo : lo + 64]
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        gid, ref, n = (table.column(c).to_numpy() for c in ("gid", "ref", "n"))
+        order = np.lexsort((ref, gid))
+        gid, ref, n = gid[order], ref[order], n[order]
+        raw = table.column("sketch").combine_chunks()
+        raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
+        sketches = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(gid), -1)[order]
+        starts = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+        sizes = np.diff(np.append(starts, len(gid)))
+        pairs = starts[sizes == 2]
+        differ = np.bitwise_count(sketches[pairs] ^ sketches[pairs + 1]).sum(1, dtype=np.int64)
+        pairs = pairs[differ <= (den - num) * (n[pairs] + n[pairs + 1]) // (den + num)]
+        # Of two, each is the other's partner; the least is written as both's.
+        gids, refs = [np.repeat(gid[pairs], 2)], [np.stack([ref[pairs], ref[pairs + 1]], 1).ravel()]
+        partners, shared = [np.repeat(ref[pairs], 2)], [np.ones(2 * len(pairs), np.int64)]
+        for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            close = near(sketches[a : a + m], n[a : a + m])
+            degree = close.sum(1) - 1
+            left = degree > 0
+            while left.any():
+                part = np.zeros(m, bool)
+                part[int(np.argmax(np.where(left, degree, -1)))] = True
+                edge = part
+                while edge.any():
+                    edge = close[edge].any(0) & ~part
+                    part |= edge
+                at = np.flatnonzero(part)
+                left[at] = False
+                lead = at[np.argmax(degree[at])]
+                # Links to the best connected member where they are possible, else to a member's best neighbour.
+                best = np.where(close[at, lead], lead, np.argmax(np.where(close[at] & (np.arange(m) != at[:, None]), degree[None, :], -1), axis=1))
+                gids.append(np.full(len(at), int(mix(np.array([gid[a] ^ int(ref[a + at[0]])], np.int64).view(np.uint64)).view(np.int64)[0])))
+                refs.append(ref[a + at])
+                partners.append(ref[a + best])
+                shared.append(degree[best])
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in (("gid", gids), ("ref", refs), ("partner", partners), ("shared", shared))})
+
+    return run
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -356,13 +414,15 @@ def jaccard_components(
     """doc_id, n_shingles and component_id (least id that links reach) of every document."""
     num, den = similarity
     spark = docs.sparkSession
-    buckets, bands = shuffle_parts(spark), Bands(num, den)
-    blocks = text_blocks(docs, id=id, text=text)
+    buckets, bands = shuffle_parts(spark) * BUCKETS, Bands(num, den)
+    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK)
     sets = staged(_classes(blocks, size), "jaccard-sets")
     # The class's member with the least reference stands for it; equal sets are linked.
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("ref").alias("ref"), F.min(F.coalesce("doc_id", F.lit(int(LAST_ID)))).alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes, "jaccard-classes")
-    members = staged(_ask_signatures(blocks, classes, bands, buckets, size).groupBy("key").applyInArrow(_groups, MEMBERS), "jaccard-groups")
+    groups = staged(_ask_signatures(blocks, classes, bands, buckets, size).groupBy("key").applyInArrow(_groups, GROUPS), "jaccard-groups").distinct()
+    drawn = groups.join(sets.select("ref", "n", "sketch"), "ref").withColumn("slot", F.pmod("gid", F.lit(buckets)))
+    members = staged(drawn.groupBy("slot").applyInArrow(_split_groups(num, den), MEMBERS), "jaccard-members")
 
     chosen = members.where("ref <> partner").groupBy("ref").agg(F.max_by(F.col("partner"), F.struct("shared", -F.col("partner"))).alias("partner"))
     chosen = staged(chosen, "jaccard-partners")
