@@ -151,7 +151,7 @@ def verify_folds(df: DataFrame, fold: str, *, group: str = "group_id", label: st
 
 
 def unique_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("k")).agg(count_if(F.col("k") > 1).alias("violations"))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("times__")).agg(count_if(F.col("times__") > 1).alias("violations"))
 
 
 def single_value(df: DataFrame, column: str) -> DataFrame:

@@ -16,6 +16,11 @@ RECALL = 0.9
 MAX_FPR = 0.15
 
 
+def _known(count: str) -> Column:
+    """A divisor that is null where a class is missing, so that ANSI mode raises nothing."""
+    return F.nullif(F.col(count), F.lit(0))
+
+
 def curve(df: DataFrame, by: list[str], *, label: str = "label_int", score: str = "logit") -> DataFrame:
     """by, score, pos, neg (at the score), tp, fp (at or above it), P, N (of the group)."""
     ties = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label)).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
@@ -34,19 +39,19 @@ def auc() -> Column:
 
 
 def average_precision() -> Column:
-    return _of_classes(F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("P") * F.col("tp") / (F.col("tp") + F.col("fp")))))
+    return _of_classes(F.sum(F.when(F.col("pos") > 0, F.col("pos") / _known("P") * F.col("tp") / (F.col("tp") + F.col("fp")))))
 
 
 def _bracket(recall: float) -> tuple[Column, Column]:
     """The tie group in which the recall is reached, and how far into it."""
-    k0, k1 = (F.col("tp") - F.col("pos")) / F.col("P"), F.col("tp") / F.col("P")
-    return (F.col("pos") > 0) & (k0 <= recall) & (k1 > recall), (recall - k0) / (F.col("pos") / F.col("P"))
+    k0, k1 = (F.col("tp") - F.col("pos")) / _known("P"), F.col("tp") / _known("P")
+    return (F.col("pos") > 0) & (k0 <= recall) & (k1 > recall), (recall - k0) / (F.col("pos") / _known("P"))
 
 
 def fpr_interp(recall: float = RECALL) -> Column:
     """(a) Linear interpolation on the curve; at an exact hit, the larger rate."""
     here, w = _bracket(recall)
-    return _of_classes(F.max(F.when(here, (F.col("fp") - F.col("neg") + w * F.col("neg")) / F.col("N"))))
+    return _of_classes(F.max(F.when(here, (F.col("fp") - F.col("neg") + w * F.col("neg")) / _known("N"))))
 
 
 def ppv_interp(recall: float = RECALL) -> Column:
@@ -68,7 +73,7 @@ def threshold(recall: float = RECALL) -> Column:
 
 def fpr_attainable(recall: float = RECALL) -> Column:
     """(b) Negatives at or above the attainable threshold."""
-    return _of_classes(F.min(F.when(F.col("tp") >= needed(recall), F.col("fp") / F.col("N"))))
+    return _of_classes(F.min(F.when(F.col("tp") >= needed(recall), F.col("fp") / _known("N"))))
 
 
 def ordered(df: DataFrame, by: list[str], *, label: str = "label_int", score: str = "logit", id: str = "filepath") -> DataFrame:
@@ -86,7 +91,7 @@ def ordered(df: DataFrame, by: list[str], *, label: str = "label_int", score: st
 
 def fpr_ranked(recall: float = RECALL) -> Column:
     """(c) Over `ordered`: cuts inside ties, at the row where ceil(recall * P) positives are reached."""
-    return _of_classes(F.min(F.when(F.col("tp") >= F.ceil(F.lit(recall) * F.col("P")), (F.col("rows_to") - F.col("tp")) / F.col("N"))))
+    return _of_classes(F.min(F.when(F.col("tp") >= F.ceil(F.lit(recall) * F.col("P")), (F.col("rows_to") - F.col("tp")) / _known("N"))))
 
 
 def ppv_ranked(recall: float = RECALL) -> Column:
@@ -95,13 +100,13 @@ def ppv_ranked(recall: float = RECALL) -> Column:
 
 def fpr_recall_search(recall: float = RECALL) -> Column:
     """(d) Over `ordered`: the first row whose recall, as a floating-point quotient, is large enough."""
-    return _of_classes(F.min(F.when(F.col("tp") / F.col("P") >= recall, (F.col("rows_to") - F.col("tp")) / F.col("N"))))
+    return _of_classes(F.min(F.when(F.col("tp") / _known("P") >= recall, (F.col("rows_to") - F.col("tp")) / _known("N"))))
 
 
 def partial_auc(max_fpr: float = MAX_FPR) -> tuple[Column, Column]:
     """Raw area up to max_fpr (over max_fpr's range) and its McClish standardisation."""
-    f0, f1 = (F.col("fp") - F.col("neg")) / F.col("N"), F.col("fp") / F.col("N")
-    t0, t1 = (F.col("tp") - F.col("pos")) / F.col("P"), F.col("tp") / F.col("P")
+    f0, f1 = (F.col("fp") - F.col("neg")) / _known("N"), F.col("fp") / _known("N")
+    t0, t1 = (F.col("tp") - F.col("pos")) / _known("P"), F.col("tp") / _known("P")
     end = F.least(f1, F.lit(max_fpr))
     w = (end - f0) / (f1 - f0)
     raw = F.sum(F.when((f0 < max_fpr) & (F.col("neg") > 0), (end - f0) * (2 * t0 + w * (t1 - t0)) / 2.0).otherwise(0.0))
@@ -112,14 +117,14 @@ def partial_auc(max_fpr: float = MAX_FPR) -> tuple[Column, Column]:
 def operating_point(recall: float = RECALL) -> dict[str, Column]:
     """The attainable recalls around a target, and the false-positive rates there."""
     up, down = F.ceil(F.lit(recall) * F.col("P")), F.floor(F.lit(recall) * F.col("P"))
-    at = lambda k: F.min(F.when(F.col("tp") >= k, F.col("fp") / F.col("N")))
+    at = lambda k: F.min(F.when(F.col("tp") >= k, F.col("fp") / _known("N")))
     return {
         "tp_ceil": F.max(up).cast("long"),
         "tp_floor": F.max(down).cast("long"),
         "fpr_ceil": at(up),
         "fpr_floor": at(down),
-        "recall_step": F.max(1.0 / F.col("P")),
-        "fpr_step": F.max(1.0 / F.col("N")),
+        "recall_step": F.max(1.0 / _known("P")),
+        "fpr_step": F.max(1.0 / _known("N")),
     }
 
 
