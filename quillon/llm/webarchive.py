@@ -69,7 +69,8 @@ class Package:
         tail_at = max(0, self.size - END_SIZE - 0xFFFF)
         tail = self.read_at(self.size - tail_at, tail_at)
         at = tail.rfind(END)
-        while at >= 0 and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+        ends = lambda at: at + END_SIZE <= len(tail) and at + END_SIZE + struct.unpack_from("<H", tail, at + 20)[0] == len(tail)
+        while at >= 0 and not ends(at):
             at = tail.rfind(END, 0, at)  # the signature stood in the comment
         if at < 0:
             raise ValueError("no end of central directory: not a ZIP file")
