@@ -30,7 +30,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a five-word shingle similarity of 0.8 or more, that with the least id stays.
 
-    Documents without words are linked with nothing and stay. Rows without an id can't be told apart by one and stay.
+    Documents without words are linked with nothing and stay; rows that repeat an id stay together. Rows without an id can't be told apart by one and stay.
     """
     found = jaccard.jaccard_components(docs, size=5, similarity=(80, 100))
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
