@@ -9,7 +9,7 @@ similar sets share a signature, always. A set signs for its own band and the nex
 Steps:
 1. Equal sets form classes; only a class's first document takes part further.
 2. Signatures meet in buckets; a bucket returns its groups of sets that share one (each distinct group once). Each set
-   has a sketch of 2,048 parity bits; two sets differ in at least as many elements as their sketches in bits, so groups
+   has a sketch of 2,048 parity bits (512 for small sets); two sets differ in at least as many elements as their sketches in bits, so groups
    are split where the sketches prove that no similar pair is lost.
 3. Every set is verified against one partner, the member of its groups that shares most; links make components.
 4. Groups that still span components are verified in blocks: their sets are dealt to tasks for pairs of chunks, where
@@ -42,7 +42,7 @@ SHINGLE, SIMILAR = 4, (85, 100)
 CHUNK = 400  # sets a chunk in step 4
 BLOCK = 4 << 20
 BUCKETS = 4  # a shuffle partition
-SKETCH = 2048
+SKETCH, SMALL = 2048, 100
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -159,8 +159,12 @@ SETS = "ref long, doc_id long, n long, a long, b long, sketch binary"
 
 
 def parity_sketch(elements: np.ndarray) -> bytes:
-    """SKETCH bits: bit i is whether an odd number of elements falls on it."""
-    return np.packbits((np.bincount((elements >> np.uint64(20)) % np.uint64(SKETCH), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    """Bit i is whether an odd number of elements falls on it: SKETCH bits, a quarter of them for small sets.
+
+    The halves of a sketch combined by exclusive or are the sketch of half as many bits.
+    """
+    bits = SKETCH if len(elements) > SMALL else SKETCH // 4
+    return np.packbits((np.bincount((elements >> np.uint64(20)) % np.uint64(bits), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _classes(blocks: DataFrame, size: int) -> DataFrame:
@@ -208,35 +212,37 @@ def _ask_signatures(blocks: DataFrame, chosen: DataFrame, bands: Bands, buckets:
             for k in range(buckets):
                 at = order[starts[k] : starts[k + 1]]
                 if len(at):
-                    asks.append((k, pack(every[at], owner[at].astype("<u4"))))
+                    h = every[at] >> np.uint64(16)  # 48 bits and the bucket: what agrees by chance is verified away
+                    asks.append((k, pack((h & np.uint64(0xFFFFFFFF)).astype("<u4"), (h >> np.uint64(32)).astype("<u2"), np.diff(owner[at], prepend=0).astype("<u4"))))
         out = list(question_rows(block, asks))
         return pa.Table.from_batches(out) if out else pa.table({"key": pa.array([], pa.int64()), "block": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
 
     return answered(blocks, chosen.select("ref", F.shiftright("ref", PLACE_BITS).alias("block")), body, QUESTION)
 
 
-GROUPS = "gid long, ref long"
+GROUPS = "gid long, ref long, first long"
 
 
 def _groups(table: pa.Table) -> pa.Table:
     """The distinct groups of sets that share a signature of this bucket."""
     asked = in_order(table, "block")
-    every = np.concatenate([s for _, (s, _) in asked])
-    refs = np.concatenate([_reference(block, p.astype(np.int64)) for block, (_, p) in asked])
+    every = np.concatenate([low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32) for _, (low, high, _) in asked])
+    refs = np.concatenate([_reference(block, np.cumsum(step, dtype=np.int64)) for block, (_, _, step) in asked])
     order = np.lexsort((refs, every))
     every, refs = every[order], refs[order]
     starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
     sizes = np.diff(np.append(starts, len(every)))
     refs, sizes = refs[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
     if not len(sizes):
-        return pa.table({n: pa.array([], pa.int64()) for n in ("gid", "ref")})
+        return pa.table({n: pa.array([], pa.int64()) for n in ("gid", "ref", "first")})
     # A group's name is a hash of its members; equal groups are returned once.
     name = mix(np.add.reduceat(mix(refs.view(np.uint64) + _MIX1), np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
     _, first = np.unique(name, return_index=True)
     keep = np.zeros(len(sizes), bool)
     keep[first] = True
     keep = np.repeat(keep, sizes)
-    return pa.table({"gid": pa.array(np.repeat(name.view(np.int64), sizes)[keep]), "ref": pa.array(refs[keep])})
+    least = np.repeat(refs[np.cumsum(sizes) - sizes], sizes)
+    return pa.table({"gid": pa.array(np.repeat(name.view(np.int64), sizes)[keep]), "ref": pa.array(refs[keep]), "first": pa.array(least[keep])})
 
 
 MEMBERS = "gid long, ref long, partner long, shared long"
@@ -245,31 +251,52 @@ MEMBERS = "gid long, ref long, partner long, shared long"
 def _split_groups(num: int, den: int):
     """Cut groups (a slot holds many) where the sketches allow; partner: the member of most possible links."""
 
-    def near(sketches, n):
+    def near(rows, n):
         """Pairs of rows that may be similar: bits by which sketches differ against the Hamming bound of the sizes."""
         bound = (den - num) * (n[:, None] + n[None, :]) // (den + num)
         out = np.empty((len(n), len(n)), bool)
         for lo in range(0, len(n), 64):  # 64 rows against all
-            out[lo : lo + 64] = np.bitwise_count(sketches[lo : lo + 64, None, :] ^ sketches[None, :, :]).sum(2, dtype=np.int64) <= bound[lo : lo + 64]
+            out[lo : lo + 64] = np.bitwise_count(rows[lo : lo + 64, None, :] ^ rows[None, :, :]).sum(2, dtype=np.int64) <= bound[lo : lo + 64]
         return out
 
     def run(table: pa.Table) -> pa.Table:
-        gid, ref, n = (table.column(c).to_numpy() for c in ("gid", "ref", "n"))
-        order = np.lexsort((ref, gid))
-        gid, ref, n = gid[order], ref[order], n[order]
+        # A slot's rows are members of groups (no sketch) and the sketches of all sets that occur in them.
+        is_group = table.column("sketch").is_null().to_numpy()
+        every_ref, every_n = table.column("ref").to_numpy(), table.column("n").fill_null(0).to_numpy()
+        known = np.flatnonzero(~is_group)
+        known = known[np.argsort(every_ref[known], kind="stable")]
         raw = table.column("sketch").combine_chunks()
         raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
-        sketches = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(len(gid), -1)[order]
-        starts = np.flatnonzero(np.append(True, gid[1:] != gid[:-1]))
+        wide, narrow = np.zeros((len(known), SKETCH // 64), np.uint64), np.zeros((len(known), SKETCH // 256), np.uint64)
+        for k, i in enumerate(known.tolist()):
+            bits = np.frombuffer(raw[i].as_py(), np.uint64)
+            if len(bits) == wide.shape[1]:
+                wide[k] = bits
+                narrow[k] = np.bitwise_xor.reduce(bits.reshape(4, -1), axis=0)
+            else:
+                narrow[k] = bits
+        at = np.flatnonzero(is_group)
+        gid, ref = table.column("gid").fill_null(0).to_numpy()[at], every_ref[at]
+        order = np.lexsort((ref, gid))
+        gid, ref = gid[order], ref[order]
+        at_group = at = np.searchsorted(every_ref[known], ref)
+        n = every_n[known][at]
+        large = n > SMALL
+        starts = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(gid)))
         pairs = starts[sizes == 2]
-        differ = np.bitwise_count(sketches[pairs] ^ sketches[pairs + 1]).sum(1, dtype=np.int64)
+        both = large[pairs] & large[pairs + 1]
+        differ = np.where(
+            both,
+            np.bitwise_count(wide[at[pairs]] ^ wide[at[pairs + 1]]).sum(1, dtype=np.int64),
+            np.bitwise_count(narrow[at[pairs]] ^ narrow[at[pairs + 1]]).sum(1, dtype=np.int64),
+        )
         pairs = pairs[differ <= (den - num) * (n[pairs] + n[pairs + 1]) // (den + num)]
         # Of two, each is the other's partner; the least is written as both's.
         gids, refs = [np.repeat(gid[pairs], 2)], [np.stack([ref[pairs], ref[pairs + 1]], 1).ravel()]
         partners, shared = [np.repeat(ref[pairs], 2)], [np.ones(2 * len(pairs), np.int64)]
         for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            close = near(sketches[a : a + m], n[a : a + m])
+            close = near((wide if large[a : a + m].all() else narrow)[at_group[a : a + m]], n[a : a + m])
             degree = close.sum(1) - 1
             left = degree > 0
             while left.any():
@@ -421,7 +448,10 @@ def jaccard_components(
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("ref").alias("ref"), F.min(F.coalesce("doc_id", F.lit(int(LAST_ID)))).alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes, "jaccard-classes")
     groups = staged(_ask_signatures(blocks, classes, bands, buckets, size).groupBy("key").applyInArrow(_groups, GROUPS), "jaccard-groups").distinct()
-    drawn = groups.join(sets.select("ref", "n", "sketch"), "ref").withColumn("slot", F.pmod("gid", F.lit(buckets)))
+    # Groups with the same first member meet in a few slots, so that a set's sketch travels to few of them.
+    slotted = staged(groups.withColumn("slot", F.pmod(F.xxhash64("first", F.pmod("gid", F.lit(4))), F.lit(buckets))).select("slot", "gid", "ref"), "jaccard-slots")
+    sketches = slotted.select("slot", "ref").distinct().join(sets.select("ref", "n", "sketch"), "ref")
+    drawn = slotted.select("slot", "gid", "ref", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch")).unionByName(sketches.select("slot", F.lit(None).cast("long").alias("gid"), "ref", "n", "sketch"))
     members = staged(drawn.groupBy("slot").applyInArrow(_split_groups(num, den), MEMBERS), "jaccard-members")
 
     chosen = members.where("ref <> partner").groupBy("ref").agg(F.max_by(F.col("partner"), F.struct("shared", -F.col("partner"))).alias("partner"))
