@@ -442,7 +442,7 @@ def jaccard_components(
     num, den = similarity
     spark = docs.sparkSession
     buckets, bands = shuffle_parts(spark) * BUCKETS, Bands(num, den)
-    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK)
+    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK, level=7)
     sets = staged(_classes(blocks, size), "jaccard-sets")
     # The class's member with the least reference stands for it; equal sets are linked.
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("ref").alias("ref"), F.min(F.coalesce("doc_id", F.lit(int(LAST_ID)))).alias("least"), F.count(F.lit(1)).alias("copies"))
