@@ -31,10 +31,21 @@ INSULT = "idiot moron stupid scum loser worthless pathetic disgusting trash clow
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]")
 _BREAK = frozenset(".!?;:\n")
-_FLAT = {c: " " for c in range(0x80) if not chr(c).isalpha()}
+_LETTER = re.compile(r"[^\W\d_]")
 REACH = 3  # words that a negation before them covers
 
 
+class _Flat(dict):
+    """A table for str.translate: whatever is no letter to _TOKEN becomes a space; filled as characters are met."""
+
+    def __missing__(self, c: int) -> int | str:
+        self[c] = out = c if _LETTER.match(chr(c)) else " "
+        return out
+
+
+_FLAT = _Flat()
+
+
 class Composed:
     """Transducers run one after another; the product machine's arcs are made as they are needed."""
 
@@ -89,13 +100,16 @@ class Grammar:
             self.finder.add_word(w, w)
         self.finder.make_automaton()
         self.sizes = sorted({len(s) for s in stems if s[-1] != "$"})
-        self.insult_weight = lru_cache(100_000)(self._insult_weight)
+        sizes = self.sizes
+
+        @lru_cache(100_000)
+        def insult_weight(word: str) -> float | None:  # holds no self: a grammar goes with its task, not with the next full collection
+            if (w := stems.get(f"{word}$")) is not None:
+                return w
+            found = [stems[word[:n]] for n in sizes if word[:n] in stems]
+            return max(found) if found else None
 
-    def _insult_weight(self, word: str) -> float | None:
-        if (w := self.stems.get(f"{word}$")) is not None:
-            return w
-        found = [self.stems[word[:n]] for n in self.sizes if word[:n] in self.stems]
-        return max(found) if found else None
+        self.insult_weight = insult_weight
 
     def read(self, text: str | None) -> list[float] | None:
         """The features of a text, or None if no clause can match."""

@@ -337,6 +337,16 @@ def test_toxicity_grammar(spark, odd, docs, none):
     assert toxicity.score(docs, empty).count() == docs.count()
 
 
+def test_toxicity_prefilter_has_the_grammar_s_word_borders():
+    g = toxicity.Grammar({"idiot": 3.0})
+    marks = [chr(c) for c in range(0x3000) if not re.match(r"[^\W\d_]", chr(c))]
+    for m in marks:
+        assert g.read(f"uno {m}Idiota{m}")[toxicity.FEATURES.index("any_insult")] > 0, hex(ord(m))
+        assert g.read(f"uno {m}kill{m}")[toxicity.FEATURES.index("any_threat")] > 0, hex(ord(m))
+    assert g.read("¡Idiota!") and g.read("“kill”") and g.read("kill…") and g.read("«\u00a0idiot\u00a0»") and g.read("they said—kill")
+    assert g.read("éidiot killé ¡Hola!") is None
+
+
 def test_quality_measures(spark, odd, docs, none):
     for df in (odd, docs):
         rows = collections.Counter(tuple(r)[:7] for r in quality.quality_rules(df).collect())
