@@ -1,10 +1,9 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
-Tokens are lower-cased words and one end a text. A token is drawn in the restaurant of its context, the last two bytes
-of the word before; that restaurant's parent is the restaurant of the last byte alone, whose parent is the restaurant
-of all tokens, whose base is uniform over the V training tokens and one unseen. So contexts with the same last byte
-share a parent and all share the root. Both context levels have a fixed number of restaurants (65,536 and 256); dishes
-grow with the corpus.
+Tokens are lower-cased words and one end a text. A token is drawn in the restaurant of its context, the word before it
+(at a text's start, the end token); that restaurant's parent is the restaurant of all tokens, whose base is uniform
+over the V training tokens and one unseen. There is one restaurant for each distinct word, so contexts and dishes both
+grow with the corpus. A context is known by a 64-bit hash of its word, a token by a 128-bit one.
 
 Seating. For each dish in each restaurant only customers c and tables t are kept. A sweep reseats every dish's
 customers in turn, each at a new table with probability a / (a + k - d t), where k are already seated at t tables and
@@ -16,7 +15,9 @@ probabilities of the sweeps after burn-in are averaged. Discounts are estimated
 Spread. Texts are read once, in blocks. A block asks, for each of its distinct (context, token) pairs, in the bucket
 of the token's 128-bit hash; a bucket merges the counts of all blocks, samples its own dishes, and answers every
 block's pairs in the order asked. All training text is counted; nothing is pruned. A token is at most once in a block's
-question, so frequent words make no hot bucket.
+question, so frequent words make no hot bucket. A restaurant's dishes lie in many buckets: the bucket of the context's
+own hash sums its tables, and after each sweep every bucket sends the sums of its contexts there and gets the totals
+back. Neither the driver nor a broadcast holds anything by context.
 
 Defined cases: null and empty texts are one end token; without training texts N and V are 0 and every token has
 probability 1; repeated rows count and are scored each; other columns are not read.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, staged, words_of
+from .common import shared_dir, shuffle_parts, staged, words_of
 from .tokens import byte_slices
 
 BLOCK = 12 << 20
 END = b""  # no word is empty
-BURN_IN, SAMPLES = 2, 2
-STRENGTH = (2.0, 2.0, 10.0)  # of the contexts, their parents, the root
+BURN_IN, SAMPLES = 5, 5
+STRENGTH = (2.0, 10.0)  # of the contexts, the root
 STEPS = 24  # customers seated one by one before waiting times are drawn
 
 
@@ -99,22 +101,22 @@ class Block:
         order = np.lexsort((digests[:, 1], digests[:, 0], digests[:, 0] % np.uint64(buckets)))
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
-        tail = np.array([int.from_bytes(w[-2:], "big") for w in words], np.int64)
-        context = np.zeros(len(tokens), np.int64)
-        context[1:] = tail[tokens[:-1]]
-        context[np.cumsum(counts) - counts] = 0  # a text's start
-        pairs, at = np.unique(rank[tokens] << 16 | context, return_inverse=True)
+        before = np.empty(len(tokens), np.int64)
+        before[1:] = tokens[:-1]
+        before[np.cumsum(counts) - counts] = self.codes[END]  # a text's start
+        pairs, at = np.unique(rank[tokens] << 32 | rank[before], return_inverse=True)
         seen = np.bincount(at[np.repeat(learn, counts)], minlength=len(pairs))
         digests = digests[order]
         bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
         starts = np.searchsorted(bucket, np.arange(buckets + 1))
-        pair_at = np.searchsorted(pairs >> 16, starts)
+        pair_at = np.searchsorted(pairs >> 32, starts)
+        contexts = digests[pairs & 0xFFFFFFFF, 0]
         out = []
         for b in range(buckets):
             lo, hi, p, q = starts[b], starts[b + 1], pair_at[b], pair_at[b + 1]
             if lo < hi:
-                per_word = np.bincount((pairs[p:q] >> 16) - lo, minlength=hi - lo)
-                out.append((b, pack(digests[lo:hi].ravel(), per_word.astype("<u4"), (pairs[p:q] & 0xFFFF).astype("<u2"), seen[p:q].astype("<u4"))))
+                per_word = np.bincount((pairs[p:q] >> 32) - lo, minlength=hi - lo)
+                out.append((b, pack(digests[lo:hi].ravel(), per_word.astype("<u4"), contexts[p:q], seen[p:q].astype("<u4"))))
         ids = pa.chunked_array(self.ids).combine_chunks()
         null = np.asarray(ids.is_null())
         return out, pack(np.asarray(ids.fill_null(0)).astype("<i8"), null.astype("<u1"), counts.astype("<u4"), at.astype("<u4"))
@@ -155,7 +157,7 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, buckets: int) -> pa.Table:
     """All blocks' questions to one bucket -> one state row: distinct pairs with their counts, and each block's pairs."""
     blocks = table.column("block").to_numpy()
     order = np.argsort(blocks, kind="stable")
@@ -168,10 +170,14 @@ def _merge(table: pa.Table) -> pa.Table:
     word = np.empty(len(by), np.int64)
     word[by] = np.cumsum(new) - 1
     per_word = np.concatenate([a[1] for a in asked])
-    keys = np.repeat(word, per_word) << 16 | np.concatenate([a[2] for a in asked]).astype(np.int64)
+    contexts, context = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+    by_owner = np.argsort(contexts % np.uint64(buckets), kind="stable")
+    place = np.empty(len(contexts), np.int64)
+    place[by_owner] = np.arange(len(contexts))
+    keys = np.repeat(word, per_word) << 32 | place[context]
     pairs, back = np.unique(keys, return_inverse=True)
     c = np.bincount(back, np.concatenate([a[3] for a in asked]), minlength=len(pairs)).astype("<i8")
-    state = pack((pairs >> 16).astype("<u4"), (pairs & 0xFFFF).astype("<u2"), c)
+    state = pack((pairs >> 32).astype("<u4"), (pairs & 0xFFFFFFFF).astype("<u4"), c, contexts[by_owner])
     sizes = np.array([len(a[2]) for a in asked], "<i8")
     return pa.table(
         {
@@ -210,128 +216,165 @@ def reseat(customers: np.ndarray, discount: float, new: np.ndarray, rng: np.rand
 
 
 class Dishes:
-    """One bucket's dishes on the three levels, and sweeps over them."""
+    """One bucket's dishes in the contexts and in the root, and sweeps over them.
 
-    def __init__(self, state: bytes, key: int):
-        word, context, c = unpack(state)
+    contexts are the hashes of the bucket's contexts, by owner; every total by context is in their order.
+    """
+
+    def __init__(self, state: bytes, key: int, seats: bytes | None = None):
+        word, context, c, self.contexts = unpack(state)
         self.word, self.context, self.c = word.astype(np.int64), context.astype(np.int64), c.astype(np.int64)
-        # Level one: pairs of the last byte and the token.
-        self.upper_keys, self.upper = np.unique(self.word << 8 | self.context & 0xFF, return_inverse=True)
-        self.upper_word, self.upper_context = self.upper_keys >> 8, self.upper_keys & 0xFF
         self.n_words = int(self.word[-1]) + 1 if len(self.word) else 0
         self.key = key
-        self.t2 = np.minimum(self.c, 1)
-        self.rise()
-
-    def rise(self) -> None:
-        """Least tables on the upper levels, for the start."""
-        self.c1 = np.bincount(self.upper, self.t2, minlength=len(self.upper_keys)).astype(np.int64)
-        self.t1 = np.minimum(self.c1, 1)
-        self.c0 = np.bincount(self.upper_word, self.t1, minlength=self.n_words).astype(np.int64)
-        self.t0 = np.minimum(self.c0, 1)
-
-    def probabilities(self, totals: Totals) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """In the root by word, one level up by upper pair, and by pair."""
-        p0 = totals.draw(2, 0, self.c0, self.t0, 1.0 / (totals.types + 1))
-        p1 = totals.draw(1, self.upper_context, self.c1, self.t1, p0[self.upper_word])
-        return p0, p1, totals.draw(0, self.context, self.c, self.t2, p1[self.upper])
-
-    def sweep(self, totals: Totals, number: int) -> None:
-        rng = np.random.default_rng([self.key, number])
-        p0, p1, _ = self.probabilities(totals)
-        self.t2 = reseat(self.c, totals.discount[0], totals.weight(0, self.context) * p1[self.upper], rng)
-        self.c1 = np.bincount(self.upper, self.t2, minlength=len(self.upper_keys)).astype(np.int64)
-        self.t1 = reseat(self.c1, totals.discount[1], totals.weight(1, self.upper_context) * p0[self.upper_word], rng)
-        self.c0 = np.bincount(self.upper_word, self.t1, minlength=self.n_words).astype(np.int64)
-        self.t0 = reseat(self.c0, totals.discount[2], np.full(self.n_words, totals.weight(2, 0)) / (totals.types + 1), rng)
+        self.t1 = np.minimum(self.c, 1)  # least tables, for the start
+        if seats is not None:
+            self.t1 = self.t1.copy()
+            self.t1[self.c > 1] = unpack(seats)[0]
+        self.c0 = np.bincount(self.word, self.t1, minlength=self.n_words).astype(np.int64)
+        self.t0 = np.minimum(self.c0, 1) if seats is None else unpack(seats)[1].astype(np.int64)
 
+    def seats(self) -> bytes:
+        """What a later pass needs besides the state: dishes of one customer have one table."""
+        return pack(self.t1[self.c > 1].astype("<u4"), self.t0.astype("<u4"))
 
-class Totals:
-    """Of every restaurant: customers and tables; of the corpus: tokens and types. Its size is fixed."""
+    def by_context(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, values, minlength=len(self.contexts)).astype(np.int64)
 
-    def __init__(self, customers: list[np.ndarray], tables: list[np.ndarray], tokens: int, types: int, discount: tuple[float, float, float]):
-        self.customers, self.tables, self.tokens, self.types, self.discount = customers, tables, tokens, types, discount
+    def root(self, model: Model) -> np.ndarray:
+        return model.draw(1, self.c0, self.t0, model.root_customers, model.root_tables, 1.0 / (model.types + 1))
 
-    def weight(self, level: int, at):
-        return STRENGTH[level] + self.discount[level] * self.tables[level][at]
+    def probabilities(self, model: Model, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        return model.draw(0, self.c, self.t1, customers[self.context], tables[self.context], self.root(model)[self.word])
 
-    def draw(self, level: int, at, c, t, parent):
+    def sweep(self, model: Model, tables: np.ndarray, number: int) -> None:
+        rng = np.random.default_rng([self.key, number])
+        self.t1 = reseat(self.c, model.discount[0], model.weight(0, tables[self.context]) * self.root(model)[self.word], rng)
+        self.c0 = np.bincount(self.word, self.t1, minlength=self.n_words).astype(np.int64)
+        self.t0 = reseat(self.c0, model.discount[1], np.full(self.n_words, model.weight(1, model.root_tables)) / (model.types + 1), rng)
+
+    def rows(self, number: int, buckets: int, *, first: bool = False) -> pa.RecordBatch:
+        """Seats, tables by context to the contexts' owners, and sums of the root; first also the contexts and their customers."""
+        by_word = np.bincount(self.word, self.c, minlength=self.n_words)
+        sums = [self.c.sum(), (by_word > 0).sum(), (self.c == 1).sum(), (self.c == 2).sum(), (self.c0 == 1).sum(), (self.c0 == 2).sum(), self.c0.sum(), self.t0.sum()]
+        out = [("seats", self.key, number, self.seats()), ("root", self.key, number, pack(np.array(sums, "<i8")))]
+        sent = [("tables", self.by_context(self.t1).astype("<u4"))]
+        if first:
+            sent += [("contexts", self.contexts), ("customers", self.by_context(self.c).astype("<i8"))]
+        owner = (self.contexts % np.uint64(buckets)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist() + [len(owner)]
+        for kind, values in sent:
+            out += [(kind, int(owner[lo]), self.key, pack(values[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        return _row(out)
+
+
+class Model:
+    """What is one number for the corpus."""
+
+    def __init__(self, tokens: int, types: int, discount: tuple[float, float], root_customers: int, root_tables: int):
+        self.tokens, self.types, self.discount, self.root_customers, self.root_tables = tokens, types, discount, root_customers, root_tables
+
+    def weight(self, level: int, tables):
+        return STRENGTH[level] + self.discount[level] * tables
+
+    def draw(self, level: int, c, t, customers, tables, parent):
         """The predictive probability: existing tables, and a new table times the parent's probability."""
-        return (np.maximum(c - self.discount[level] * t, 0) + self.weight(level, at) * parent) / (STRENGTH[level] + self.customers[level][at])
+        return (np.maximum(c - self.discount[level] * t, 0) + self.weight(level, tables) * parent) / (STRENGTH[level] + customers)
 
 
-SIZES = (1 << 16, 1 << 8, 1)
-
+def _bucketed(df: DataFrame, n: int) -> DataFrame:
+    """df written once as a table in n buckets by key, which later groupings by key don't shuffle."""
+    spark, name = df.sparkSession, f"lm_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, "key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now; the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
-def _gather(states: DataFrame, history: list[Totals]) -> tuple[list[np.ndarray], list[np.ndarray], dict[str, int]]:
-    """Sweep every bucket len(history) times and sum customers and tables by restaurant over all of them."""
-    shared = states.sparkSession.sparkContext.broadcast(history)  # a fixed size a sweep
 
+def _start(states: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, state in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                dishes = Dishes(state.as_py(), key)
-                for i, totals in enumerate(shared.value):
-                    dishes.sweep(totals, i)
-                levels, at, c, t = [], [], [], []
-                for level, (where, cs, ts) in enumerate(((dishes.context, dishes.c, dishes.t2), (dishes.upper_context, dishes.c1, dishes.t1), (np.zeros(dishes.n_words, np.int64), dishes.c0, dishes.t0))):
-                    used, back = np.unique(where, return_inverse=True)
-                    levels.append(np.full(len(used), level))
-                    at.append(used)
-                    c.append(np.bincount(back, cs, minlength=len(used)))
-                    t.append(np.bincount(back, ts, minlength=len(used)))
-                by_word = np.bincount(dishes.word, dishes.c, minlength=dishes.n_words)
-                extra = [(by_word > 0).sum(), (by_word == 1).sum(), (by_word == 2).sum(), (dishes.c == 1).sum(), (dishes.c == 2).sum(), (dishes.c1 == 1).sum(), (dishes.c1 == 2).sum()]
-                levels.append(np.full(len(extra), 3))
-                at.append(np.arange(len(extra)))
-                c.append(np.array(extra, float))
-                t.append(np.zeros(len(extra)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(levels).astype(np.int32)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(c).astype(np.int64)), pa.array(np.concatenate(t).astype(np.int64))],
-                    names=["level", "at", "c", "t"],
-                )
-
-    rows = states.select("key", "state").mapInArrow(run, "level int, at int, c long, t long").groupBy("level", "at").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).collect()
-    customers, tables = [np.zeros(n, np.int64) for n in SIZES], [np.zeros(n, np.int64) for n in SIZES]
-    extra = dict.fromkeys(("types", "w1", "w2", "p1", "p2", "u1", "u2"), 0)
-    names = list(extra)
-    for r in rows:
-        if r.level == 3:
-            extra[names[r.at]] = r.c
-        else:
-            customers[r.level][r.at], tables[r.level][r.at] = r.c, r.t
-    return customers, tables, extra
+                yield Dishes(state.as_py(), key).rows(0, buckets, first=True)
+
+    return states.select("key", "state").mapInArrow(run, ROW)
+
+
+def _ordered(table: pa.Table, kind: str) -> list[tuple[int, bytes]]:
+    """(block, payload) of a kind's rows, by block."""
+    kinds, blocks, payloads = table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("payload")
+    return sorted((blocks[i], payloads[i].as_py()) for i, k in enumerate(kinds) if k == kind)
+
+
+def _own(table: pa.Table) -> pa.Table:
+    """The contexts that all buckets sent to their owner -> one row: each sender's places among the distinct ones."""
+    sent = [(b, unpack(p)[0]) for b, p in _ordered(table, "contexts")]
+    places = np.unique(np.concatenate([x for _, x in sent]), return_inverse=True)[1]
+    payload = pack(np.array([b for b, _ in sent], "<i8"), np.array([len(x) for _, x in sent], "<i8"), places.astype("<u4"))
+    return pa.table({"key": pa.array([table.column("key")[0].as_py()], pa.int64()), "places": pa.array([payload], pa.binary())})
+
+
+def _totals(owners: DataFrame, sent: DataFrame, kind: str) -> DataFrame:
+    """Sums over all senders by context, to each sender in its order: rows of the kind, block: owner."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        senders, sizes, places = unpack(left.column("places")[0].as_py())
+        values = np.concatenate([unpack(p)[0] for _, p in _ordered(right, kind)])
+        total = np.bincount(places, values)[places].astype("<i8" if kind == "customers" else "<u4")
+        ends, owner = np.cumsum(sizes), left.column("key")[0].as_py()
+        return pa.Table.from_batches([_row([(kind, int(s), owner, pack(total[e - n : e])) for s, n, e in zip(senders, sizes, ends, strict=True)])])
+
+    return owners.groupBy("key").cogroup(sent.where(F.col("kind") == kind).groupBy("key")).applyInArrow(run, ROW)
+
+
+def _joined(table: pa.Table, kind: str) -> np.ndarray:
+    """A bucket's totals, the owners' parts one after another."""
+    return np.concatenate([unpack(p)[0] for _, p in _ordered(table, kind)]).astype(np.int64)
+
+
+def _swept(states: DataFrame, rows: DataFrame, model: Model, number: int, buckets: int) -> DataFrame:
+    """One sweep of every bucket; rows: its seats and the tables by context."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        dishes = Dishes(left.column("state")[0].as_py(), left.column("key")[0].as_py(), _ordered(right, "seats")[0][1])
+        dishes.sweep(model, _joined(right, "tables"), number)
+        return pa.Table.from_batches([dishes.rows(number, buckets)])
+
+    return states.select("key", "state").groupBy("key").cogroup(rows.groupBy("key")).applyInArrow(run, ROW)
+
+
+def _root_sums(rows: DataFrame) -> list[int]:
+    """tokens, types, pairs of one and of two, dishes of the root of one and of two, its customers and tables; a row a bucket is read."""
+    sums = [unpack(bytes(r.payload))[0] for r in rows.where("kind = 'root'").select("payload").collect()]
+    return [int(x) for x in np.sum(sums, 0)] if sums else [0] * 8
 
 
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
-def _answers(states: DataFrame, history: list[Totals], burn_in: int) -> DataFrame:
-    """For every block and bucket: log10 of the averaged probability and the token's count, by the block's pairs."""
-    shared = states.sparkSession.sparkContext.broadcast(history)
+def _answers(states: DataFrame, rows: DataFrame, models: dict[int, Model]) -> DataFrame:
+    """For every block and bucket: log10 of the probability averaged over the kept sweeps and the token's count, by the block's pairs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, state, asked in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                dishes, mean, n = Dishes(state.as_py(), key), 0.0, 0
-                for i in range(len(shared.value) - 1):
-                    dishes.sweep(shared.value[i], i)
-                    if i + 1 > burn_in:
-                        mean, n = mean + dishes.probabilities(shared.value[i + 1])[2], n + 1
-                with np.errstate(divide="ignore"):
-                    logs = np.log10(mean / n).astype("<f4")
-                counts = np.bincount(dishes.word, dishes.c, minlength=dishes.n_words)[dishes.word].astype("<u4")
-                blocks, sizes, back = unpack(asked.as_py())
-                ends = np.cumsum(sizes)
-                for i in range(0, len(blocks), 32):
-                    out = []
-                    for block, hi, size in zip(blocks[i : i + 32].tolist(), ends[i : i + 32].tolist(), sizes[i : i + 32].tolist(), strict=True):
-                        mine = back[hi - size : hi]
-                        out.append(("answer", key, block, pack(logs[mine], counts[mine])))
-                    yield _row(out)
-
-    return states.mapInArrow(run, ROW)
+    rows: customers by context, and of each kept sweep (its number is in the kind) the seats and the tables by context.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, state, customers, mean = left.column("key")[0].as_py(), left.column("state")[0].as_py(), _joined(right, "customers"), 0.0
+        for i, model in models.items():
+            dishes = Dishes(state, key, _ordered(right, f"seats{i}")[0][1])
+            mean = mean + dishes.probabilities(model, customers, _joined(right, f"tables{i}"))
+        with np.errstate(divide="ignore"):
+            logs = np.log10(mean / len(models)).astype("<f4")
+        counts = np.bincount(dishes.word, dishes.c, minlength=dishes.n_words)[dishes.word].astype("<u4")
+        blocks, sizes, back = unpack(left.column("asked")[0].as_py())
+        out, ends = [], np.cumsum(sizes)
+        for block, hi, size in zip(blocks.tolist(), ends.tolist(), sizes.tolist(), strict=True):
+            mine = back[hi - size : hi]
+            out.append(("answer", key, block, pack(logs[mine], counts[mine])))
+        return pa.Table.from_batches([_row(out)])
+
+    return states.groupBy("key").cogroup(rows.groupBy("key")).applyInArrow(run, ROW)
 
 
 SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, train_types long, base_score double, score double"
@@ -346,14 +389,20 @@ def score_texts(docs: DataFrame, learn: Column, *, id: str = "doc_id", text: str
     buckets = shuffle_parts(spark)
     rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string"), F.coalesce(learn, F.lit(False)))
     asked = staged(_questions(rows, buckets), "lm-questions", ["kind"])
-    states = staged(asked.where("kind = 'ask'").select("key", "block", "payload").groupBy("key").applyInArrow(_merge, STATE), "lm-states")
-    customers, tables, extra = _gather(states, [])
-    discount = (_discount(extra["p1"], extra["p2"]), _discount(extra["u1"], extra["u2"]), _discount(extra["w1"], extra["w2"]))
-    tokens, types = int(customers[0].sum()), extra["types"]
-    history = [Totals(customers, tables, tokens, types, discount)]
-    for _ in range(burn_in + samples):
-        customers, tables, _extra = _gather(states, history)
-        history.append(Totals(customers, tables, tokens, types, discount))
+    states = _bucketed(asked.where("kind = 'ask'").select("key", "block", "payload").groupBy("key").applyInArrow(lambda t: _merge(t, buckets), STATE), buckets)
+    rows = staged(_start(states, buckets), "lm-start", ["kind"]).select("kind", "key", "block", "payload")
+    tokens, types, p1, p2, u1, u2, *root = _root_sums(rows)
+    discount = (_discount(p1, p2), _discount(u1, u2))
+    owners = _bucketed(rows.where("kind = 'contexts'").groupBy("key").applyInArrow(_own, "key long, places binary"), buckets)
+    seen, models = _totals(owners, rows, "customers"), {}
+    for i in range(1, burn_in + samples + 1):
+        given = rows.where("kind = 'seats'").unionByName(_totals(owners, rows, "tables"))
+        rows = staged(_swept(states, given, Model(tokens, types, discount, *root), i, buckets), "lm-sweep", ["kind"]).select("kind", "key", "block", "payload")
+        root = _root_sums(rows)[-2:]
+        if i > burn_in:
+            models[i] = Model(tokens, types, discount, *root)
+            kept = rows.where("kind = 'seats'").unionByName(_totals(owners, rows, "tables"))
+            seen = seen.unionByName(kept.withColumn("kind", F.concat("kind", F.lit(str(i)))))
     total = np.log10(tokens + types + 1.0)
 
     def finish(table: pa.Table) -> pa.Table:
@@ -380,4 +429,4 @@ def score_texts(docs: DataFrame, learn: Column, *, id: str = "doc_id", text: str
         )
 
     texts = asked.where("kind = 'text'").select("kind", "key", "block", "payload")
-    return texts.unionByName(_answers(states, history, burn_in)).groupBy("block").applyInArrow(finish, SCORES)
+    return texts.unionByName(_answers(states, seen, models)).groupBy("block").applyInArrow(finish, SCORES)

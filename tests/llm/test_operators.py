@@ -192,6 +192,21 @@ def test_pitman_yor_counts(which, request):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_pitman_yor_contexts_are_whole_words(spark):
+    rows = [(k, "the oneab red" if k % 2 else "the twoab blue") for k in range(40)] + [(100, "the oneab red"), (101, "the oneab blue"), (102, "the twoab blue"), (103, "the twoab red")]
+    found = pitmanyor.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()
+    score = {r.doc_id: r.score for r in found}
+    assert score[100] > score[101] + 0.5 and score[102] > score[103] + 0.5
+
+
+def test_pitman_yor_restaurants_grow_with_the_words():
+    block = pitmanyor.Block()
+    block.add([1], [" ".join(f"w{k:05d}ab same" for k in range(3000))], [True])
+    asks, _ = block.question(1)
+    contexts = pitmanyor.unpack(asks[0][1])[2]
+    assert len(set(contexts.tolist())) == 3002  # the words, `same` and the end
+
+
 def test_pitman_yor_without_rows(none):
     assert pitmanyor.score_texts(none, F.lit(True)).count() == 0
 
