@@ -5,11 +5,15 @@ A draw depends only on its keys, so partitioning and retries don't change it, an
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import draw, uniform
-from .ranking import curve
+from .ranking import RECALL, curve
+from .strata import prior_weights, with_threshold
 from .windows import numbered, running_sums
 
 
@@ -80,6 +84,26 @@ def proportional_quotas(df: DataFrame, stratum: str, total: int) -> DataFrame:
     return numbered(base.withColumn("one__", F.lit(1)), ["one__"], stratum, name="rn__").crossJoin(F.broadcast(left)).select(stratum, (F.col("quota") + (F.col("rn__") <= F.col("left")).cast("long")).cast("long").alias("quota"))
 
 
+def prior_equalised_bootstrap(df: DataFrame, stratum: str, *, draws: int, recall: float = RECALL, label: str = "label_int", score: str = "logit", id: str = "filepath", seed: int = 0) -> DataFrame:
+    """(draw, fpr, n): the rate of negatives at or above the threshold at the recall, over subsamples without replacement.
+
+    A stratum gives round(weight * negatives) of its negatives (halves to even), the anchor all of them; weights are
+    those of prior_weights, the threshold is that of the whole table. Of k rows drawn from a stratum without replacement
+    the number at or above the threshold is hypergeometric in the stratum's counts, and is drawn as such: all negatives
+    count, and the work for a draw doesn't grow with them. A stratum may have up to 10 ** 9 negatives (numpy's limit).
+    """
+    quotas = prior_weights(df, stratum, label=label).select(stratum, F.bround(F.col("weight") * F.col("n_neg")).cast("long").alias("quota"))
+    rows = with_threshold(df, [], recall, label=label, score=score).where(F.col(label) == 0)
+    counts = rows.groupBy(stratum).agg(F.count_if(F.col(score) >= F.col("threshold")).alias("above"), F.count(F.lit(1)).alias("all")).join(quotas, stratum)
+
+    @F.udf("long", useArrow=False)
+    def drawn(number: int, name: str, above: int, n: int, k: int) -> int:
+        return int(np.random.default_rng([seed, number, zlib.crc32(name.encode())]).hypergeometric(above, n - above, k))
+
+    each = counts.crossJoin(df.sparkSession.range(draws).select(F.col("id").alias("draw"))).withColumn("x", drawn("draw", F.col(stratum).cast("string"), "above", "all", "quota"))
+    return each.groupBy("draw").agg((F.sum("x") / F.sum("quota")).alias("fpr"), F.sum("quota").alias("n"))
+
+
 def weighted_draw(df: DataFrame, n: int, strata: list[str], id: str, seed: int) -> DataFrame:
     """(k, id, strata): n draws with replacement; every stratum has the same chance, every row within it too."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("size")).withColumn("one__", F.lit(1))

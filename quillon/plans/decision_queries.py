@@ -48,9 +48,21 @@ def b01s(s, d):
     return B.summary(draws, ["roc_auc", "ap", "ppv"]).select("metric", "n", r6("lo").alias("lo"), r6("median").alias("median"), r6("hi").alias("hi"))
 
 
+@query("b01_prevalence_bootstrap_full")
+def b01f(s, d):
+    """The reference's number of draws."""
+    return B.prevalence_bootstrap(pred(s, d, decimals=1).where("seed = 0"), draws=1000).select("draw", r6("roc_auc").alias("roc_auc"), r6("ap").alias("ap"), r6("ppv").alias("ppv"))
+
+
+@query("b01_official_score_full")
+def b01sf(s, d):
+    draws = B.prevalence_bootstrap(pred(s, d, decimals=1).where("seed = 0"), draws=1000)
+    return B.summary(draws, ["roc_auc", "ap", "ppv"]).select("metric", "n", r6("lo").alias("lo"), r6("median").alias("median"), r6("hi").alias("hi"))
+
+
 @query("b02_auc_bootstrap")
 def b02(s, d):
-    return B.summary(B.auc_bootstrap(pred(s, d).where("seed = 0"), draws=40), ["roc_auc"])
+    return B.summary(B.auc_bootstrap(pred(s, d).where("seed = 0"), draws=2000), ["roc_auc"])
 
 
 _QUOTA = "n AS (SELECT centre, count(*) AS n FROM manifest GROUP BY centre), q AS (SELECT centre, floor(100 * n / sum(n) OVER ()) AS q, row_number() OVER (ORDER BY centre) AS rn FROM n), quota AS (SELECT centre, CAST(q + CASE WHEN rn <= 100 - (SELECT sum(q) FROM q) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q)"
@@ -70,6 +82,12 @@ def b03(s, d):
     return drawn.groupBy("draw").agg(r6(F.avg((F.col("logit") >= 0.5).cast("double"))).alias("fpr"), F.count(F.lit(1)).alias("n"))
 
 
+@query("b03_prior_equalised_bootstrap")
+def b03p(s, d):
+    """The anchor centre's negatives in full, the weight's share of the others', at the recall's threshold."""
+    return B.prior_equalised_bootstrap(pred(s, d).where("seed = 0"), "centre", draws=1000, seed=3).select("draw", r6("fpr").alias("fpr"), "n")
+
+
 _PICK = lambda strata, n: f"""z AS (SELECT {strata}, count(*) AS size, row_number() OVER (ORDER BY {strata}) AS s FROM manifest GROUP BY {strata}),
 k AS (SELECT i AS k, {_H("'9|s|' || CAST(i AS VARCHAR)")} % (SELECT count(*) FROM z) + 1 AS s, {_H("'9|r|' || CAST(i AS VARCHAR)")} AS h FROM (SELECT unnest(range({n})) AS i)),
 o AS (SELECT {strata}, filepath, row_number() OVER (PARTITION BY {strata} ORDER BY filepath) AS r FROM manifest)"""
@@ -93,7 +111,7 @@ def b08(s, d):
 @query("b09_offset_simulation")
 def b09(s, d):
     grid = s.createDataFrame([(2, 0.5), (4, 0.5), (4, 1.0)], "k long, sd double")
-    sims = B.offset_simulation(pred(s, d).where("seed = 0"), grid, 10)
+    sims = B.offset_simulation(pred(s, d).where("seed = 0"), grid, 1000)
     return sims.groupBy("k", "sd").agg(r6(F.percentile("roc_auc", F.lit(0.5))).alias("median"), r6(F.percentile("roc_auc", F.lit(0.1))).alias("p10"), r6(F.percentile("roc_auc", F.lit(0.9))).alias("p90"))
 
 
@@ -101,7 +119,7 @@ def b09(s, d):
 def b10(s, d):
     """The sd at which the simulated median meets a target, by interpolation over a grid."""
     grid = s.createDataFrame([(3, 0.25 * i) for i in range(1, 9)], "k long, sd double")
-    med = B.offset_simulation(pred(s, d).where("seed = 0"), grid, 8).groupBy("k", "sd").agg(F.percentile("roc_auc", F.lit(0.5)).alias("m"))
+    med = B.offset_simulation(pred(s, d).where("seed = 0"), grid, 400).groupBy("k", "sd").agg(F.percentile("roc_auc", F.lit(0.5)).alias("m"))
     return WN.crossing(med, ["k"], "sd", "m", 0.85).select("k", r6("x").alias("sd"))
 
 

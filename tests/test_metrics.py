@@ -103,3 +103,39 @@ def test_prior_equalised_by_hand(spark):
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "filepath string, label_int int, logit double, g int")
     assert R.metric_block(df, ["g"]).count() == 0 and WN.average_rank(df, ["g"], "logit").count() == 0
+
+
+def test_prior_equalised_bootstrap_keeps_the_anchor_in_full(spark):
+    from quillon.operators import resample
+
+    # anchor a: 10 positives, 40 negatives; b: 10 positives, 101 negatives, of which 40 are drawn.
+    rows = [(c, f"{c}{y}{k}", y, float(y) + k / 100) for c, y, n in (("a", 1, 10), ("a", 0, 40), ("b", 1, 10), ("b", 0, 101)) for k in range(n)]
+    df = spark.createDataFrame(rows, "centre string, filepath string, label_int long, logit double")
+    got = resample.prior_equalised_bootstrap(df, "centre", draws=50, recall=1.0).collect()  # the threshold is 1.0: one negative, of b
+    assert sorted(r.draw for r in got) == list(range(50)) and {r.n for r in got} == {80}
+    assert {round(r.fpr * 80) for r in got} == {0, 1}
+    low = df.withColumn("logit", F.when(F.col("centre") == "a", F.lit(2.0)).otherwise(F.col("logit") - 9))
+    assert {r.fpr for r in resample.prior_equalised_bootstrap(low, "centre", draws=3, recall=0.5).collect()} == {0.5}  # all of the anchor, none of b
+
+
+def test_simulations_are_registered_with_the_reference_s_draws(spark, monkeypatch):
+    from quillon.operators import resample
+    from quillon.plans import registry
+
+    registry.load()
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def spy(*args, draws=None, **_):
+        seen["draws"] = args[2] if draws is None else draws
+        raise Stop
+
+    for name in ("prevalence_bootstrap", "auc_bootstrap", "prior_equalised_bootstrap", "offset_simulation"):
+        monkeypatch.setattr(resample, name, spy)
+    want = {"b01_prevalence_bootstrap_full": 1000, "b01_official_score_full": 1000, "b02_auc_bootstrap": 2000, "b03_prior_equalised_bootstrap": 1000, "b09_offset_simulation": 1000, "b10_sd_for_target": 400}
+    for query, draws in want.items():
+        with pytest.raises(Stop):
+            registry.QUERIES[query](spark, "/root/testdata/sf0.001")
+        assert seen.pop("draws") == draws
