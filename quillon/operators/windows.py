@@ -67,6 +67,15 @@ def numbered(df: DataFrame, by: list[str], *order: Column | str, name: str = "rn
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
 
+def placed(df: DataFrame, value: str, then: str, id: str, name: str = "place") -> DataFrame:
+    """Row numbers over the whole table by value, then `then` falling, then the numeric id, from prefix sums: not in one partition."""
+    count = F.count(F.lit(1)).alias("c__")
+    above = running_sums(df.groupBy(value).agg(count), [], value, ["c__"], descending=False).select(value, (F.col("c___to") - F.col("c__")).alias("above__"))
+    beside = running_sums(df.groupBy(value, then).agg(count), [value], then, ["c__"]).select(value, then, (F.col("c___to") - F.col("c__")).alias("beside__"))
+    own = running_sums(df.withColumn("c__", F.lit(1)), [value, then], id, ["c__"], descending=False)
+    return own.join(above, value).join(beside, [value, then]).withColumn(name, (F.col("above__") + F.col("beside__") + F.col("c___to")).cast("long")).drop("c__", "c___to", "above__", "beside__")
+
+
 def top_k(df: DataFrame, by: list[str], k: int, *order: Column | str) -> DataFrame:
     return numbered(df, by, *order, name="rn__").where(F.col("rn__") <= k).drop("rn__")
 

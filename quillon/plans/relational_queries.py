@@ -95,6 +95,11 @@ def p14(m):
     return L.permuted(m.where("image_id % 10 = 0"), 7, "filepath").select("filepath", "position")
 
 
+@_m("p14_permutation_whole", f"SELECT filepath, row_number() OVER (ORDER BY {_HASH.format(chr(39) + '7|' + chr(39) + ' || filepath')}, filepath) AS position FROM manifest")
+def p14w(m):
+    return L.permuted(m, 7, "filepath").select("filepath", "position")
+
+
 @_m("p15_tolerant_projection", "SELECT filepath, centre FROM manifest")
 def p15(m):
     return L.present(m, ["filepath", "no_such_column", "centre"])
@@ -391,6 +396,12 @@ def o03(s, d):
     return WN.numbered(best, ["one"], F.greatest("a", "b"), F.desc("n"), "group_id", name="place").select("group_id", F.col("place").cast("long").alias("place"))
 
 
+@query("o03_multi_key_whole", f"WITH {MANIFEST_SQL} SELECT group_id, rank() OVER (ORDER BY greatest(a, b), n DESC, group_id) AS place FROM (SELECT group_id, avg(fold_r1) AS a, avg(fold_r2) AS b, count(*) AS n FROM manifest GROUP BY 1)")
+def o03w(s, d):
+    g = manifest(s, d).groupBy("group_id").agg(F.avg("fold_r1").alias("a"), F.avg("fold_r2").alias("b"), F.count(F.lit(1)).alias("n"))
+    return WN.placed(g.select("group_id", "n", F.greatest("a", "b").alias("worst")), "worst", "n", "group_id").select("group_id", "place")
+
+
 @query("o04_pages", f"WITH {MANIFEST_SQL} SELECT centre, CAST(floor((row_number() OVER (PARTITION BY centre ORDER BY filepath) - 1) / 16) AS BIGINT) AS page, filepath FROM manifest WHERE label_int = 1")
 def o04(s, d):
     return WN.numbered(manifest(s, d).where("label_int = 1"), ["centre"], "filepath").select("centre", F.floor((F.col("rn") - 1) / 16).cast("long").alias("page"), "filepath")

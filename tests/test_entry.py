@@ -27,3 +27,11 @@ def test_queries_match_sql(spark, name):
     assert columns == sorted(want.columns)
     tidy = lambda rows: sorted(tuple("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
     assert tidy([r[c] for c in columns] for r in got.collect()) == tidy([dict(zip(want.columns, r))[c] for c in columns] for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name, rows", [("p14_permutation_whole", "SELECT count(*) FROM orders"), ("o03_multi_key_whole", "SELECT count(DISTINCT o_custkey) FROM orders")])
+def test_whole_tables_are_ranked(spark, name, rows):
+    test_queries_match_sql(spark, name)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
+    assert entry.queries()[name](spark, SF).count() == con.sql(rows).fetchall()[0][0]
