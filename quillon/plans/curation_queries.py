@@ -237,6 +237,17 @@ def s16(s, d):
     return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).where("pos < 4").select("vec_id", F.col("pos").cast("long").alias("pos"), "x")
 
 
+@query("s16_array_files_whole", "SELECT vec_id, CAST(i AS BIGINT) AS pos, embedding[i + 1] AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)")
+def s16w(s, d):
+    return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), "x")
+
+
+@query("k05_ordered_list_whole", "SELECT user_id, list(value ORDER BY event_id) AS scores FROM events GROUP BY user_id")
+def k05w(s, d):
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    return table(s, d, "events").groupBy("user_id").agg(F.transform(rows, lambda x: x["value"]).alias("scores"))
+
+
 @query("k05_ordered_list", "SELECT user_id, list(value ORDER BY event_id) AS scores FROM events WHERE user_id < 20 GROUP BY user_id")
 def k05(s, d):
     rows = F.array_sort(F.collect_list(F.struct("event_id", "value")))

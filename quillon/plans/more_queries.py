@@ -54,6 +54,14 @@ def s15(s, d):
     return readers.read_lines(s, f).groupBy(part("unit=([0-9]+)").cast("long").alias("unit")).agg(r6(F.max(part("value=([-0-9.E]+)").cast("double"))).alias("best"))
 
 
+@query("s15_log_segments_whole", "SELECT CAST(user_id AS BIGINT) AS unit, round(max(value), 6) AS best FROM events GROUP BY 1")
+def s15w(s, d):
+    f = temporary_folder(s)
+    table(s, d, "events").select(F.format_string("RUN unit=%d value=%s end", "user_id", F.col("value").cast("string"))).write.text(f)
+    part = lambda p: F.regexp_extract("value", p, 1)
+    return readers.read_lines(s, f).groupBy(part("unit=([0-9]+)").cast("long").alias("unit")).agg(r6(F.max(part("value=([-0-9.E]+)").cast("double"))).alias("best"))
+
+
 @query("s17_list_file", f"WITH {PRED_SQL} SELECT filepath, centre FROM manifest WHERE image_id % 20 = 0")
 def s17(s, d):
     f = temporary_folder(s)

@@ -35,3 +35,12 @@ def test_whole_tables_are_ranked(spark, name, rows):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{SF}/orders.parquet'")
     assert entry.queries()[name](spark, SF).count() == con.sql(rows).fetchall()[0][0]
+
+
+@pytest.mark.parametrize("name, rows", [("k05_ordered_list_whole", "SELECT count(DISTINCT user_id) FROM events"), ("s16_array_files_whole", "SELECT sum(len(embedding)) FROM embeddings"), ("s15_log_segments_whole", "SELECT count(DISTINCT user_id) FROM events")])
+def test_whole_tables_and_arrays_are_read(spark, name, rows):
+    test_queries_match_sql(spark, name)
+    con = duckdb.connect()
+    for t in ("events", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    assert entry.queries()[name](spark, SF).count() == con.sql(rows).fetchall()[0][0]
