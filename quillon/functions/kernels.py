@@ -11,22 +11,46 @@ from pyspark.sql import functions as F
 
 
 def inner_square(cx: Column, cy: Column, radius: Column, width: Column, height: Column) -> Column:
-    """The square inscribed in a circle, rounded half to even and clamped to the image: left, top, right, bottom."""
-    half = F.floor(radius * F.sqrt(F.lit(2.0))) / 2
-    edge = lambda c, sign, most: F.least(F.greatest(F.bround(c + sign * half).cast("long"), F.lit(0).cast("long")), most.cast("long"))
-    return F.struct(edge(cx, -1, width).alias("left"), edge(cy, -1, height).alias("top"), edge(cx, 1, width).alias("right"), edge(cy, 1, height).alias("bottom"))
+    """The square inscribed in a circle: left, top, right, bottom.
 
+    The corner is rounded half to even and the side added to it; then both are clamped to the image.
+    """
+    side = F.floor(radius * F.sqrt(F.lit(2.0))).cast("long")
+    left, top = F.bround(cx - side / 2).cast("long"), F.bround(cy - side / 2).cast("long")
+    zero = F.lit(0).cast("long")
+    return F.struct(
+        F.greatest(left, zero).alias("left"), F.greatest(top, zero).alias("top"), F.least(left + side, width.cast("long")).alias("right"), F.least(top + side, height.cast("long")).alias("bottom")
+    )
 
-def crop_box(radius: Column, fit_quality: Column, width: Column, height: Column, cx: Column, cy: Column, floor: float = 0.904) -> Column:
-    """The inner square, or a centred square of three quarters of the shorter side, with the reason."""
-    reason = F.when(radius.isNull() | (radius <= 0), "no content").when(fit_quality < floor, "fit_quality below floor").otherwise("")
-    side = (0.75 * F.least(width, height)) / F.sqrt(F.lit(2.0))
-    box = F.when(reason == "", inner_square(cx, cy, radius, width, height)).otherwise(inner_square(width / 2, height / 2, side, width, height))
-    return F.struct(box.alias("box"), reason.alias("reason"))
+
+def centred_square(width: Column, height: Column, share: float = 0.75) -> Column:
+    """The centred square of a share of the shorter side, at least one pixel."""
+    side = F.greatest(F.floor(share * F.least(width, height)), F.lit(1)).cast("long")
+    left, top = F.floor((width - side) / 2).cast("long"), F.floor((height - side) / 2).cast("long")
+    return F.struct(left.alias("left"), top.alias("top"), (left + side).alias("right"), (top + side).alias("bottom"))
 
 
-def scaled_magnitude(value: Column, identity: Column, scale: float) -> Column:
-    return identity + scale * (value - identity)
+def crop_box(radius: Column, fit_quality: Column, width: Column, height: Column, cx: Column, cy: Column, floor: float = 0.904) -> Column:
+    """box, used_fallback, fit_quality, reason: the inner square, or the centred square where there is no content (a null
+    radius), the fit is poor, or the inner square is empty."""
+    box = inner_square(cx, cy, radius, width, height)
+    w, h = box["right"] - box["left"], box["bottom"] - box["top"]
+    reason = (
+        F.when(radius.isNull(), "no non-black pixels found")
+        .when(fit_quality < floor, F.format_string(f"fit_quality %.4f < floor {floor:.4f}", fit_quality))
+        .when((w <= 0) | (h <= 0), F.format_string("degenerate inner box (%dx%d)", w, h))
+        .otherwise("")
+    )
+    return F.struct(F.when(reason == "", box).otherwise(centred_square(width, height)).alias("box"), (reason != "").alias("used_fallback"), F.when(radius.isNotNull(), fit_quality).alias("fit_quality"), reason.alias("reason"))
+
+
+def scaled_magnitude(value: Column, identity: Column, scale: float, *, whole: bool = False, count: bool = False, applied: Column | None = None) -> Column:
+    """A magnitude moved towards its identity; whole numbers are rounded half to even; a count is divided by scale ** 2
+    instead (and kept at scale 0). Rows on which it was applied before, and all at scale 1, stay."""
+    moved = (value / (scale * scale) if scale > 0 else value) if count else identity + scale * (value - identity)
+    moved = F.bround(moved) if whole else moved
+    moved = value if scale == 1.0 else moved
+    return moved if applied is None else F.when(applied, value).otherwise(moved)
 
 
 def consensus(votes: Column, need: int = 3) -> Column:
@@ -36,9 +60,18 @@ def consensus(votes: Column, need: int = 3) -> Column:
 
 
 def warmup_cosine(step: Column, total: int, warmup: float) -> Column:
-    """Learning-rate factor: linear up to warmup * total, then half a cosine down to 0."""
-    w = max(1, int(total * warmup))
-    return F.when(step < w, (step + 1) / F.lit(float(w))).otherwise(0.5 * (1 + F.cos(F.lit(np.pi) * (step - w) / F.lit(float(max(1, total - w))))))
+    """Learning-rate factor: linear over round(warmup * total) steps (one at least, none for a warm-up of 0), then half a
+    cosine down to 0, where it stays."""
+    w = max(1, round(total * warmup)) if warmup > 0 else 0
+    progress = F.least(F.greatest((step - w) / F.lit(float(max(1, total - w))), F.lit(0.0)), F.lit(1.0))
+    cosine = 0.5 * (1 + F.cos(F.lit(np.pi) * progress))
+    return F.when(step < w, (step + 1) / F.lit(float(w))).otherwise(cosine) if w else cosine
+
+
+def restriction_schedule(epoch: Column, target: float = 0.15, warmup: int = 5, anneal: int = 5) -> Column:
+    """The share of negatives that a restricted loss uses: null during the warm-up, then linear from 1 to the target."""
+    t = F.least((epoch - warmup) / F.lit(float(max(1, anneal - 1))), F.lit(1.0)) if anneal > 1 else F.lit(1.0)
+    return F.when(epoch >= warmup, 1.0 + t * (target - 1.0))
 
 
 def _plane(flat, side: int) -> np.ndarray:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, draw, hamming
+from ..sources.shared import shared_folder
 from .relational import numbered_groups
 from .windows import numbered, with_group
 
@@ -23,38 +27,100 @@ def resolve_duplicates(df: DataFrame, *, hash: str = "sha256_hash", id: str = "f
     return with_group(df, [hash], first__=F.min(id)).withColumn("keep_for_training", F.col(id) == F.col("first__")).drop("first__")
 
 
-def bands(code: Column, threshold: int, bits: int = 64) -> Column:
-    """threshold + 1 slices of a code: codes within the threshold agree on at least one."""
-    n = threshold + 1
-    edges = [bits * i // n for i in range(n + 1)]
-    slices = [F.shiftrightunsigned(code, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long") if edges[i + 1] - edges[i] < 64 else F.lit(-1).cast("long")) for i in range(n)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), s.alias("value")) for i, s in enumerate(slices)])
+def _slices(bits: int, parts: int) -> list[tuple[int, int]]:
+    """Start and width of `parts` slices of nearly equal width."""
+    edges = [bits * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def slicing(n: int, threshold: int, bits: int = 64) -> tuple[int, int]:
+    """How many slices a code is cut into and how many bits may differ in one, for n codes.
+
+    Of m slices one differs in at most threshold // m bits. Fewer, wider slices meet fewer codes by chance but have more
+    neighbours to look up; the choice has the least lookups and chance meetings together.
+    """
+    best = None
+    for near in range(4):
+        m = threshold // (near + 1) + 1
+        lookups = sum(sum(math.comb(w, k) for k in range(near + 1)) for _, w in _slices(bits, m))
+        meetings = sum(n * n * sum(math.comb(w, k) for k in range(near + 1)) / 2.0**w for _, w in _slices(bits, m))
+        cost = n * lookups + meetings
+        if best is None or cost < best[0]:
+            best = (cost, m, near)
+    return best[1], best[2]
+
+
+def _cut(df: DataFrame, code: str, parts: int, near: int) -> DataFrame:
+    """code, band, value: each slice of each code, with all values up to `near` bits away."""
+    rows = []
+    for band, (start, width) in enumerate(_slices(64, parts)):
+        masks = [sum(1 << b for b in c) for k in range(near + 1) for c in combinations(range(width), k)]
+        value = F.shiftrightunsigned(F.col(code), start).bitwiseAND(F.lit((1 << width) - 1).cast("long")) if width < 64 else F.col(code)
+        rows.append(F.struct(F.lit(band).alias("band"), value.alias("value"), F.array(*[F.lit(m).cast("long") for m in masks]).alias("masks")))
+    each = df.select(code, F.explode(F.array(*rows)).alias("s")).select(code, "s.band", "s.value", F.explode("s.masks").alias("mask"))
+    return each.select(code, "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, threshold: int, *, id: str = "id", code: str = "code", self_join: bool = True) -> DataFrame:
     """(a, b, distance) of all pairs of codes within a Hamming threshold, exactly: an equi-join on slices, then the test.
 
-    Ids of equal codes meet through their code, so many copies of one code cost their distinct code once.
+    One side looks up its slices with all values a few bits away; how wide slices are follows from the number of
+    distinct codes (see slicing). Ids of equal codes meet through their code, so many copies of one code cost their
+    distinct code once.
     """
     l = left.select(F.col(id).alias("a"), F.col(code).alias("ca"))
     r = right.select(F.col(id).alias("b"), F.col(code).alias("cb"))
-    cut = lambda df, c: df.select(c).distinct().withColumn("s", F.explode(bands(F.col(c), threshold))).select(c, "s.band", "s.value")
-    codes = cut(l, "ca").join(cut(r, "cb"), ["band", "value"]).where(hamming(F.col("ca"), F.col("cb")) <= threshold).select("ca", "cb").distinct()
+    ours, theirs = l.select("ca").distinct(), r.select("cb").distinct()
+    parts, near = slicing(max(1, theirs.count()), threshold)
+    codes = _cut(ours, "ca", parts, near).join(_cut(theirs, "cb", parts, 0), ["band", "value"]).where(hamming(F.col("ca"), F.col("cb")) <= threshold).select("ca", "cb").distinct()
     pairs = codes.join(l, "ca").join(r, "cb").select("a", "b", hamming(F.col("ca"), F.col("cb")).alias("distance"))
     return pairs.where("a < b") if self_join else pairs
 
 
-def nearest(df: DataFrame, k: int, *, id: str = "id", code: str = "code", blocks: int = 16) -> DataFrame:
-    """The k nearest other codes of each, ties by id: all pairs of blocks of codes, k kept a block before the merge.
+def either_pairs(left: DataFrame, right: DataFrame, thresholds: dict[str, int], *, id: str = "id", self_join: bool = True) -> DataFrame:
+    """(a, b, and the distance of each code) of pairs that are within the threshold of at least one of several codes."""
+    names = list(thresholds)
+    found = None
+    for c in names:
+        some = hamming_pairs(left, right, thresholds[c], id=id, code=c, self_join=self_join).select("a", "b")
+        found = some if found is None else found.unionByName(some)
+    l = left.select(F.col(id).alias("a"), *[F.col(c).alias(f"l_{c}") for c in names])
+    r = right.select(F.col(id).alias("b"), *[F.col(c).alias(f"r_{c}") for c in names])
+    return found.distinct().join(l, "a").join(r, "b").select("a", "b", *[hamming(F.col(f"l_{c}"), F.col(f"r_{c}")).cast("long").alias(f"{c}_distance") for c in names])
+
 
-    The work is quadratic in the number of codes; only k rows of each block leave a task.
+def nearest(df: DataFrame, k: int, *, id: str = "id", code: str = "code", block: int = 2048, span: int = 1 << 20) -> DataFrame:
+    """The k nearest other codes of each, ties by id: every block of codes against all codes, in spans.
+
+    The method compares all pairs; a task holds one block's distances to one slice of codes, and k rows of each code and
+    span leave it. Blocks and spans are dealt by hash, so neither grows with the input but their number.
     """
-    left = df.select(F.col(id).alias("i"), F.col(code).alias("ci"))
-    right = df.select(F.col(id).alias("j"), F.col(code).alias("cj")).withColumn("block", F.pmod(F.xxhash64("j"), F.lit(blocks)))
-    spread = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    near = spread.join(right, "block").where("i <> j").select("i", "block", F.struct(hamming(F.col("ci"), F.col("cj")).alias("d"), F.col("j")).alias("n"))
-    some = near.groupBy("i", "block").agg(F.slice(F.sort_array(F.collect_list("n")), 1, k).alias("best"))
-    return some.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best")).select("i", F.posexplode("best").alias("rank", "n")).select("i", F.col("n.j").alias("j"), F.col("n.d").alias("distance"), (F.col("rank") + 1).cast("long").alias("rank"))
+    n = df.count()
+    blocks, spans = max(1, -(-n // block)), max(1, -(-n // span))
+    # Codes travel packed: a row holds a piece of up to about `block` codes.
+    piece = df.groupBy(F.pmod(F.xxhash64(id), F.lit(blocks)).alias("piece")).agg(F.array_sort(F.collect_list(F.struct(F.col(id).cast("long").alias("i"), F.col(code).cast("long").alias("c")))).alias("rows"))
+    own = piece.select(F.col("piece").alias("block"), "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spans - 1).cast("long"))).alias("span"), F.lit(True).alias("own"))
+    every = piece.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "rows", F.pmod(F.col("piece"), F.lit(spans)).alias("span"), F.lit(False).alias("own"))
+    both = own.unionByName(every)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        split = lambda rows: (np.array([x["i"] for x in rows], np.int64), np.array([x["c"] for x in rows], np.int64))
+        mine = pdf.loc[pdf.own, "rows"]
+        ids, codes = split(mine.iloc[0])
+        best_d, best_i = np.full((len(ids), k), 1 << 20), np.full((len(ids), k), np.iinfo(np.int64).max)
+        for rows in pdf.loc[~pdf.own, "rows"]:
+            other, c = split(rows)
+            d = np.bitwise_count((codes[:, None] ^ c[None, :]).view(np.uint64)).astype(np.int64)
+            d[ids[:, None] == other[None, :]] = 1 << 20
+            all_d, all_i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(other, d.shape)])
+            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+        keep = best_d < 1 << 20
+        return pd.DataFrame({"i": np.repeat(ids, k)[keep.ravel()], "j": best_i[keep], "d": best_d[keep]})
+
+    some = both.groupBy("block", "span").applyInPandas(run, "i long, j long, d long")
+    best = some.groupBy("i").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "j"))), 1, k).alias("best"))  # k rows a span
+    return best.select("i", F.posexplode("best").alias("rank", "n")).select("i", F.col("n.j").alias("j"), F.col("n.d").alias("distance"), (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def mutual_edges(knn: DataFrame, threshold: int) -> DataFrame:
@@ -63,16 +129,18 @@ def mutual_edges(knn: DataFrame, threshold: int) -> DataFrame:
     return near.alias("x").join(near.select(F.col("i").alias("j"), F.col("j").alias("i")), ["i", "j"]).where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
 
 
+def shared_checkpoints(spark: SparkSession) -> None:
+    """The context's checkpoint folder is the one that the session names."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, *, id: str = "id") -> DataFrame:
     """(id, label): the least id of each component; nodes without edges are their own.
 
     Every node and its neighbours are linked to the least of them until nothing changes; each round is checkpointed.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+    shared_checkpoints(nodes.sparkSession)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(now)
@@ -113,8 +181,6 @@ def group_folds(df: DataFrame, repeats: int, folds: int, *, group: str = "group_
     work = counts.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long")))).withColumn("order", draw("fold", F.col("repeat"), F.col(group)))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values(["order", group])
         y = pdf[["pos", "neg"]].to_numpy(float)
         total = np.maximum(y.sum(0), 1)
@@ -179,6 +245,24 @@ def validate_dump(df: DataFrame, by: list[str], expected_rows: int) -> DataFrame
     return g.select(*by, (reason == "ok").alias("ok"), reason.alias("reason"))
 
 
+def validate_units(df: DataFrame, expected: DataFrame, by: list[str], held: dict[str, str]) -> DataFrame:
+    """by, ok, reason of every expected unit (n_rows, n_pos): absent, row count, duplicates, class counts, a column that
+    differs from the unit's own (held: column -> key), not finite, degenerate; the first fault gives the reason.
+
+    An unreadable file or another schema fails before this, when the dump is read.
+    """
+    bad = F.isnan("logit") | F.col("logit").isNull() | (F.abs("logit") == float("inf"))
+    g = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("filepath").alias("ids"), F.sum("label_int").alias("p"), count_if(bad).alias("bad"), F.countDistinct("logit").alias("values"), *[count_if(~F.col(c).eqNullSafe(F.col(k))).alias(f"off_{c}") for c, k in held.items()]
+    )
+    j = expected.join(g, by, "left")
+    reason = F.when(F.col("n").isNull(), "absent").when(F.col("n") != F.col("n_rows"), "row count").when(F.col("ids") < F.col("n"), "duplicates").when(F.col("p") != F.col("n_pos"), "class counts")
+    for c, k in held.items():
+        reason = reason.when(F.col(f"off_{c}") > 0, f"{k} mismatch")
+    reason = reason.when(F.col("bad") > 0, "not finite").when(F.col("values") <= 1, "degenerate").otherwise("ok")
+    return j.select(*by, (reason == "ok").alias("ok"), reason.alias("reason"))
+
+
 def distinct_scores(df: DataFrame, score: str, content: str, ratio: float = 0.99) -> DataFrame:
     """Whether nearly every distinct input got a score of its own."""
     return df.agg(F.countDistinct(score).alias("scores"), F.countDistinct(F.sha2(F.col(content).cast("string"), 256)).alias("inputs")).withColumn("ok", F.col("scores") > F.col("inputs") * ratio)

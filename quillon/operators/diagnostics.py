@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if, finite
-from .windows import average_rank, numbered
+from .windows import attach, average_rank, numbered
 
 
 def dice_iou(a: Column, b: Column) -> tuple[Column, Column]:
@@ -44,6 +44,17 @@ def mann_whitney(df: DataFrame, by: list[str], value: str, group: str) -> DataFr
     return ranked.groupBy(*by).agg(n1.alias("n1"), n2.alias("n2"), u.alias("u"), F.try_divide(u, (n1 * n2).cast("double")).alias("auc"))
 
 
+def mann_whitney_z(df: DataFrame, by: list[str], value: str, group: str) -> DataFrame:
+    """mann_whitney with z, by the normal approximation with corrections for ties and continuity."""
+    ties = df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("t__"))
+    ties = ties.groupBy(*by).agg(F.sum("t__").alias("rows__"), F.sum(F.pow("t__", F.lit(3.0)) - F.col("t__")).alias("ties__"))
+    j = attach(mann_whitney(df, by, value, group), ties, by)
+    gap = F.col("u") - F.col("n1") * F.col("n2") / 2.0
+    n = F.col("rows__")
+    var = F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.coalesce(F.try_divide(F.col("ties__"), n * (n - 1)), F.lit(0.0)))
+    return j.withColumn("z", F.try_divide(gap - 0.5 * F.signum(gap), F.sqrt(var))).drop("rows__", "ties__")
+
+
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts of all combinations of the values of a and b, zeros included."""
     n = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
@@ -79,7 +90,7 @@ def hypergeometric_tail(k: Column, drawn: Column, good: Column, total: Column) -
 
 def enrichment(df: DataFrame, by: list[str], category: str, score: str, id: str, n: int) -> DataFrame:
     """Each category's share of the n highest scores over its share of all rows; null where it has none."""
-    top = numbered(df, by, F.desc(score), id, name="rn__")
+    top = numbered(df, by, f"-{score}", id, name="rn__")
     counted = top.groupBy(*by, category).agg(F.count(F.lit(1)).alias("all_n"), count_if(F.col("rn__") <= n).alias("top_n"))
     totals = counted.groupBy(*by).agg(F.sum("all_n").alias("a__"), F.sum("top_n").alias("t__"))
     joined = counted.join(totals, by) if by else counted.crossJoin(F.broadcast(totals))  # one row

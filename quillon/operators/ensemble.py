@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import aligned_join, subsets
+from .relational import aligned_join
 from .windows import mid_rank, zscore
 
 
@@ -16,9 +16,17 @@ def mean_ensemble(df: DataFrame, id: list[str], score: str, members: int, *, mem
 
 
 def subset_ensembles(df: DataFrame, id: list[str], score: str, members: int, *, member: str = "seed") -> DataFrame:
-    """(subset, k, id, score): the mean over every subset of the members, given as a bit mask."""
-    chosen = df.crossJoin(F.broadcast(subsets(df.sparkSession, members))).where(F.shiftright("subset", 0).bitwiseAND(F.expr(f"shiftleft(1L, cast({member} as int))")) != 0)  # 2 ** members rows
-    return chosen.groupBy("subset", "k", *id).agg(F.avg(score).alias(score))
+    """(subset, k, id, score): the mean over every subset of the members, given as a bit mask.
+
+    Each id's scores meet once in a row of `members` values; the subsets' means are computed there.
+    """
+    wide = df.groupBy(*id).agg(*[F.avg(F.when(F.col(member) == i, F.col(score))).alias(f"m{i}__") for i in range(members)])
+    rows = wide.withColumn("subset", F.explode(F.sequence(F.lit(1).cast("long"), F.lit((1 << members) - 1).cast("long"))))
+    on = [F.shiftright("subset", i).bitwiseAND(F.lit(1)) for i in range(members)]
+    # Members that an id lacks are left out, as in a mean over its rows.
+    total = sum((F.when((b == 1) & F.col(f"m{i}__").isNotNull(), F.col(f"m{i}__")).otherwise(0.0) for i, b in enumerate(on)), F.lit(0.0))
+    have = sum((F.when((b == 1) & F.col(f"m{i}__").isNotNull(), 1).otherwise(0) for i, b in enumerate(on)), F.lit(0))
+    return rows.where(have > 0).select("subset", F.bit_count("subset").cast("int").alias("k"), *id, (total / have).alias(score))
 
 
 def fuse(a: DataFrame, b: DataFrame, id: str, how: str = "logit", *, label: str = "label_int") -> DataFrame:

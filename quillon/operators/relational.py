@@ -23,11 +23,18 @@ def holdout_split(m: DataFrame, centre: str) -> tuple[DataFrame, DataFrame]:
 
 
 def permuted(df: DataFrame, seed: int, id: str) -> DataFrame:
-    """Positions in an order by a keyed hash, numbered by prefix sums over ranges of the hash."""
+    """Positions in an order by a keyed hash, numbered by prefix sums over ranges of the hash.
+
+    The order is never the ids' own: where the hash happens to sort two ids or more, all positions move on by one.
+    """
     h = df.withColumn("h__", draw(seed, F.col(id)))
     at = running_sums(h.groupBy("h__").agg(F.count(F.lit(1)).alias("k__")), [], "h__", ["k__"], descending=False)
     ties = numbered(h, ["h__"], id, name="t__")
-    return ties.join(at, "h__").withColumn("position", (F.col("k___to") - F.col("k__") + F.col("t__")).cast("long")).drop("h__", "k__", "k___to", "t__")
+    placed = ties.join(at, "h__").withColumn("position", (F.col("k___to") - F.col("k__") + F.col("t__")).cast("long")).drop("h__", "k__", "k___to", "t__")
+    follows = placed.select(F.col(id).alias("next__"), (F.col("position") - 1).alias("position"))
+    falls = placed.select(F.col(id).alias("own__"), "position").join(follows, "position").agg(F.coalesce(F.bool_or(F.col("own__") > F.col("next__")), F.lit(False)).alias("falls__"), F.count(F.lit(1)).alias("n__"))
+    moved = F.when(F.col("falls__") | (F.col("n__") == 0), F.col("position")).otherwise(F.col("position") % (F.col("n__") + 1) + 1)
+    return placed.crossJoin(F.broadcast(falls)).withColumn("position", moved).drop("falls__", "n__")  # one row
 
 
 def present(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -97,9 +104,10 @@ def range_overlap(df: DataFrame, group: str, value: str) -> DataFrame:
     return l.join(r, F.col("a") < F.col("b")).select("a", "b", F.when(F.greatest("l1", "l2") > F.least("h1", "h2"), "DISJOINT").otherwise("OVERLAP").alias("verdict"))
 
 
-def persistent(df: DataFrame, id: str, group: str, times: int) -> DataFrame:
-    """Ids that occur in at least `times` groups."""
-    return df.groupBy(id).agg(F.countDistinct(group).alias("k")).where(F.col("k") >= times).select(id)
+def persistent(df: DataFrame, id: str, group: str) -> DataFrame:
+    """Ids that occur in every group."""
+    groups = df.agg(F.countDistinct(group).alias("groups"))
+    return df.groupBy(id).agg(F.countDistinct(group).alias("k")).crossJoin(F.broadcast(groups)).where(F.col("k") == F.col("groups")).select(id)  # one row
 
 
 def share_deviation(df: DataFrame, by: str, condition: Column) -> DataFrame:

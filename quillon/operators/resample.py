@@ -136,3 +136,79 @@ def epoch_seed(seed: Column, epoch: Column) -> Column:
     """(seed * 1000003 + epoch * 9176053 + 17) mod (2^63 - 1), without overflow."""
     wide = lambda c: c.cast("decimal(38,0)")
     return F.pmod(wide(seed) * 1000003 + wide(epoch) * 9176053 + 17, F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
+
+
+def spread_negatives(df: DataFrame, factors: list[float], *, label: str = "label_int", score: str = "logit") -> DataFrame:
+    """df once for each factor m, with the negatives' distances from their mean multiplied by it."""
+    mean = df.where(F.col(label) == 0).agg(F.avg(score).alias("mean__"))
+    moved = F.when(F.col(label) == 0, F.col("mean__") + F.col("m") * (F.col(score) - F.col("mean__"))).otherwise(F.col(score))
+    return df.crossJoin(F.broadcast(mean)).withColumn("m", F.explode(F.array(*[F.lit(float(x)) for x in factors]))).withColumn(score, moved).drop("mean__")  # one row
+
+
+def empirical_draws(df: DataFrame, value: str, n: int, seed: int) -> DataFrame:
+    """(item, value): n draws from the distribution of a column of few values, through its inverse."""
+    from pyspark.sql import Window as W
+
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    whole = F.sum("c").over(W.partitionBy())
+    cdf = counts.select(value, (upto / whole).alias("hi"), ((upto - F.col("c")) / whole).alias("lo"))
+    items = df.sparkSession.range(n).select(F.col("id").alias("item")).withColumn("u", uniform(seed, F.col("item")))
+    return items.join(F.broadcast(cdf), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("item", value)  # a row a distinct value
+
+
+def probe_selection(df: DataFrame, total: int, positives: int, *, seed: int, stratum: str = "centre", label: str = "label_int", id: str = "filepath") -> DataFrame:
+    """`total` rows of df: a floor of positives split by the strata's shares of them, the rest negatives by theirs.
+
+    A stratum gets its rounded share (half to even, one at least), the last by name what is left; rows are taken in a
+    keyed-hash order. What a stratum lacks is filled from all other rows in that order, a surplus is cut in it.
+    """
+    from pyspark.sql import Window as W
+
+    counts = df.groupBy(stratum, label).agg(F.count(F.lit(1)).alias("n"))
+
+    def quotas(of: DataFrame, want) -> DataFrame:
+        whole = W.partitionBy()
+        share = F.greatest(F.bround(want * F.col("n") / F.sum("n").over(whole)), F.lit(1.0))
+        last = F.col(stratum) == F.max(stratum).over(whole)
+        rows = of.withColumn("last__", last).withColumn("q__", F.when(last, 0.0).otherwise(share))
+        return rows.select(stratum, label, "n", F.when(F.col("last__"), want - F.sum("q__").over(whole)).otherwise(F.col("q__")).alias("quota"))
+
+    pos = quotas(counts.where(F.col(label) == 1), F.lit(float(positives)))
+    got = pos.agg(F.coalesce(F.sum(F.least("quota", "n")), F.lit(0.0)).alias("got__"))
+    neg = quotas(counts.where(F.col(label) == 0).crossJoin(F.broadcast(got)), total - F.col("got__"))  # one row
+    plan = pos.unionByName(neg).select(stratum, label, "quota")
+    keyed = df.withColumn("h__", draw(seed, F.col(id)))
+    rows = numbered(keyed, [stratum, label], "h__", id, name="rn__").join(F.broadcast(plan), [stratum, label], "left")  # a row a stratum and label
+    rows = rows.withColumn("later__", (F.col("rn__") > F.coalesce("quota", F.lit(0.0))).cast("int"))
+    return rows.orderBy("later__", "h__", id).limit(total).select(*df.columns)
+
+
+def sd_for_target(df: DataFrame, k: int, target: float, *, draws: int, start: float = 1.0, most: int = 20, width: float = 0.005, seed: int = 0) -> tuple:
+    """(sd, highest sd tried, median there, steps): where the median AUROC under random centre offsets falls to a target.
+
+    The upper end is doubled until the median is at or below the target (none found: a null sd), then the bracket is
+    halved to `width`. One simulation a step; the driver holds one number of each.
+    """
+    spark, steps = df.sparkSession, 0
+
+    def median(sd: float) -> float:
+        nonlocal steps
+        steps += 1
+        sims = offset_simulation(df, spark.createDataFrame([(k, sd)], "k long, sd double"), draws, seed=seed)
+        return sims.agg(F.percentile("roc_auc", F.lit(0.5))).first()[0]
+
+    low, high = 0.0, start
+    at = median(high)
+    for _ in range(most):
+        if at <= target:
+            break
+        low, high = high, high * 2
+        at = median(high)
+    top, at_top = high, at
+    if at > target:
+        return None, top, at_top, steps
+    while high - low >= width:
+        middle = (low + high) / 2
+        low, high = (middle, high) if median(middle) > target else (low, middle)
+    return (low + high) / 2, top, at_top, steps

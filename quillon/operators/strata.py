@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import count_if
 from . import ranking as R
-from .windows import numbered
+from .windows import numbered, running_sums
 
 
 def kish(w: Column) -> Column:
@@ -51,13 +51,22 @@ def prior_equalised(df: DataFrame, by: list[str], stratum: str, weights: DataFra
 def restricted_pairs(df: DataFrame, *, max_fpr: float, pos_fraction: float, label: str = "label_int", score: str = "logit", id: str = "filepath", margin: float = 1.0) -> DataFrame:
     """Mean over the pairs of the lowest positives and the highest negatives: step (0.5 at ties) and squared hinge.
 
-    The grid has ceil(pos_fraction * P) x ceil(max_fpr * N) pairs by definition. Its step sum needs no pairs (counts of
-    negatives below each positive), but the hinge does.
+    The grid has ceil(pos_fraction * P) x ceil(max_fpr * N) pairs by definition. They are never built: both sums follow
+    from the count, sum and sum of squares of the chosen negatives above each positive (less the margin).
     """
     n = df.agg(count_if(F.col(label) == 1).alias("p"), count_if(F.col(label) == 0).alias("q"))
     counted = df.crossJoin(F.broadcast(n))  # one row
-    pos = numbered(counted.where(F.col(label) == 1), [label], score, id).where(F.col("rn") <= F.ceil(F.lit(pos_fraction) * F.col("p"))).select(F.col(score).alias("a"))
-    neg = numbered(counted.where(F.col(label) == 0), [label], F.desc(score), id).where(F.col("rn") <= F.ceil(F.lit(max_fpr) * F.col("q"))).select(F.col(score).alias("b"))
-    gap = F.col("a") - F.col("b")
-    step = F.when(gap > 0, 1.0).when(gap == 0, 0.5).otherwise(0.0)
-    return pos.crossJoin(neg).agg(F.avg(step).alias("step"), F.avg(F.pow(F.greatest(margin - gap, F.lit(0.0)), 2)).alias("hinge"), F.count(F.lit(1)).alias("pairs"))
+    pos = numbered(counted.where(F.col(label) == 1), [], score, id).where(F.col("rn") <= F.ceil(F.lit(pos_fraction) * F.col("p"))).select(F.col(score).cast("double").alias("a"))
+    neg = numbered(counted.where(F.col(label) == 0), [], f"-{score}", id).where(F.col("rn") <= F.ceil(F.lit(max_fpr) * F.col("q"))).select(F.col(score).cast("double").alias("b"))
+    none = F.lit(0.0)
+    weights = neg.groupBy(F.col("b").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("b").alias("s"), F.sum(F.col("b") * F.col("b")).alias("ss")).withColumn("own", F.lit(0))
+    asked = lambda at: pos.groupBy(at.alias("v")).agg(none.alias("n"), none.alias("s"), none.alias("ss"), F.count(F.lit(1)).cast("int").alias("own"))
+    above = lambda at: running_sums(weights.unionByName(asked(at)), [], "v", ["n", "s", "ss"]).where("own > 0")
+    m = F.col("v")  # the positive less the margin: pairs above it break the margin
+    broken = above(F.col("a") - margin).agg(F.sum(F.col("own") * (F.col("ss_to") - 2 * m * F.col("s_to") + m * m * F.col("n_to"))).alias("hinge"))
+    tied = weights.select("v", F.col("n").alias("ties"))
+    ranked = above(F.col("a")).join(tied, "v", "left").agg(F.sum(F.col("own") * (F.col("n_to") - F.coalesce("ties", none) / 2)).alias("lost"), F.sum("own").alias("k"))
+    total = neg.agg(F.count(F.lit(1)).alias("chosen"))
+    pairs = F.col("k") * F.col("chosen")
+    one = ranked.crossJoin(F.broadcast(broken)).crossJoin(F.broadcast(total))  # one row each
+    return one.select((1 - F.try_divide(F.col("lost"), pairs)).alias("step"), F.try_divide(F.col("hinge"), pairs).alias("hinge"), pairs.cast("long").alias("pairs"))

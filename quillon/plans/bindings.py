@@ -98,12 +98,25 @@ DUPS_SQL = "dups AS (SELECT doc_id, concat('doc_', lpad(CAST(doc_id AS VARCHAR),
 
 
 def codes(spark: SparkSession, d: str) -> DataFrame:
-    """embeddings -> vec_id, label, a 64-bit code of the signs."""
-    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
-    return table(spark, d, "embeddings").select("vec_id", "label", bits.alias("code"))
-
-
-CODES_SQL = "codes AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code FROM embeddings)"
+    """embeddings -> vec_id, label, two 64-bit codes: the signs (code), and whether a value exceeds the one before (dcode).
+
+    Ids that end in 7 take the codes of the id seven below them, with a few of the lowest bits turned, so that near codes
+    occur at many distances, also across labels.
+    """
+    sign = lambda condition: F.aggregate(F.transform("embedding", condition), F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    one, zero = F.expr("1L"), F.expr("0L")
+    rises = lambda x, i: F.when(x > F.get("embedding", i - 1), one).otherwise(zero)
+    e = table(spark, d, "embeddings").select("vec_id", "label", sign(lambda x, i: F.when(x > 0, one).otherwise(zero)).alias("code"), sign(rises).alias("dcode"))
+    source = e.select((F.col("vec_id") + 7).alias("vec_id"), F.col("code").alias("c0"), F.col("dcode").alias("d0")).where("vec_id % 10 = 7")
+    turned = lambda own, other, k: F.when(F.col(other).isNull(), F.col(own)).otherwise(F.col(other).bitwiseXOR(F.expr(f"shiftleft(1L, cast({k} as int)) - 1")))
+    tens = "floor(vec_id / 10)"
+    return e.join(source, "vec_id", "left").select("vec_id", "label", turned("code", "c0", f"{tens} % 17").alias("code"), turned("dcode", "d0", f"({tens} * 7) % 23").alias("dcode"))
+
+
+_TURN = lambda own, k: f"CASE WHEN o.vec_id IS NULL THEN c.{own} ELSE xor(o.{own}, concat(repeat('0', CAST(64 - {k} AS BIGINT)), repeat('1', CAST({k} AS BIGINT)))::BIT) END"
+CODES_SQL = f"""codes0 AS (SELECT vec_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code,
+  array_to_string(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN i > 1 AND embedding[i] > embedding[i - 1] THEN '1' ELSE '0' END), '')::BIT AS dcode FROM embeddings),
+codes AS (SELECT c.vec_id, c.label, {_TURN('code', 'floor(c.vec_id / 10) % 17')} AS code, {_TURN('dcode', '(floor(c.vec_id / 10) * 7) % 23')} AS dcode FROM codes0 c LEFT JOIN codes0 o ON c.vec_id % 10 = 7 AND o.vec_id = c.vec_id - 7)"""
 
 
 def batches(spark: SparkSession, d: str) -> DataFrame:

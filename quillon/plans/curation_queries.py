@@ -24,7 +24,7 @@ def g02(s, d):
 
 
 def _ids(s, d):
-    return codes(s, d).select(F.col("vec_id").alias("id"), "label", "code")
+    return codes(s, d).select(F.col("vec_id").alias("id"), "label", "code", "dcode")
 
 
 @query("g03_hamming", f"WITH {CODES_SQL} SELECT a.vec_id AS a, b.vec_id AS b, {_X} AS distance FROM codes a JOIN codes b ON b.vec_id = a.vec_id + 1")
@@ -60,10 +60,20 @@ _CC = """e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM codes a JOIN codes b ON
 r(n, m) AS (SELECT vec_id, vec_id FROM codes UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n WHERE r.m < e.b)"""
 
 
-@query("g04_hamming_clusters", f"WITH RECURSIVE {CODES_SQL}, {_CC.format(t=10)} SELECT n AS id, min(m) AS label FROM r GROUP BY n")
+_OR = lambda a, b: f"(bit_count(xor({a}.code, {b}.code)) <= 8 OR bit_count(xor({a}.dcode, {b}.dcode)) <= 6)"
+
+
+@query("j08_either_hash", f"WITH {CODES_SQL} SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.code, b.code)) AS BIGINT) AS code_distance, CAST(bit_count(xor(a.dcode, b.dcode)) AS BIGINT) AS dcode_distance FROM codes a JOIN codes b ON a.vec_id < b.vec_id WHERE {_OR('a', 'b')}")
+def j08e(s, d):
+    """Pairs within the threshold of either of two codes."""
+    c = _ids(s, d)
+    return C.either_pairs(c, c, {"code": 8, "dcode": 6})
+
+
+@query("g04_hamming_clusters", f"WITH RECURSIVE {CODES_SQL}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM codes a JOIN codes b ON a.vec_id <> b.vec_id WHERE {_OR('a', 'b')}), r(n, m) AS (SELECT vec_id, vec_id FROM codes UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.n WHERE r.m < e.b) SELECT n AS id, min(m) AS label FROM r GROUP BY n")
 def g04(s, d):
     c = _ids(s, d)
-    return C.connected_components(c, C.hamming_pairs(c, c, 10).select("a", "b"))
+    return C.connected_components(c, C.either_pairs(c, c, {"code": 8, "dcode": 6}).select("a", "b"))
 
 
 _KNN = f"""k AS (SELECT a.vec_id AS i, b.vec_id AS j, {_X} AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.code, b.code)), b.vec_id) AS rank FROM codes a JOIN codes b ON a.vec_id <> b.vec_id)"""
@@ -85,10 +95,14 @@ def g06(s, d):
     return C.connected_components(c, C.hamming_pairs(c, c, 12).select("a", "b"))
 
 
-@query("g07_sensitivity")
+_SENSE = lambda t: f"""r{t}(n, m) AS (SELECT vec_id, vec_id FROM codes UNION SELECT e.b, r{t}.m FROM r{t} JOIN (SELECT a.vec_id AS a, b.vec_id AS b FROM codes a JOIN codes b ON a.vec_id <> b.vec_id AND bit_count(xor(a.code, b.code)) <= {t}) e ON e.a = r{t}.n WHERE r{t}.m < e.b),
+s{t} AS (SELECT label, count(*) AS n FROM (SELECT n, min(m) AS label FROM r{t} GROUP BY n) GROUP BY label)"""
+
+
+@query("g07_sensitivity", f"WITH RECURSIVE {CODES_SQL}, {', '.join(_SENSE(t) for t in (6, 9, 12))} " + " UNION ALL ".join(f"SELECT CAST({t} AS BIGINT) AS threshold, count(*) AS clusters, CAST(max(n) AS BIGINT) AS largest, round(100.0 * max(n) / sum(n), 6) AS largest_pct FROM s{t}" for t in (6, 9, 12)))
 def g07(s, d):
     c = _ids(s, d)
-    return C.sensitivity(c, C.hamming_pairs(c, c, 12), [6, 9, 12])
+    return C.sensitivity(c, C.hamming_pairs(c, c, 12), [6, 9, 12]).select("threshold", "clusters", "largest", r6("largest_pct").alias("largest_pct"))
 
 
 @query("g08_degenerate_guard", "SELECT max(n) <= 0.2 * sum(n) AS ok, CAST(max(n) AS BIGINT) AS largest FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)")
@@ -115,9 +129,9 @@ def g11(s, d):
     return p.groupBy(F.when(F.col("distance") == 0, "exact").when(F.col("distance") <= 8, "near").otherwise("far").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g13_group_leakage", f"WITH {PRED_SQL}, x AS (SELECT *, image_id % 977 AS g FROM pred WHERE seed = 0 AND fold >= 0) SELECT v.fold, count(*) AS n, round(avg(v.logit), 6) AS mean FROM x v WHERE NOT EXISTS (SELECT 1 FROM x t WHERE t.g = v.g AND t.fold <> v.fold AND t.image_id % 2 = 0) GROUP BY v.fold")
+@query("g13_group_leakage", f"WITH {PRED_SQL}, x AS (SELECT *, image_id % 7919 AS g FROM pred WHERE seed = 0 AND fold >= 0) SELECT v.fold, count(*) AS n, round(avg(v.logit), 6) AS mean FROM x v WHERE NOT EXISTS (SELECT 1 FROM x t WHERE t.g = v.g AND t.fold <> v.fold AND t.image_id % 2 = 0) GROUP BY v.fold")
 def g13(s, d):
-    x = pred(s, d).where("seed = 0 and fold >= 0").withColumn("g", F.col("image_id") % 977)
+    x = pred(s, d).where("seed = 0 and fold >= 0").withColumn("g", F.col("image_id") % 7919)
     other = x.where("image_id % 2 = 0").select("g", F.col("fold").alias("f")).distinct().withColumn("fold", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda k: k != F.col("f"))))
     return L.without_leaks(x, other, ["g", "fold"]).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("logit")).alias("mean"))
 
@@ -232,28 +246,17 @@ def s14(s, d):
     return table(s, d, "events").withColumn("k", k).groupBy("user_id").agg(F.max("k").alias("highest"), F.max_by("k", "event_id").alias("latest"))
 
 
-@query("s16_array_files", "SELECT vec_id, CAST(i AS BIGINT) AS pos, embedding[i + 1] AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings) WHERE i < 4")
-def s16(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).where("pos < 4").select("vec_id", F.col("pos").cast("long").alias("pos"), "x")
-
-
-@query("s16_array_files_whole", "SELECT vec_id, CAST(i AS BIGINT) AS pos, embedding[i + 1] AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)")
+@query("s16_array_files", "SELECT vec_id, CAST(i AS BIGINT) AS pos, embedding[i + 1] AS x FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)")
 def s16w(s, d):
     return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), "x")
 
 
-@query("k05_ordered_list_whole", "SELECT user_id, list(value ORDER BY event_id) AS scores FROM events GROUP BY user_id")
+@query("k05_ordered_list", "SELECT user_id, list(value ORDER BY event_id) AS scores FROM events GROUP BY user_id")
 def k05w(s, d):
     rows = F.array_sort(F.collect_list(F.struct("event_id", "value")))
     return table(s, d, "events").groupBy("user_id").agg(F.transform(rows, lambda x: x["value"]).alias("scores"))
 
 
-@query("k05_ordered_list", "SELECT user_id, list(value ORDER BY event_id) AS scores FROM events WHERE user_id < 20 GROUP BY user_id")
-def k05(s, d):
-    rows = F.array_sort(F.collect_list(F.struct("event_id", "value")))
-    return table(s, d, "events").where("user_id < 20").groupBy("user_id").agg(F.transform(rows, lambda x: x["value"]).alias("scores"))
-
-
 @query("k08_text_histogram", "SELECT lang, repeat('#', CAST(floor(40.0 * count(*) / max(count(*)) OVER ()) AS INTEGER)) AS bar FROM documents GROUP BY lang")
 def k08(s, d):
     n = table(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))

@@ -74,14 +74,6 @@ def b04(s, d):
     return B.stratified_subsample(m, B.proportional_quotas(m, "centre", 100), "centre", "filepath", 5).select("filepath", "centre")
 
 
-@query("b03_subsample_bootstrap", f"WITH {PRED_SQL}, neg AS (SELECT d AS draw, centre, filepath, logit, row_number() OVER (PARTITION BY d, centre ORDER BY {_H("'3|' || CAST(d AS VARCHAR) || '|' || filepath")}, filepath) AS rn FROM pred, (SELECT unnest(range(20)) AS d) WHERE seed = 0 AND label_int = 0) SELECT draw, round(avg(CASE WHEN logit >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS fpr, count(*) AS n FROM neg WHERE rn <= 100 GROUP BY draw")
-def b03(s, d):
-    neg = pred(s, d).where("seed = 0 and label_int = 0").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
-    quotas = s.createDataFrame([("center_1", 100), ("center_2", 100)], "centre string, quota long")
-    drawn = B.stratified_subsample(neg, quotas, "centre", "filepath", 3, by=["draw"])
-    return drawn.groupBy("draw").agg(r6(F.avg((F.col("logit") >= 0.5).cast("double"))).alias("fpr"), F.count(F.lit(1)).alias("n"))
-
-
 @query("b03_prior_equalised_bootstrap")
 def b03p(s, d):
     """The anchor centre's negatives in full, the weight's share of the others', at the recall's threshold."""
@@ -115,14 +107,6 @@ def b09(s, d):
     return sims.groupBy("k", "sd").agg(r6(F.percentile("roc_auc", F.lit(0.5))).alias("median"), r6(F.percentile("roc_auc", F.lit(0.1))).alias("p10"), r6(F.percentile("roc_auc", F.lit(0.9))).alias("p90"))
 
 
-@query("b10_sd_for_target")
-def b10(s, d):
-    """The sd at which the simulated median meets a target, by interpolation over a grid."""
-    grid = s.createDataFrame([(3, 0.25 * i) for i in range(1, 9)], "k long, sd double")
-    med = B.offset_simulation(pred(s, d).where("seed = 0"), grid, 400).groupBy("k", "sd").agg(F.percentile("roc_auc", F.lit(0.5)).alias("m"))
-    return WN.crossing(med, ["k"], "sd", "m", 0.85).select("k", r6("x").alias("sd"))
-
-
 @query("b11_shift_sweep", f"WITH {PRED_SQL}, sh AS (SELECT CAST(x AS DOUBLE) AS shift, label_int, logit + x * label_int AS v FROM pred, (SELECT unnest([0.0::DOUBLE, 0.5, 1.0]) AS x) WHERE seed = 0), {_block_sql('shift', '(SELECT shift, label_int, v AS logit FROM sh)')} SELECT shift, round(roc_auc, 6) AS roc_auc, round(ap, 6) AS ap FROM block")
 def b11(s, d):
     b = R.metric_block(B.shifted(pred(s, d).where("seed = 0"), [0.0, 0.5, 1.0]), ["shift"])
@@ -169,10 +153,10 @@ def e02(s, d):
     return E.mean_ensemble(pred(s, d), ["filepath"], "logit", 5).select("filepath", r6("logit").alias("logit"))
 
 
-@query("e01_wide_table", f"WITH {PRED_SQL} SELECT filepath, round(max(logit) FILTER (seed = 0), 6) AS s0, round(max(logit) FILTER (seed = 1), 6) AS s1, round(max(logit) FILTER (seed = 4), 6) AS s4 FROM pred GROUP BY filepath")
+@query("e01_wide_table", f"WITH {PRED_SQL} SELECT filepath, {', '.join(f'round(max(logit) FILTER (seed = {k}), 6) AS s{k}' for k in range(5))} FROM pred GROUP BY filepath")
 def e01(s, d):
-    w = pred(s, d).groupBy("filepath").pivot("seed", [0, 1, 4]).agg(F.first("logit"))
-    return w.select("filepath", *[r6(c).alias(f"s{c}") for c in ("0", "1", "4")])
+    w = pred(s, d).groupBy("filepath").pivot("seed", [0, 1, 2, 3, 4]).agg(F.first("logit"))
+    return w.select("filepath", *[r6(c).alias(f"s{c}") for c in "01234"])
 
 
 @query(
@@ -221,12 +205,21 @@ def e11(s, d):
     return R.metric_block(en, ["candidate"]).select("candidate", r6("roc_auc").alias("roc_auc"))
 
 
-@query("e12_variance_explained", f"WITH {PRED_SQL}, x AS (SELECT seed, avg(logit) AS m, avg((rank() OVER (ORDER BY logit))) OVER () AS r FROM pred GROUP BY seed, logit HAVING seed < 0), y AS (SELECT seed, avg(logit) AS m FROM pred WHERE label_int = 1 GROUP BY seed) SELECT round(1 - pow(stddev_samp(m) / (SELECT stddev_samp(logit) FROM pred), 2), 6) AS explained FROM y".replace("x AS (SELECT seed, avg(logit) AS m, avg((rank() OVER (ORDER BY logit))) OVER () AS r FROM pred GROUP BY seed, logit HAVING seed < 0), ", ""))
+@query(
+    "e12_variance_explained",
+    f"""WITH {PRED_SQL}, kept AS (SELECT * FROM pred WHERE fold >= 0), {_block_sql('seed', 'kept', 'raw')},
+ranked AS (SELECT seed, label_int, (rank() OVER (PARTITION BY seed, fold ORDER BY logit) + (count(*) OVER (PARTITION BY seed, fold, logit) - 1) / 2.0::DOUBLE - 0.5) / count(*) OVER (PARTITION BY seed, fold) AS logit FROM kept),
+{_block_sql('seed', 'ranked', 'rk')}
+SELECT round(stddev_samp(raw.fpr_at_recall), 6) AS sd_raw, round(stddev_samp(rk.fpr_at_recall), 6) AS sd_rank, round(1 - pow(stddev_samp(rk.fpr_at_recall) / stddev_samp(raw.fpr_at_recall), 2), 6) AS share FROM raw JOIN rk ON raw.seed = rk.seed""",
+)
 def e12(s, d):
-    p = pred(s, d)
-    whole = p.agg(F.stddev_samp("logit").alias("whole"))
-    part = p.where("label_int = 1").groupBy("seed").agg(F.avg("logit").alias("m")).agg(F.stddev_samp("m").alias("part"))
-    return part.crossJoin(F.broadcast(whole)).select(r6(1 - F.pow(F.col("part") / F.col("whole"), 2)).alias("explained"))  # one row each
+    """The share of the seeds' variance of the false-positive rate that ranking within folds takes away."""
+    kept = pred(s, d).where("fold >= 0")
+    ranked = WN.mid_rank(kept, ["seed", "fold"], "logit", "rank_norm")
+    rate = lambda df, score, name: R.curve(df, ["seed"], score=score).groupBy("seed").agg(R.fpr_interp().alias("fpr")).agg(F.stddev_samp("fpr").alias(name))
+    both = rate(kept, "logit", "sd_raw").crossJoin(F.broadcast(rate(ranked, "rank_norm", "sd_rank")))  # one row each
+    share = F.when(F.col("sd_raw") > 0, 1 - F.pow(F.col("sd_rank") / F.col("sd_raw"), 2))
+    return both.select(r6("sd_raw").alias("sd_raw"), r6("sd_rank").alias("sd_rank"), r6(share).alias("share"))
 
 
 @query("e13_exponential_average", "WITH v AS (SELECT user_id, list(value ORDER BY event_id) AS xs FROM events GROUP BY user_id) SELECT user_id, round(list_reduce(xs, lambda s, x: 0.9 * s + (1 - 0.9) * x), 6) AS shadow, round(list_avg(xs), 6) AS running FROM v")
@@ -349,22 +342,31 @@ def d21(s, d):
 
 # ---- decision rules over synthetic arms
 
-_ARMS = "arms AS (SELECT a AS arm, d AS direction, ((a * 7 + d * 3) % 11) / 100.0::DOUBLE AS treatment, ((a * 5 + d) % 11) / 100.0::DOUBLE AS control, 0.01 + (a % 3) / 100.0::DOUBLE AS iqr_treatment, 0.01::DOUBLE AS iqr_control FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(2)) AS d))"
+_ARMS = """arms AS (SELECT a AS arm, d AS direction, ((a * 7 + d * 3) % 11) / 100.0::DOUBLE AS treatment, ((a * 5 + d) % 11) / 100.0::DOUBLE AS control,
+  0.01 + (a % 3) / 100.0::DOUBLE AS iqr_treatment, 0.01 + (a % 2) * 0.02::DOUBLE AS iqr_control, ((a * 7 + d * 3 + a % 3) % 11) / 100.0::DOUBLE AS median_treatment, ((a * 5 + d) % 11) / 100.0::DOUBLE AS median_control
+  FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(2)) AS d))"""
 
 
 def _arms(s):
     g = s.range(12).withColumnRenamed("id", "arm").withColumn("direction", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
-    return g.selectExpr("arm", "direction", "((arm * 7 + direction * 3) % 11) / 100.0D AS treatment", "((arm * 5 + direction) % 11) / 100.0D AS control", "0.01D + (arm % 3) / 100.0D AS iqr_treatment", "0.01D AS iqr_control")
+    return g.selectExpr(
+        "arm", "direction", "((arm * 7 + direction * 3) % 11) / 100.0D AS treatment", "((arm * 5 + direction) % 11) / 100.0D AS control", "0.01D + (arm % 3) / 100.0D AS iqr_treatment", "0.01D + (arm % 2) * 0.02D AS iqr_control",
+        "((arm * 7 + direction * 3 + arm % 3) % 11) / 100.0D AS median_treatment", "((arm * 5 + direction) % 11) / 100.0D AS median_control",
+    )
 
 
-@query("r01_component_acceptance", f"WITH {_ARMS} SELECT arm, bool_and(control - treatment > 0) AS both_improve, bool_or(control - treatment > greatest(iqr_treatment, iqr_control)) AS any_exceeds, bool_and(control - treatment > 0) AND bool_or(control - treatment > greatest(iqr_treatment, iqr_control)) AS accepted FROM arms GROUP BY arm")
+@query(
+    "r01_component_acceptance",
+    f"""WITH {_ARMS}, x AS (SELECT arm, control - treatment AS gain, greatest(iqr_treatment, iqr_control) AS bar, median_control - median_treatment AS shift FROM arms)
+SELECT arm, bool_and(gain > 0) AS both_improve, bool_or(gain > bar) AS any_exceeds, bool_and((gain > 0) = (shift > 0)) AS signs_agree, bool_and(gain > 0) AND bool_or(gain > bar) AS accepted FROM x GROUP BY arm""",
+)
 def r01(s, d):
     return RU.component_acceptance(_arms(s), ["arm"])
 
 
-@query("r02_outcome_label", f"WITH {_ARMS} SELECT arm, direction, CASE WHEN control - treatment > iqr_treatment THEN 'PASS' WHEN control - treatment > 0 THEN 'improved, under IQR' WHEN control - treatment = 0 THEN 'no change' ELSE 'WORSE' END AS outcome FROM arms")
+@query("r02_outcome_label", f"WITH {_ARMS} SELECT arm, direction, CASE WHEN control - treatment > greatest(iqr_treatment, iqr_control) THEN 'PASS' WHEN control - treatment > 0 THEN 'improved, under IQR' WHEN control - treatment = 0 THEN 'no change' ELSE 'WORSE' END AS outcome FROM arms")
 def r02(s, d):
-    return _arms(s).select("arm", "direction", RU.outcome_label(F.col("control") - F.col("treatment"), F.col("iqr_treatment")).alias("outcome"))
+    return _arms(s).select("arm", "direction", RU.outcome_label(F.col("control") - F.col("treatment"), F.col("iqr_treatment"), F.col("iqr_control")).alias("outcome"))
 
 
 @query("r03_gate_with_veto", f"WITH {_ARMS} SELECT arm, max(control) - max(treatment) > max(iqr_treatment) AND NOT max(treatment - control) > max(iqr_control) AS passed FROM arms GROUP BY arm")
@@ -385,10 +387,16 @@ def r06(s, d):
     return _arms(s).select("arm", "direction", r6(delta).alias("delta"), (F.abs(delta) > F.greatest("iqr_treatment", "iqr_control")).alias("resolvable"))
 
 
-@query("r08_paired_sign", f"WITH {_ARMS}, q AS (SELECT arm % 3 AS family, control - treatment AS delta FROM arms), g AS (SELECT family, quantile_cont(delta, 0.5) AS median, count(*) FILTER (delta > 0) AS up, count(*) AS n FROM q GROUP BY family) SELECT family, round(median, 6) AS median, up, n, CASE WHEN median > 0 AND up >= 5 THEN 'better' WHEN median < 0 AND n - up >= 5 THEN 'worse' ELSE 'ambiguous' END AS verdict FROM g")
+@query(
+    "r08_paired_sign",
+    f"""WITH {_ARMS}, q AS (SELECT arm % 3 AS family, CASE WHEN arm % 3 = 2 THEN arm ELSE 0 END AS seed, control - treatment AS delta FROM arms),
+g AS (SELECT family, quantile_cont(delta, 0.5) AS median, count(DISTINCT seed) AS seeds, count(*) AS n FROM q GROUP BY family),
+c AS (SELECT g.family, median, seeds, n, count(*) FILTER ((delta > 0) = (median > 0)) AS same_sign FROM q JOIN g ON q.family = g.family GROUP BY ALL)
+SELECT family, round(median, 6) AS median, same_sign, n, CASE WHEN median > 0 AND same_sign >= 6 THEN 'accept' WHEN median > 0 AND seeds = 1 THEN 'ambiguous' ELSE 'reject' END AS verdict FROM c""",
+)
 def r08(s, d):
-    deltas = _arms(s).select((F.col("arm") % 3).alias("family"), (F.col("control") - F.col("treatment")).alias("delta"))
-    return RU.paired_sign(deltas, ["family"], 5).select("family", r6("median").alias("median"), "up", "n", "verdict")
+    deltas = _arms(s).select((F.col("arm") % 3).alias("family"), F.when(F.col("arm") % 3 == 2, F.col("arm")).otherwise(0).alias("seed"), (F.col("control") - F.col("treatment")).alias("delta"))
+    return RU.paired_sign(deltas, ["family"], 6).select("family", r6("median").alias("median"), "same_sign", "n", "verdict")
 
 
 @query("r09_deployment_ranking", f"WITH {_ARMS} SELECT arm, row_number() OVER (ORDER BY max(treatment), min(treatment), arm) AS place FROM arms GROUP BY arm")
@@ -397,9 +405,15 @@ def r09(s, d):
     return WN.numbered(g, ["one"], "worst", "tail", "arm", name="place").select("arm", F.col("place").cast("long").alias("place"))
 
 
-@query("r10_floor_rule", f"WITH {_ARMS} SELECT arm, direction, treatment > 0.0518 AND control <= 0.0898 AS passed FROM arms")
+@query(
+    "r10_floor_rule",
+    f"""WITH {PRED_SQL}, {_block_sql('seed')}, o AS (SELECT * FROM block WHERE seed = 0)
+SELECT b.seed AS arm, round(b.ppv_at_recall - o.ppv_at_recall, 6) AS delta_ppv, round(b.fpr_at_recall - o.fpr_at_recall, 6) AS delta_fpr,
+b.ppv_at_recall - o.ppv_at_recall > 0.0518 AND b.fpr_at_recall - o.fpr_at_recall <= 0.0898 AS accepted FROM block b, o WHERE b.seed <> 0""",
+)
 def r10(s, d):
-    return _arms(s).select("arm", "direction", RU.floor_rule(F.col("treatment"), F.col("control")).alias("passed"))
+    arms = R.metric_block(pred(s, d), ["seed"]).select(F.col("seed").alias("arm"), F.col("ppv_at_recall").alias("ppv"), F.col("fpr_at_recall").alias("fpr"))
+    return RU.floor_rule(arms, 0).select("arm", r6("delta_ppv").alias("delta_ppv"), r6("delta_fpr").alias("delta_fpr"), "accepted")
 
 
 @query("r11_rescue_matrix", f"WITH {PRED_SQL}, b AS (SELECT seed, filepath, row_number() OVER (PARTITION BY seed ORDER BY logit, filepath) <= 16 AS low FROM pred WHERE label_int = 1), t AS (SELECT filepath FROM b WHERE seed = 0 AND low) SELECT b.seed, count(*) FILTER (NOT low) AS rescued, count(*) AS targets FROM b JOIN t ON b.filepath = t.filepath GROUP BY b.seed")
@@ -481,23 +495,43 @@ def y10(s, d):
 # ---- kernels
 
 
-@query("i04_inner_square", "SELECT event_id, greatest(0, least(640, CAST(round_even(320.0 - floor(r * sqrt(2.0)) / 2, 0) AS BIGINT))) AS left_, greatest(0, least(640, CAST(round_even(320.0 + floor(r * sqrt(2.0)) / 2, 0) AS BIGINT))) AS right_ FROM (SELECT event_id, 100.0::DOUBLE + event_id % 300 AS r FROM events)")
+@query(
+    "i04_inner_square",
+    """WITH e AS (SELECT event_id, 320.0::DOUBLE + (event_id % 7) / 2.0 AS cx, 240.0::DOUBLE + (event_id % 5) / 4.0 AS cy, CAST(floor((100.0::DOUBLE + event_id % 300) * sqrt(2.0::DOUBLE)) AS BIGINT) AS side FROM events),
+q AS (SELECT *, CAST(round_even(cx - side / 2.0::DOUBLE, 0) AS BIGINT) AS l, CAST(round_even(cy - side / 2.0::DOUBLE, 0) AS BIGINT) AS t FROM e)
+SELECT event_id, greatest(0, l) AS left_, greatest(0, t) AS top_, least(640, l + side) AS right_, least(480, t + side) AS bottom_ FROM q""",
+)
 def i04(s, d):
     e = table(s, d, "events").withColumn("r", F.lit(100.0) + F.col("event_id") % 300)
-    box = K.inner_square(F.lit(320.0), F.lit(240.0), F.col("r"), F.lit(640), F.lit(480))
-    return e.withColumn("b", box).select("event_id", F.col("b.left").alias("left_"), F.col("b.right").alias("right_"))
+    box = K.inner_square(320.0 + (F.col("event_id") % 7) / 2.0, 240.0 + (F.col("event_id") % 5) / 4.0, F.col("r"), F.lit(640), F.lit(480))
+    return e.withColumn("b", box).select("event_id", *[F.col(f"b.{c}").alias(f"{c}_") for c in ("left", "top", "right", "bottom")])
 
 
-@query("i05_crop_box", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'no content' WHEN (event_id % 100) / 100.0 < 0.904 THEN 'fit_quality below floor' ELSE '' END AS reason FROM events")
+@query(
+    "i05_crop_box",
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 6 <> 0 THEN (event_id % 50)::DOUBLE END AS r, (event_id % 100) / 100.0::DOUBLE AS q, 320.0::DOUBLE AS cx, CASE WHEN event_id % 8 = 1 THEN 900.0::DOUBLE ELSE 240.0 END AS cy FROM events),
+f AS (SELECT *, CAST(floor(r * sqrt(2.0::DOUBLE)) AS BIGINT) AS side FROM e),
+g AS (SELECT *, CAST(round_even(cx - side / 2.0::DOUBLE, 0) AS BIGINT) AS l, CAST(round_even(cy - side / 2.0::DOUBLE, 0) AS BIGINT) AS t FROM f),
+h AS (SELECT *, greatest(0, l) AS l2, greatest(0, t) AS t2, least(640, l + side) AS r2, least(480, t + side) AS b2 FROM g),
+k AS (SELECT *, CASE WHEN r IS NULL THEN 'no non-black pixels found' WHEN q < 0.904 THEN printf('fit_quality %.4f < floor 0.9040', q) WHEN r2 <= l2 OR b2 <= t2 THEN concat('degenerate inner box (', r2 - l2, 'x', b2 - t2, ')') ELSE '' END AS reason FROM h)
+SELECT event_id, reason, reason <> '' AS used_fallback, CASE WHEN r IS NOT NULL THEN q END AS fit_quality, CASE WHEN reason = '' THEN l2 ELSE 140 END AS left_, CASE WHEN reason = '' THEN t2 ELSE 60 END AS top_,
+CASE WHEN reason = '' THEN r2 ELSE 500 END AS right_, CASE WHEN reason = '' THEN b2 ELSE 420 END AS bottom_ FROM k""",
+)
 def i05(s, d):
-    r = F.when(F.col("event_id") % 6 != 0, F.lit(100.0))
-    c = K.crop_box(r, (F.col("event_id") % 100) / 100.0, F.lit(640.0), F.lit(480.0), F.lit(320.0), F.lit(240.0))
-    return table(s, d, "events").select("event_id", c["reason"].alias("reason"))
+    r = F.when(F.col("event_id") % 6 != 0, (F.col("event_id") % 50).cast("double"))
+    c = K.crop_box(r, (F.col("event_id") % 100) / 100.0, F.lit(640), F.lit(480), F.lit(320.0), F.when(F.col("event_id") % 8 == 1, 900.0).otherwise(240.0))
+    return table(s, d, "events").withColumn("c", c).select("event_id", "c.reason", "c.used_fallback", "c.fit_quality", *[F.col(f"c.box.{x}").alias(f"{x}_") for x in ("left", "top", "right", "bottom")])
 
 
-@query("i12_magnitude_scale", "SELECT event_id, round(1 + 0.33 * (value - 1), 6) AS scaled FROM events")
+@query(
+    "i12_magnitude_scale",
+    """SELECT event_id, round(CASE WHEN event_id % 9 = 0 THEN value ELSE 1 + 0.33 * (value - 1) END, 6) AS scaled, CASE WHEN event_id % 9 = 0 THEN value ELSE round_even(100 + 0.33 * (value - 100), 0) END AS whole,
+round(CASE WHEN event_id % 9 = 0 THEN value ELSE value / (0.33::DOUBLE * 0.33) END, 6) AS photons FROM events""",
+)
 def i12(s, d):
-    return table(s, d, "events").select("event_id", r6(K.scaled_magnitude(F.col("value"), F.lit(1.0), 0.33)).alias("scaled"))
+    done = F.col("event_id") % 9 == 0
+    scaled = lambda one, **k: K.scaled_magnitude(F.col("value"), F.lit(one), 0.33, applied=done, **k)
+    return table(s, d, "events").select("event_id", r6(scaled(1.0)).alias("scaled"), scaled(100.0, whole=True).alias("whole"), r6(scaled(0.0, count=True)).alias("photons"))
 
 
 @query("i14_consensus", "SELECT vec_id, list_transform(range(1, 9), lambda i: (embedding[i] > 0)::INT + (embedding[i + 8] > 0)::INT + (embedding[i + 16] > 0)::INT + (embedding[i + 24] > 0)::INT + (embedding[i + 32] > 0)::INT >= 3) AS mask FROM embeddings")
@@ -506,9 +540,24 @@ def i14(s, d):
     return table(s, d, "embeddings").select("vec_id", K.consensus(votes).alias("mask"))
 
 
-@query("i18_schedule", "SELECT s AS step, round(CASE WHEN s < 10 THEN (s + 1) / 10.0::DOUBLE ELSE 0.5 * (1 + cos(pi() * (s - 10) / 90.0)) END, 6) AS factor FROM (SELECT unnest(range(100)) AS s)")
+@query(
+    "i18_schedule",
+    """WITH c(total, warmup, w) AS (VALUES (100, 0.1::DOUBLE, 10), (90, 0.05, 4), (37, 0.3, 11), (50, 0.0, 0)), s AS (SELECT *, unnest(range(120)) AS s FROM c)
+SELECT total, warmup, s AS step, round(CASE WHEN s < w THEN (s + 1) / w::DOUBLE ELSE 0.5 * (1 + cos(pi() * least(1, greatest(0, (s - w) / (total - w)::DOUBLE)))) END, 6) AS factor FROM s""",
+)
 def i18(s, d):
-    return s.range(100).select(F.col("id").alias("step"), r6(K.warmup_cosine(F.col("id"), 100, 0.1)).alias("factor"))
+    """Warm-ups that round up, down (half to even) and to none; steps beyond the end."""
+    runs = [(100, 0.1), (90, 0.05), (37, 0.3), (50, 0.0)]
+    parts = [s.range(120).select(F.lit(n).alias("total"), F.lit(w).alias("warmup"), F.col("id").alias("step"), r6(K.warmup_cosine(F.col("id"), n, w)).alias("factor")) for n, w in runs]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("i18_restriction_schedule", "SELECT e AS epoch, round(CASE WHEN e >= 5 THEN 1.0 + least(1, (e - 5) / 4.0::DOUBLE) * (0.15 - 1.0) END, 6) AS beta FROM (SELECT unnest(range(15)) AS e)")
+def i18b(s, d):
+    return s.range(15).select(F.col("id").alias("epoch"), r6(K.restriction_schedule(F.col("id"))).alias("beta"))
 
 
 @query("i01_image_features")

@@ -46,15 +46,7 @@ def s13(s, d):
     return readers.read_json_lines(s, f, _NATION).select("n_nationkey", "n_name")
 
 
-@query("s15_log_segments", "SELECT CAST(user_id AS BIGINT) AS unit, round(max(value), 6) AS best FROM events WHERE event_id % 3 = 0 GROUP BY 1")
-def s15(s, d):
-    f = temporary_folder(s)
-    table(s, d, "events").where("event_id % 3 = 0").select(F.format_string("RUN unit=%d value=%s end", "user_id", F.col("value").cast("string"))).write.text(f)
-    part = lambda p: F.regexp_extract("value", p, 1)
-    return readers.read_lines(s, f).groupBy(part("unit=([0-9]+)").cast("long").alias("unit")).agg(r6(F.max(part("value=([-0-9.E]+)").cast("double"))).alias("best"))
-
-
-@query("s15_log_segments_whole", "SELECT CAST(user_id AS BIGINT) AS unit, round(max(value), 6) AS best FROM events GROUP BY 1")
+@query("s15_log_segments", "SELECT CAST(user_id AS BIGINT) AS unit, round(max(value), 6) AS best FROM events GROUP BY 1")
 def s15w(s, d):
     f = temporary_folder(s)
     table(s, d, "events").select(F.format_string("RUN unit=%d value=%s end", "user_id", F.col("value").cast("string"))).write.text(f)
@@ -145,11 +137,15 @@ def r07(s, d):
     return _arms(s).select("arm", "direction", (F.abs(F.col("treatment") - 0.05) - F.abs(F.col("control") - 0.05) > F.col("iqr_control")).alias("farther"))
 
 
-@query("r12_paired_verdict", f"WITH {_ARMS}, q AS (SELECT arm % 2 AS family, direction, control - treatment AS delta FROM arms), g AS (SELECT family, direction, quantile_cont(delta, 0.5) > 0 AND count(*) FILTER (delta > 0) >= 4 AS ok FROM q GROUP BY 1, 2) SELECT family, bool_and(ok) AS passed FROM g GROUP BY family")
+@query(
+    "r12_paired_verdict",
+    f"""WITH {_ARMS}, q AS (SELECT arm % 2 AS family, direction, control - treatment AS delta FROM arms), m AS (SELECT family, direction, quantile_cont(delta, 0.5) AS median FROM q GROUP BY 1, 2),
+g AS (SELECT q.family, q.direction, max(median) > 0 AND count(*) FILTER ((delta > 0) = (median > 0)) >= 4 AS ok FROM q JOIN m ON q.family = m.family AND q.direction = m.direction GROUP BY 1, 2) SELECT family, bool_and(ok) AS passed FROM g GROUP BY family""",
+)
 def r12(s, d):
-    deltas = _arms(s).select((F.col("arm") % 2).alias("family"), "direction", (F.col("control") - F.col("treatment")).alias("delta"))
+    deltas = _arms(s).select((F.col("arm") % 2).alias("family"), "direction", F.col("arm").alias("seed"), (F.col("control") - F.col("treatment")).alias("delta"))
     g = RU.paired_sign(deltas, ["family", "direction"], 4)
-    return g.groupBy("family").agg(F.bool_and(F.col("verdict") == "better").alias("passed"))
+    return g.groupBy("family").agg(F.bool_and(F.col("verdict") == "accept").alias("passed"))
 
 
 @query("v05_unit_states", f"WITH {PRED_SQL}, g AS (SELECT s AS seed, f AS fold FROM (SELECT unnest(range(7)) AS s), (SELECT unnest(range(5)) AS f)), u AS (SELECT seed, fold, count(*) AS n FROM pred GROUP BY 1, 2) SELECT g.seed, g.fold, CASE WHEN u.n IS NULL THEN 'fresh' WHEN u.n < 280 THEN 'resume' ELSE 'done' END AS state FROM g LEFT JOIN u ON g.seed = u.seed AND g.fold = u.fold")

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import curation_queries, decision_queries, metric_queries, more_queries, relational_queries  # noqa: F401
+    from . import added_queries, curation_queries, decision_queries, image_queries, metric_queries, more_queries, relational_queries  # noqa: F401

@@ -90,13 +90,8 @@ def p13(m):
     return m.select("filepath", F.element_at(codes, F.col("class_label")).cast("long").alias("y"))
 
 
-@_m("p14_permutation", f"SELECT filepath, row_number() OVER (ORDER BY {_HASH.format(chr(39) + '7|' + chr(39) + ' || filepath')}, filepath) AS position FROM manifest WHERE image_id % 10 = 0")
+@_m("p14_permutation", f"SELECT filepath, row_number() OVER (ORDER BY {_HASH.format(chr(39) + '7|' + chr(39) + ' || filepath')}, filepath) AS position FROM manifest")
 def p14(m):
-    return L.permuted(m.where("image_id % 10 = 0"), 7, "filepath").select("filepath", "position")
-
-
-@_m("p14_permutation_whole", f"SELECT filepath, row_number() OVER (ORDER BY {_HASH.format(chr(39) + '7|' + chr(39) + ' || filepath')}, filepath) AS position FROM manifest")
-def p14w(m):
     return L.permuted(m, 7, "filepath").select("filepath", "position")
 
 
@@ -149,9 +144,9 @@ def j06(s, d):
     return x.join(x.groupBy("sha256_hash").count().where("count > 1"), "sha256_hash", "left_semi").select("doc_id")
 
 
-@_m("j07_leak_exclusion", "SELECT v.filepath FROM manifest v WHERE v.fold_r0 = 1 AND NOT EXISTS (SELECT 1 FROM manifest t WHERE t.fold_r0 NOT IN (1, -1) AND floor(t.file_size / 1000) = floor(v.file_size / 1000))")
+@_m("j07_leak_exclusion", "SELECT v.filepath FROM manifest v WHERE v.fold_r0 = 1 AND NOT EXISTS (SELECT 1 FROM manifest t WHERE t.fold_r0 NOT IN (1, -1) AND floor(t.file_size / 10) = floor(v.file_size / 10))")
 def j07(m):
-    g = m.withColumn("g", F.floor(F.col("file_size") / 1000))
+    g = m.withColumn("g", F.floor(F.col("file_size") / 10))
     return L.without_leaks(g.where("fold_r0 = 1"), g.where("fold_r0 not in (1, -1)"), ["g"]).select("filepath")
 
 
@@ -246,10 +241,10 @@ def a13(m):
     return L.range_overlap(m, "mode", "file_size")
 
 
-@query("a14_persistent_set", f"WITH {PRED_SQL}, b AS (SELECT filepath, seed FROM pred WHERE label_int = 1 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY logit, filepath) <= 64) SELECT filepath FROM b GROUP BY filepath HAVING count(DISTINCT seed) >= 3")
+@query("a14_persistent_set", f"WITH {PRED_SQL}, b AS (SELECT filepath, seed FROM pred WHERE label_int = 1 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY logit, filepath) <= 400) SELECT filepath FROM b GROUP BY filepath HAVING count(DISTINCT seed) = (SELECT count(DISTINCT seed) FROM pred)")
 def a14(s, d):
-    bottom = WN.top_k(pred(s, d).where("label_int = 1"), ["seed"], 64, "logit", "filepath")
-    return L.persistent(bottom, "filepath", "seed", 3)
+    bottom = WN.top_k(pred(s, d).where("label_int = 1"), ["seed"], 400, "logit", "filepath")
+    return L.persistent(bottom, "filepath", "seed")
 
 
 @query("a15_occurrences", f"WITH {PRED_SQL}, b AS (SELECT filepath, seed, row_number() OVER (PARTITION BY seed ORDER BY logit, filepath) AS rank FROM pred WHERE label_int = 1) SELECT filepath, count(*) AS n, round(quantile_cont(rank, 0.5), 6) AS median_rank, round(avg(rank), 6) AS mean_rank FROM b WHERE rank <= 16 GROUP BY filepath")
@@ -381,7 +376,7 @@ def w15(s, d):
 
 @query("o01_sort", f"WITH {MANIFEST_SQL} SELECT filepath, row_number() OVER (PARTITION BY centre ORDER BY file_size DESC, filepath) AS rn FROM manifest")
 def o01(s, d):
-    return WN.numbered(manifest(s, d), ["centre"], F.desc("file_size"), "filepath").select("filepath", F.col("rn").cast("long").alias("rn"))
+    return WN.numbered(manifest(s, d), ["centre"], "-file_size", "filepath").select("filepath", F.col("rn").cast("long").alias("rn"))
 
 
 @query("o02_top_n", f"WITH {PRED_SQL} SELECT filepath, round(logit, 6) AS logit FROM pred WHERE seed = 0 ORDER BY pred.logit DESC, filepath LIMIT 50")
@@ -389,14 +384,7 @@ def o02(s, d):
     return pred(s, d).where("seed = 0").orderBy(F.desc("logit"), "filepath").limit(50).select("filepath", r6("logit").alias("logit"))
 
 
-@query("o03_multi_key", f"WITH {MANIFEST_SQL} SELECT group_id, rank() OVER (ORDER BY greatest(a, b), n DESC, group_id) AS place FROM (SELECT group_id, avg(fold_r1) AS a, avg(fold_r2) AS b, count(*) AS n FROM manifest GROUP BY 1 ORDER BY greatest(avg(fold_r1), avg(fold_r2)), count(*) DESC, group_id LIMIT 40)")
-def o03(s, d):
-    g = manifest(s, d).groupBy("group_id").agg(F.avg("fold_r1").alias("a"), F.avg("fold_r2").alias("b"), F.count(F.lit(1)).alias("n"))
-    best = g.orderBy(F.greatest("a", "b"), F.desc("n"), "group_id").limit(40).withColumn("one", F.lit(1))
-    return WN.numbered(best, ["one"], F.greatest("a", "b"), F.desc("n"), "group_id", name="place").select("group_id", F.col("place").cast("long").alias("place"))
-
-
-@query("o03_multi_key_whole", f"WITH {MANIFEST_SQL} SELECT group_id, rank() OVER (ORDER BY greatest(a, b), n DESC, group_id) AS place FROM (SELECT group_id, avg(fold_r1) AS a, avg(fold_r2) AS b, count(*) AS n FROM manifest GROUP BY 1)")
+@query("o03_multi_key", f"WITH {MANIFEST_SQL} SELECT group_id, rank() OVER (ORDER BY greatest(a, b), n DESC, group_id) AS place FROM (SELECT group_id, avg(fold_r1) AS a, avg(fold_r2) AS b, count(*) AS n FROM manifest GROUP BY 1)")
 def o03w(s, d):
     g = manifest(s, d).groupBy("group_id").agg(F.avg("fold_r1").alias("a"), F.avg("fold_r2").alias("b"), F.count(F.lit(1)).alias("n"))
     return WN.placed(g.select("group_id", "n", F.greatest("a", "b").alias("worst")), "worst", "n", "group_id").select("group_id", "place")
@@ -418,9 +406,9 @@ def o06(s, d):
     return p.where("seed = 0").unionByName(p.where("seed = 1")).groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_m("o07_intersection", "SELECT group_id FROM manifest WHERE fold_r0 = 1 INTERSECT SELECT group_id FROM manifest WHERE fold_r1 = 2")
+@_m("o07_intersection", "SELECT group_id FROM manifest WHERE fold_r0 IN (1, 2) INTERSECT SELECT group_id FROM manifest WHERE fold_r2 IN (1, 3)")
 def o07(m):
-    return m.where("fold_r0 = 1").select("group_id").intersect(m.where("fold_r1 = 2").select("group_id"))
+    return m.where("fold_r0 in (1, 2)").select("group_id").intersect(m.where("fold_r2 in (1, 3)").select("group_id"))
 
 
 @_m("o08_difference", "SELECT DISTINCT filepath FROM manifest WHERE image_id NOT IN (SELECT image_id FROM manifest WHERE image_id % 3 = 0)")

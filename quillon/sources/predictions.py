@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
+from .shared import shared_folder
 
 #: Names and types, in order: the contract of the dump.
 SCHEMA = [("filepath", "string"), ("centre", "string"), ("class_label", "string"), ("label_int", "bigint"), ("visibility", "string"), ("group_id_v2", "string"), ("repeat", "bigint"), ("fold", "bigint"), ("seed", "bigint"), ("logit", "double")]
@@ -16,8 +16,7 @@ PARTITIONS = ["repeat", "seed", "fold"]
 
 
 def temporary_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/predictions-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}"
 
 
 def conformed(df: DataFrame) -> DataFrame:
