@@ -248,7 +248,7 @@ def s12(s, d):
     return s.createDataFrame([(chosen.rsplit("/", 1)[-1], len(others))], "chosen string, left_out long")
 
 
-_FOLDERS = [("center_1", "neo"), ("center_1", "ndbe"), ("center_2", "NEO"), ("center_2", "non dysplastic")]
+_FOLDERS = [("center_1", "neo"), ("center_1", "ndbe"), ("center_2", "NEO"), ("center_2", "non_dysplastic")]
 
 
 def _written_folders(s) -> str:
