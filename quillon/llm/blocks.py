@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import shared_dir, shuffle_parts
 from .pitmanyor import pack, unpack
@@ -23,11 +25,15 @@ BLOCK = 12 << 20
 LAST_ID = np.int64(2**63 - 1)  # stands for a null id
 
 
-def text_blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, level: int = 1) -> DataFrame:
-    """A table of blocks: block, payload (ids, null marks of ids and of texts, lengths, bytes). Written once.
+def text_blocks(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK, level: int = 1, carry: list[str] | None = None, buckets: int | None = None
+) -> DataFrame:
+    """A table of blocks: block, payload (ids, null marks of ids and of texts, lengths, bytes), rest. Written once.
 
-    level is the compression's: a higher one trades CPU time for disk.
+    level is the compression's: a higher one trades CPU time for disk. rest holds the columns of `carry` as an Arrow
+    stream, so that whole rows can be given back without a join; it is null without them.
     """
+    carry = carry or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -35,6 +41,7 @@ def text_blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bloc
         base, done = TaskContext.get().partitionId() << 24, 0
         ids: list[int | None] = []
         texts: list[bytes | None] = []
+        rest: list[pa.RecordBatch] = []
         size = 0
 
         def close() -> pa.RecordBatch:
@@ -42,7 +49,9 @@ def text_blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bloc
             marks = np.array([(i is None) | (t is None) << 1 for i, t in zip(ids, texts, strict=True)], "<u1")
             lengths = np.array([len(t or b"") for t in texts], "<i8")
             payload = pack(numbers, marks, lengths, np.frombuffer(b"".join(t or b"" for t in texts), np.uint8), level=level)
-            return pa.RecordBatch.from_arrays([pa.array([base + done], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([base + done], pa.int64()), pa.array([payload], pa.binary()), pa.array([_stream(rest) if rest else None], pa.binary())], names=["block", "payload", "rest"]
+            )
 
         for b in batches:
             values = b.column(1)
@@ -52,28 +61,39 @@ def text_blocks(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bloc
                 for lo, hi in byte_slices(some, 1 << 20):
                     ids += b.column(0).slice(at + lo, hi - lo).to_pylist()
                     texts += [None if t is None else t.encode("utf-8", "surrogatepass") for t in some[lo:hi]]
+                    if carry:
+                        rest.append(b.slice(at + lo, hi - lo).select(list(range(2, b.num_columns))))
                     size += sum(len(t or "") for t in some[lo:hi])
                     if size >= block_bytes:
                         yield close()
-                        ids, texts, size, done = [], [], 0, done + 1
+                        ids, texts, rest, size, done = [], [], [], 0, done + 1
                 at += len(some)
         if ids:
             yield close()
 
     spark = docs.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "block long, payload binary")
-    rows.write.bucketBy(shuffle_parts(spark), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    columns = [F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]]
+    rows = docs.select(*columns).mapInArrow(run, "block long, payload binary, rest binary")
+    rows.write.bucketBy(buckets or shuffle_parts(spark), "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved now; the files stay when the name goes
     spark.sql(f"DROP TABLE {name}")
     return out
 
 
+def _stream(batches: list[pa.RecordBatch]) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(pa.Table.from_batches(batches).combine_chunks())
+    return out.getvalue().to_pybytes()
+
+
 class Texts:
     """An unpacked block."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes, rest: bytes | None = None):
+        self._rest = rest
         self.ids, marks, self.lengths, self.bytes = unpack(payload)
         self.null_id, self.null_text = (marks & 1).astype(bool), (marks >> 1).astype(bool)
         self.ends = np.cumsum(self.lengths)
@@ -87,6 +107,13 @@ class Texts:
             yield lo, hi
             lo = hi
 
+    def rest(self) -> list[pa.ChunkedArray]:
+        """The carried columns."""
+        return pa.ipc.open_stream(self._rest).read_all().columns
+
+    def text(self, i: int) -> str | None:
+        return None if self.null_text[i] else self.bytes[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "surrogatepass")
+
     def id_array(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=self.null_id)
 
@@ -107,14 +134,15 @@ def in_order(table: pa.Table, column: str) -> list[tuple[int, list[np.ndarray]]]
     return [(int(at[i]), unpack(payload[int(i)].as_py())) for i in np.argsort(at, kind="stable")]
 
 
-def answered(blocks: DataFrame, answers: DataFrame, body, schema: str) -> DataFrame:
+def answered(blocks: DataFrame, answers: DataFrame, body, schema: str | StructType) -> DataFrame:
     """body(block number, Texts, answers to it as a table) -> table, for every block, also where there are no answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return body(left.column("block")[0].as_py(), Texts(left.column("payload")[0].as_py()), right)
+        return body(left.column("block")[0].as_py(), Texts(left.column("payload")[0].as_py(), left.column("rest")[0].as_py()), right)
 
     # The bucketed side isn't shuffled again.
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: run(left, right) if left.num_rows else _none(schema), schema)
+    none = _none(schema) if isinstance(schema, str) else to_arrow_schema(schema).empty_table()
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: run(left, right) if left.num_rows else none, schema)
 
 
 def _none(schema: str) -> pa.Table:

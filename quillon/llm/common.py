@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: The characters that separate words everywhere in this subpackage: [\x20\x09-\x0D].
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(shared_dir, "own", None)
-        if base is None:
-            base = shared_dir.own = tempfile.mkdtemp(prefix="quillon-")
-    return base.rstrip("/")
+    return shared_folder(spark)
 
 
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -32,6 +27,14 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more (it does so when garbage is collected)."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """Bind value once inside an expression: body gets it as a lambda variable."""
     return F.transform(F.array(value), body)[0]

@@ -9,8 +9,8 @@ similar sets share a signature, always. A set signs for its own band and the nex
 Steps:
 1. Equal sets form classes; only a class's first document takes part further.
 2. Signatures meet in buckets; a bucket returns its groups of sets that share one (each distinct group once). Each set
-   has a sketch of 2,048 parity bits (512 for small sets); two sets differ in at least as many elements as their sketches in bits, so groups
-   are split where the sketches prove that no similar pair is lost.
+   has a sketch of parity bits, two to four times as many as it has elements; two sets differ in at least as many elements
+   as their sketches in bits, so groups are split where the sketches prove that no similar pair is lost.
 3. Every set is verified against one partner, the member of its groups that shares most; links make components.
 4. Groups that still span components are verified in blocks: their sets are dealt to tasks for pairs of chunks, where
    all pairs of different components are compared by a matrix product. Candidates are never written as pairs.
@@ -42,7 +42,8 @@ SHINGLE, SIMILAR = 4, (85, 100)
 CHUNK = 400  # sets a chunk in step 4
 BLOCK = 4 << 20
 BUCKETS = 4  # a shuffle partition
-SKETCH, SMALL = 2048, 100
+SKETCHES = 512, 1 << 16  # least and most bits of a sketch
+FAN = 256  # sets a task verifies against one partner
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -159,14 +160,33 @@ SETS = "ref long, doc_id long, n long, a long, b long, sketch binary"
 
 
 def parity_sketch(elements: np.ndarray) -> bytes:
-    """Bit i is whether an odd number of elements falls on it: SKETCH bits, a quarter of them for small sets.
+    """Bit i is whether an odd number of elements falls on it: a power of two of bits, at least twice the set's size.
 
-    The halves of a sketch combined by exclusive or are the sketch of half as many bits.
+    The halves of a sketch combined by exclusive or are the sketch of half as many bits. The least and the largest
+    number of bits bound its memory; a smaller sketch proves less but never too much.
     """
-    bits = SKETCH if len(elements) > SMALL else SKETCH // 4
+    bits = min(max(SKETCHES[0], 1 << (2 * len(elements) - 1).bit_length()), SKETCHES[1])
     return np.packbits((np.bincount((elements >> np.uint64(20)) % np.uint64(bits), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Sketches of several widths; rows() folds them to one."""
+
+    def __init__(self, raw: list[bytes]):
+        self.flat = np.frombuffer(b"".join(raw), np.uint64)
+        self.widths = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
+        self.starts = np.cumsum(self.widths) - self.widths
+
+    def rows(self, at: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(at), width), np.uint64)
+        own = self.widths[at]
+        for w in np.unique(own).tolist():
+            m = np.flatnonzero(own == w)
+            x = self.flat[self.starts[at[m]][:, None] + np.arange(w)]
+            out[m] = x if w == width else np.bitwise_xor.reduce(x.reshape(len(m), w // width, width), axis=1)
+        return out
+
+
 def _classes(blocks: DataFrame, size: int) -> DataFrame:
     """ref, doc_id, number of shingles and a 128-bit key of the set of every document."""
 
@@ -251,13 +271,26 @@ MEMBERS = "gid long, ref long, partner long, shared long"
 def _split_groups(num: int, den: int):
     """Cut groups (a slot holds many) where the sketches allow; partner: the member of most possible links."""
 
-    def near(rows, n):
-        """Pairs of rows that may be similar: bits by which sketches differ against the Hamming bound of the sizes."""
-        bound = (den - num) * (n[:, None] + n[None, :]) // (den + num)
-        out = np.empty((len(n), len(n)), bool)
-        for lo in range(0, len(n), 64):  # 64 rows against all
-            out[lo : lo + 64] = np.bitwise_count(rows[lo : lo + 64, None, :] ^ rows[None, :, :]).sum(2, dtype=np.int64) <= bound[lo : lo + 64]
-        return out
+    def bound(n, m):
+        return (den - num) * (n + m) // (den + num)
+
+    class Group:
+        """Which members may be similar, by slices of members: memory is linear in the group's size."""
+
+        def __init__(self, rows, n):
+            self.rows, self.n, self.slice = rows, n, max(1, (1 << 22) // max(1, rows.size))
+
+        def close(self, at):
+            """For members `at`: a row of marks over all members, themselves excepted."""
+            differ = np.bitwise_count(self.rows[at][:, None, :] ^ self.rows[None, :, :]).sum(2, dtype=np.int64)
+            out = differ <= bound(self.n[at][:, None], self.n[None, :])
+            out[np.arange(len(at)), at] = False
+            return out
+
+        def slices(self, at):
+            for lo in range(0, len(at), self.slice):
+                some = at[lo : lo + self.slice]
+                yield some, self.close(some)
 
     def run(table: pa.Table) -> pa.Table:
         # A slot's rows are members of groups (no sketch) and the sketches of all sets that occur in them.
@@ -265,56 +298,53 @@ def _split_groups(num: int, den: int):
         every_ref, every_n = table.column("ref").to_numpy(), table.column("n").fill_null(0).to_numpy()
         known = np.flatnonzero(~is_group)
         known = known[np.argsort(every_ref[known], kind="stable")]
-        raw = table.column("sketch").combine_chunks()
-        raw = raw.combine_chunks() if isinstance(raw, pa.ChunkedArray) else raw
-        wide, narrow = np.zeros((len(known), SKETCH // 64), np.uint64), np.zeros((len(known), SKETCH // 256), np.uint64)
-        for k, i in enumerate(known.tolist()):
-            bits = np.frombuffer(raw[i].as_py(), np.uint64)
-            if len(bits) == wide.shape[1]:
-                wide[k] = bits
-                narrow[k] = np.bitwise_xor.reduce(bits.reshape(4, -1), axis=0)
-            else:
-                narrow[k] = bits
+        sketches = Sketches(table.column("sketch").take(pa.array(known)).to_pylist())
         at = np.flatnonzero(is_group)
         gid, ref = table.column("gid").fill_null(0).to_numpy()[at], every_ref[at]
         order = np.lexsort((ref, gid))
         gid, ref = gid[order], ref[order]
-        at_group = at = np.searchsorted(every_ref[known], ref)
-        n = every_n[known][at]
-        large = n > SMALL
+        at = np.searchsorted(every_ref[known], ref)
+        n, width = every_n[known][at], sketches.widths[at]
         starts = np.flatnonzero(np.append(True, gid[1:] != gid[:-1])) if len(gid) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(gid)))
         pairs = starts[sizes == 2]
-        both = large[pairs] & large[pairs + 1]
-        differ = np.where(
-            both,
-            np.bitwise_count(wide[at[pairs]] ^ wide[at[pairs + 1]]).sum(1, dtype=np.int64),
-            np.bitwise_count(narrow[at[pairs]] ^ narrow[at[pairs + 1]]).sum(1, dtype=np.int64),
-        )
-        pairs = pairs[differ <= (den - num) * (n[pairs] + n[pairs + 1]) // (den + num)]
+        differ, least = np.zeros(len(pairs), np.int64), np.minimum(width[pairs], width[pairs + 1])
+        for w in np.unique(least).tolist():
+            some = np.flatnonzero(least == w)
+            for lo in range(0, len(some), 1 + (1 << 20) // w):
+                k = some[lo : lo + 1 + (1 << 20) // w]
+                differ[k] = np.bitwise_count(sketches.rows(at[pairs[k]], w) ^ sketches.rows(at[pairs[k] + 1], w)).sum(1, dtype=np.int64)
+        pairs = pairs[differ <= bound(n[pairs], n[pairs + 1])]
         # Of two, each is the other's partner; the least is written as both's.
         gids, refs = [np.repeat(gid[pairs], 2)], [np.stack([ref[pairs], ref[pairs + 1]], 1).ravel()]
         partners, shared = [np.repeat(ref[pairs], 2)], [np.ones(2 * len(pairs), np.int64)]
         for a, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            close = near((wide if large[a : a + m].all() else narrow)[at_group[a : a + m]], n[a : a + m])
-            degree = close.sum(1) - 1
+            group = Group(sketches.rows(at[a : a + m], int(width[a : a + m].min())), n[a : a + m])
+            degree = np.zeros(m, np.int64)
+            for some, close in group.slices(np.arange(m)):
+                degree[some] = close.sum(1)
             left = degree > 0
             while left.any():
-                part = np.zeros(m, bool)
+                part, best = np.zeros(m, bool), np.zeros(m, np.int64)
                 part[int(np.argmax(np.where(left, degree, -1)))] = True
-                edge = part
-                while edge.any():
-                    edge = close[edge].any(0) & ~part
-                    part |= edge
-                at = np.flatnonzero(part)
-                left[at] = False
-                lead = at[np.argmax(degree[at])]
+                edge = np.flatnonzero(part)
+                while len(edge):
+                    reached = np.zeros(m, bool)
+                    for some, close in group.slices(edge):
+                        reached |= close.any(0)
+                        best[some] = np.argmax(np.where(close, degree[None, :], -1), axis=1)
+                    edge = np.flatnonzero(reached & ~part)
+                    part[edge] = True
+                own = np.flatnonzero(part)
+                left[own] = False
+                lead = own[np.argmax(degree[own])]
                 # Links to the best connected member where they are possible, else to a member's best neighbour.
-                best = np.where(close[at, lead], lead, np.argmax(np.where(close[at] & (np.arange(m) != at[:, None]), degree[None, :], -1), axis=1))
-                gids.append(np.full(len(at), int(mix(np.array([gid[a] ^ int(ref[a + at[0]])], np.int64).view(np.uint64)).view(np.int64)[0])))
-                refs.append(ref[a + at])
-                partners.append(ref[a + best])
-                shared.append(degree[best])
+                direct = group.close(np.array([lead]))[0][own]
+                direct[own == lead] = True
+                gids.append(np.full(len(own), int(mix(np.array([gid[a] ^ int(ref[a + own[0]])], np.int64).view(np.uint64)).view(np.int64)[0])))
+                refs.append(ref[a + own])
+                partners.append(ref[a + np.where(direct, lead, best[own])])
+                shared.append(degree[best[own]])
         return pa.table({c: pa.array(np.concatenate(x)) for c, x in (("gid", gids), ("ref", refs), ("partner", partners), ("shared", shared))})
 
     return run
@@ -435,17 +465,15 @@ def _dealt(unresolved: DataFrame, chunk: int) -> DataFrame:
     return each.select(F.col("cluster").alias("k1"), F.least("c", "o").alias("k2"), F.greatest("c", "o").alias("k3"), "ref", F.col("label").alias("tag"))
 
 
-def jaccard_components(
-    docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILAR, chunk: int = CHUNK
-) -> DataFrame:
-    """doc_id, n_shingles and component_id (least id that links reach) of every document."""
+def _linked(blocks: DataFrame, size: int, similarity: tuple[int, int], chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's ref, doc_id, n and set key (a, b); and of every set that is not empty its key, the component's least
+    id (LAST_ID for none) and that row's reference."""
     num, den = similarity
-    spark = docs.sparkSession
-    buckets, bands = shuffle_parts(spark) * BUCKETS, Bands(num, den)
-    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK, level=7)
+    buckets, bands = shuffle_parts(blocks.sparkSession) * BUCKETS, Bands(num, den)
     sets = staged(_classes(blocks, size), "jaccard-sets")
     # The class's member with the least reference stands for it; equal sets are linked.
-    classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("ref").alias("ref"), F.min(F.coalesce("doc_id", F.lit(int(LAST_ID)))).alias("least"), F.count(F.lit(1)).alias("copies"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(int(LAST_ID))).alias("id"), "ref"))
+    classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("ref").alias("ref"), first.alias("least"))
     classes = staged(classes, "jaccard-classes")
     groups = staged(_ask_signatures(blocks, classes, bands, buckets, size).groupBy("key").applyInArrow(_groups, GROUPS), "jaccard-groups").distinct()
     # Groups with the same first member meet in a few slots, so that a set's sketch travels to few of them.
@@ -456,8 +484,9 @@ def jaccard_components(
 
     chosen = members.where("ref <> partner").groupBy("ref").agg(F.max_by(F.col("partner"), F.struct("shared", -F.col("partner"))).alias("partner"))
     chosen = staged(chosen, "jaccard-partners")
-    salts = max(16, chosen.count() // 2000)
-    keyed = chosen.withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)))
+    # A partner's set goes once to a task for each FAN sets that chose it.
+    fans = chosen.groupBy("partner").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("long").alias("fan"))
+    keyed = chosen.join(fans, "partner").withColumn("salt", F.pmod(F.xxhash64("ref"), "fan"))
     leads = keyed.select("partner", "salt").distinct()
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     wanted = keyed.select(F.col("partner").alias("k1"), F.col("salt").alias("k2"), zero.alias("k3"), "ref", zero.alias("tag")).unionByName(
@@ -478,6 +507,40 @@ def jaccard_components(
     labelled = classes.join(final, F.col("ref") == F.col("node"), "left").select("a", "b", "n", "least", F.coalesce("label", "ref").alias("label"))
     labelled = staged(labelled, "jaccard-classes")
     ids = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    named = labelled.join(ids, "label").select("a", "b", "n", "component")
+    return sets.select("ref", "doc_id", "n", "a", "b"), labelled.join(ids, "label").select("a", "b", "n", F.col("component.id").alias("component"), F.col("component.ref").alias("keeper"))
+
+
+def jaccard_components(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILAR, chunk: int = CHUNK
+) -> DataFrame:
+    """doc_id, n_shingles and component_id (least id that links reach) of every document."""
+    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK, level=7)
+    sets, named = _linked(blocks, size, similarity, chunk)
     with_words = sets.where("n > 0").join(named, ["a", "b", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != int(LAST_ID), F.col("component")).alias("component_id"))
     return with_words.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def representatives(
+    docs: DataFrame, *, id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: tuple[int, int] = SIMILAR, chunk: int = CHUNK
+) -> DataFrame:
+    """docs' own rows and columns, one row of each component: that with the least id (null ids last, ties by place).
+
+    Rows without words are linked with nothing and stay. Rows are told apart by their place, so a repeated id loses no
+    other text. Documents are packed with all their columns; only the places to drop travel to them.
+    """
+    columns = docs.columns
+    carry = [c for c in columns if c != text]
+    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK, level=7, carry=carry)
+    sets, named = _linked(blocks, size, similarity, chunk)
+    gone = sets.where("n > 0").join(named, ["a", "b", "n"]).where("ref <> keeper").select("ref", F.shiftright("ref", PLACE_BITS).alias("block"))
+
+    def body(block: int, texts: Texts, table: pa.Table) -> pa.Table:
+        keep = np.ones(len(texts.ids), bool)
+        if table.num_rows:
+            keep[_places(table)] = False
+        at = np.flatnonzero(keep)
+        out = {c: x.take(pa.array(at)) for c, x in zip(carry, texts.rest(), strict=True)}
+        out[text] = pa.array([texts.text(i) for i in at.tolist()], pa.string())
+        return pa.table({c: out[c] for c in columns})
+
+    return answered(blocks, gone, body, docs.schema)

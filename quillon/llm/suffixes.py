@@ -25,12 +25,14 @@ result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .blocks import QUESTION, Texts, answered, in_order, question_rows, text_blocks
 from .common import shuffle_parts, staged
@@ -225,12 +227,12 @@ DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 KEPT = "doc_id long, text string, n_removed long, n_spans long"
 
 
-def _deduplicated(docs: DataFrame, body, schema: str, *, id: str, text: str, threshold: int) -> DataFrame:
+def _deduplicated(docs: DataFrame, body, schema: str | StructType, *, id: str, text: str, threshold: int, carry: list[str] | None = None) -> DataFrame:
     if threshold < 2 or threshold % 2:
         raise ValueError("the threshold is an even number of bytes")
     spark = docs.sparkSession
     buckets = shuffle_parts(spark) * BUCKETS
-    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK)
+    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK, carry=carry)
 
     def ask_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,3 +298,41 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", t
         return pa.table({"doc_id": texts.id_array(), "text": pa.array(kept, pa.string()), "n_removed": pa.array(gone), "n_spans": pa.array(spans)})
 
     return _deduplicated(docs, body, KEPT, id=id, text=text, threshold=threshold)
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]")
+
+
+def deduplicated_rows(docs: DataFrame, *, id: str = "doc_id", text: str = "text", chars: str = "n_chars", threshold: int = THRESHOLD) -> DataFrame:
+    """docs' own rows and columns with the repeated bytes removed from the text; rows whose text is left without a word go.
+
+    Untouched rows stay as they are. Rows are told apart by their place, so repeated and null ids keep their own texts.
+    The column `chars`, where there is one, gets the new number of characters of changed texts. Documents are packed
+    with all their columns, so nothing is joined back.
+    """
+    carry = [c for c in docs.columns if c != text]
+
+    def body(texts: Texts, removed: np.ndarray) -> pa.Table:
+        gone, _ = _spans(texts, removed)
+        columns, keep, kept, lengths = dict(zip(carry, texts.rest(), strict=True)), [], [], {}
+        for i, (a, e, n) in enumerate(zip(texts.starts.tolist(), texts.ends.tolist(), gone.tolist(), strict=True)):
+            if not n:
+                keep.append(i)
+                kept.append(texts.text(i))
+                continue
+            left = texts.bytes[a:e][~removed[a:e]].tobytes()
+            if _WORD.search(left):
+                keep.append(i)
+                kept.append(left.decode("utf-8", "ignore"))
+                lengths[i] = len(kept[-1])
+        columns[text] = pa.array(kept, pa.string())
+        at = pa.array(keep, pa.int64())
+        for c in carry:
+            columns[c] = columns[c].take(at)
+        if chars in carry and lengths:
+            old = columns[chars]
+            columns[chars] = pa.array([lengths.get(i, v) for i, v in zip(keep, old.to_pylist(), strict=True)], old.type)
+        return pa.table({c: columns[c] for c in docs_columns})
+
+    docs_columns = docs.columns
+    return _deduplicated(docs, body, docs.schema, id=id, text=text, threshold=threshold, carry=carry)
