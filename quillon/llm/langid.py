@@ -243,16 +243,17 @@ def train(docs: DataFrame, where: Column, *, id: str = "doc_id", text: str = "te
     return fit([r.t for r in found], [r.l for r in found])
 
 
-PREDICTION = "doc_id long, lang_pred string, score double, n_words long"
+SLICE = 1 << 20  # characters whose features are in memory at once (one text at least)
 
 
-def predict_batch(texts: list[str | None], model: dict) -> tuple[list[str], list[float], list[int]]:
+def predict_batch(texts: list[str | None], model: dict) -> tuple[list[str], list[float], list[int], list[float]]:
+    """Of each text: language, its mean posterior over the words, words, and the mean of the words' largest posteriors."""
     names = model["languages"]
-    langs, scores, sizes = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts)
+    langs, scores, sizes, sure = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts), [0.0] * len(texts)
     if not names:
-        return langs, scores, sizes
+        return langs, scores, sizes, sure
     energies, counts = [], []
-    for lo, hi in byte_slices(texts, 4 << 20):
+    for lo, hi in byte_slices(texts, SLICE):
         words = Words(texts[lo:hi])
         own, which = words.distinct()
         energies.append(own.sums(model["weights"])[which])
@@ -261,47 +262,51 @@ def predict_batch(texts: list[str | None], model: dict) -> tuple[list[str], list
     energy = np.concatenate(energies) if energies else np.zeros((0, len(names)))
     full = np.flatnonzero(count)
     gamma = posteriors(energy, count[full], model["transition"])
-    mean = np.add.reduceat(gamma, np.cumsum(count[full]) - count[full], axis=0) / count[full][:, None] if len(full) else gamma
-    for i, p in zip(full.tolist(), mean, strict=True):
+    average = lambda x: np.add.reduceat(x, np.cumsum(count[full]) - count[full], axis=0) / count[full][:, None] if len(full) else x
+    for i, p, q in zip(full.tolist(), average(gamma), average(gamma.max(1, keepdims=True)), strict=True):
         if _LETTER.search(texts[i]):
             k = int(p.argmax())
-            langs[i], scores[i], sizes[i] = names[k], float(min(1.0, p[k])), int(count[i])
-    return langs, scores, sizes
+            langs[i], scores[i], sizes[i], sure[i] = names[k], float(min(1.0, p[k])), int(count[i]), float(min(1.0, q[0]))
+    return langs, scores, sizes, sure
 
 
 def identify(docs: DataFrame, model: dict, *, id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score and n_words of every whole text, or the columns `keep` with those three after them."""
+    """doc_id, lang_pred, score, n_words and certainty (the mean of the words' largest posteriors) of every whole text, or
+    the columns `keep` with those four after them."""
     names = keep if keep is not None else [id]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** (BITS + 1) weights a language, whatever the input
-    kept = docs.select(*names, F.col(text).cast("string").alias("text__"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "lang_pred string, score double, n_words long"])
+    more = [] if text in names else [F.col(text).cast("string").alias("text__")]
+    at_text = names.index(text) if text in names else len(names)
+    width = len(names)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields), "lang_pred string, score double, n_words long, certainty double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1)
-            at = 0
-            while at < b.num_rows:
-                lo, hi = next(byte_slices(texts.slice(at, 4096).to_pylist(), 4 << 20))
-                piece = b.slice(at + lo, hi - lo)
-                found = predict_batch(piece.column(b.num_columns - 1).to_pylist(), m)
-                at += hi
-                yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(i) for i in range(b.num_columns - 1)), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.int64())],
-                    names=[*b.schema.names[:-1], "lang_pred", "score", "n_words"],
-                )
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                texts = some.column(at_text).to_pylist()
+                for lo, hi in byte_slices(texts, SLICE):
+                    found = predict_batch(texts[lo:hi], m)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(some.column(i).slice(lo, hi - lo) for i in range(width)), *(pa.array(x, kind) for x, kind in zip(found, (pa.string(), pa.float64(), pa.int64(), pa.float64()), strict=True))],
+                        names=[*b.schema.names[:width], "lang_pred", "score", "n_words", "certainty"],
+                    )
 
-    return kept.mapInArrow(run, schema)
+    return docs.select(*names, *more).mapInArrow(run, schema)
 
 
-#: Documents under this score, and those without a letter, are rejected by the filter.
-MIN_SCORE = 0.4
+#: Documents whose words are less certain than this on average, and those without a letter, are rejected by the filter.
+MIN_CERTAINTY = 0.4
 
 
-def filter_languages(docs: DataFrame, model: dict, *, text: str = "text", languages: list[str] | None = None, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs in one of the learned (or given) languages, with docs' own columns."""
+def filter_languages(docs: DataFrame, model: dict, *, text: str = "text", languages: list[str] | None = None, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
+    """The rows of docs in one of the learned (or given) languages, with docs' own columns.
+
+    A text that is spread over several languages stays as long as its words are certain of one language each.
+    """
     wanted = languages if languages is not None else model["languages"]
     renamed = docs.toDF(*[f"c{i}__" for i in range(len(docs.columns))])
     own = renamed.columns[docs.columns.index(text)]
     found = identify(renamed, model, text=own, keep=renamed.columns)
-    return found.where(F.col("lang_pred").isin(wanted) & (F.col("score") >= min_score)).select(*renamed.columns).toDF(*docs.columns)
+    return found.where(F.col("lang_pred").isin(wanted) & (F.col("certainty") >= min_certainty)).select(*renamed.columns).toDF(*docs.columns)
