@@ -21,13 +21,13 @@ h AS (SELECT host, r, count(*) AS n, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS k
 p AS (SELECT r, sum(n) AS docs, sum(CAST(n AS DOUBLE) * n) AS docs2, count(*) AS hosts, sum(k) AS s, sum(CAST(k AS DOUBLE) * k / n) AS q,
              (sum(k) + 0.5::DOUBLE) / (sum(n) + 1) AS mean FROM h GROUP BY r),
 p2 AS (SELECT r, mean, greatest(coalesce((q - CAST(s AS DOUBLE) * s / docs - (hosts - 1) * mean * (1 - mean)) / nullif(docs - docs2 / docs, 0), 0), mean * (1 - mean) / 1000) AS between_hosts FROM p),
-v AS (SELECT h.host, max(CASE WHEN (k + mean * greatest(mean * (1 - mean) / between_hosts - 1, 1)) / (n + greatest(mean * (1 - mean) / between_hosts - 1, 1)) > 0.5 THEN 1 ELSE 0 END) = 1 AS rejected
-      FROM h JOIN p2 ON h.r = p2.r GROUP BY h.host)
+z AS (SELECT h.host, h.r, mean, between_hosts, (k + mean * greatest(mean * (1 - mean) / between_hosts - 1, 1)) / (n + greatest(mean * (1 - mean) / between_hosts - 1, 1)) AS shrunk FROM h JOIN p2 ON h.r = p2.r),
+v AS (SELECT host, bool_or(shrunk > 0.5) AS rejected, coalesce(bool_or(shrunk > mean + sqrt(between_hosts)) FILTER (r = 'symbols'), false) AS watch_s, coalesce(bool_or(shrunk > mean + sqrt(between_hosts)) FILTER (r = 'lines'), false) AS watch_l FROM z GROUP BY host)
 """
 
 ORACLES = {
     "op9_quality_rules": f"""
 WITH {_MEASURES}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AND NOT (watch_s AND s_failed) AND NOT (watch_l AND l_failed) AS kept
 FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host""",
 }

@@ -1,7 +1,9 @@
 """Quality rules with host-level verdicts (built-in DataFrame functions only).
 
 Each document is measured, rule failures are summed by host, every host's rate is shrunk towards an empirical
-beta prior, and the hosts' verdicts are joined back to the documents.
+beta prior, and the hosts' verdicts are joined back to the documents: a host whose shrunk rate of some rule is above
+the limit is rejected with all its documents; a host whose shrunk rate stands out from the prior by more than WATCH of
+its deviations is watched, and its documents that fail that rule go too (elsewhere only the base rule decides).
 
 Defined cases: a null or empty text has no words and fails the base rule; a null host is a host of its own;
 repeated rows count as often as they occur; an empty table gives an empty result; columns other than the id,
@@ -21,6 +23,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: A host is rejected when its shrunk rate of a rule's failures is above this.
 HOST_LIMITS = {"base": 0.5, "symbols": 0.5, "lines": 0.5}
+WATCH = 1.0
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -99,7 +102,7 @@ def measured(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 def host_verdicts(measured_docs: DataFrame, host: str = "host", limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
-    """One row per host: documents, each rule's raw and shrunk failure rate, and `rejected`.
+    """One row per host: documents, each rule's raw and shrunk failure rate, whether the rule is watched, and `rejected`.
 
     Rates are taken as draws from a beta distribution whose mean and strength are fitted by moments over the hosts
     (weighted by documents); a host's shrunk rate is (failures + a) / (documents + a + b). All steps are partial
@@ -127,35 +130,41 @@ def host_verdicts(measured_docs: DataFrame, host: str = "host", limits: dict[str
         out = out.withColumn(f"rate_{k}", F.col(f"f_{k}") / F.col("n")).withColumn(
             f"shrunk_{k}", (F.col(f"f_{k}") + mean * strength) / (F.col("n") + strength)
         )
+        out = out.withColumn(f"watched_{k}", F.col(f"shrunk_{k}") > mean + WATCH * F.sqrt(between))
     over = reduce(lambda a, b: a | b, [F.col(f"shrunk_{k}") > v for k, v in limits.items()])
-    return out.select("host", "n", *[f"rate_{k}" for k in rules], *[f"shrunk_{k}" for k in rules], over.alias("rejected"))
+    return out.select("host", "n", *[f"rate_{k}" for k in rules], *[f"shrunk_{k}" for k in rules], *[f"watched_{k}" for k in rules], over.alias("rejected"))
 
 
-def with_verdicts(rows: DataFrame, *, host: str = "source", limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
+def judged(rows: DataFrame, *, host: str = "source", limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
     """rows that hold the measures' columns, with base_failed and kept.
 
-    Only rejected hosts are joined back; Spark broadcasts them where their measured size allows and otherwise
-    shuffles, splitting a hot host.
+    Only rejected and watched hosts are joined back; Spark broadcasts them where their measured size allows and
+    otherwise shuffles, splitting a hot host.
     """
-    bad = host_verdicts(rows, host, limits).where("rejected").select(F.col("host").alias("bad_host__"), F.lit(True).alias("bad__"))
+    rules = rule_failures()
+    watched = [f"watched_{k}" for k in rules]
+    bad = host_verdicts(rows, host, limits).where(reduce(lambda a, b: a | b, [F.col(c) for c in ("rejected", *watched)]))
+    bad = bad.select(F.col("host").alias("bad_host__"), F.col("rejected").alias("rejected__"), *[F.col(c).alias(f"{c}__") for c in watched])
     joined = rows.join(bad, rows[host].eqNullSafe(bad["bad_host__"]), "left")
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("bad__").isNull()).drop("bad__", "bad_host__")
+    fails = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"watched_{k}__"), F.lit(False)) & F.coalesce(c, F.lit(False)) for k, c in rules.items()])
+    kept = ~F.col("base_failed") & ~F.coalesce("rejected__", F.lit(False)) & ~fails
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("bad_host__", "rejected__", *[f"{c}__" for c in watched])
 
 
 def quality_rules(docs: DataFrame, *, id: str = "doc_id", text: str = "text", host: str = "source", limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
     """Per document: the measures, base_failed and kept. The measures are written once to the shared folder."""
     rows = docs.select(F.col(id).alias("doc_id"), F.col(host).alias("host__"), measures(F.col(text)).alias("m")).select("doc_id", "host__", "m.*")
-    return with_verdicts(staged(rows, "quality"), host="host__", limits=limits).drop("host__")
+    return judged(staged(rows, "quality"), host="host__", limits=limits).drop("host__")
 
 
 def filter_quality(docs: DataFrame, *, text: str = "text", host: str = "source", limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
-    """The rows of docs that are kept, with docs' own columns; documents are not shuffled unless many hosts are rejected."""
-    rows = docs.withColumn("measures__", measures(F.col(text)))
-    slim = staged(rows.select(F.col(host).alias("host__"), "measures__.*"), "quality")
-    bad = host_verdicts(slim, "host__", limits).where("rejected").select(F.col("host").alias("bad_host__"))
-    good = docs.where(~_base_failed_of(measures(F.col(text))))
-    return good.join(bad, good[host].eqNullSafe(bad["bad_host__"]), "left_anti").select(*docs.columns)
-
+    """The rows of docs that are kept, with docs' own columns; documents are not shuffled unless many hosts are rejected.
 
-def _base_failed_of(m: Column) -> Column:
-    return let(m, lambda x: (x["n_words"] < 20) | (x["n_repeat_words"] * 100 > x["n_words"] * 30))
+    The measures are computed once and written with the rows; texts that fail the base rule are not written with them.
+    """
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}__" for i in range(len(columns))])
+    own = dict(zip(columns, plain.columns, strict=True))
+    rows = plain.withColumn("m__", measures(F.col(own[text]))).select("*", "m__.*").drop("m__")
+    rows = staged(rows.withColumn(own[text], F.when(~base_failed(), F.col(own[text]))), "quality")
+    return judged(rows, host=own[host], limits=limits).where("kept").select(*plain.columns).toDF(*columns)
