@@ -1,27 +1,29 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text's spaces become word marks and a mark precedes it. No piece crosses the start of a run of marks, so a text is a
-sequence of words that are encoded each by itself, every distinct word once:
+sequence of words that are encoded each by itself, a block's distinct words once:
 
-1. Words are read block by block and grouped over all blocks.
+1. Texts are packed in blocks, and the blocks' distinct words are written in the same buckets as the blocks.
 2. A word's substrings of up to the longest piece's length are exploded and equi-joined to the piece table; a character
-   that no piece covers is spelled in bytes. Edges are grouped by word, which needs no further exchange.
+   that no piece covers is spelled in bytes. Edges are grouped by word. All of this happens where the block is: nothing
+   is shuffled, and a frequent word is one row a block.
 3. The edges are folded by Spark's `aggregate`. For a unigram model the fold is Viterbi's: best score and last edge of
    every position, then a walk back. The pieces of a BPE model carry merge ranks, and the path of the largest score sum
-   is not what merging gives (it agrees on under half of the words); for such a model the fold starts from the
-   characters and takes the edge of the best rank over two neighbours until there is none, which is the model's
-   encoding exactly.
-4. Each block gets the ids of its words back and puts its texts' ids together.
+   is not what merging gives (it agrees on under half of the words). For such a model the edges are folded once, by
+   rank and start, over the set of cuts: an edge whose ends are cuts with one cut between them removes that one. A
+   piece is made of pieces of better ranks, so this order is the merges' own; tests hold it against the library.
+4. Each block puts its texts' ids together from its words'.
 
 Defined cases: null and empty texts have no pieces; the piece table's size is the model's and doesn't grow with the
 input; texts need the identity normalisation (the model's own is not applied); words of more than MAX_WORD characters
-are encoded by the library, as a fold's cost is their square; repeated rows are encoded each; a null id stays null; an
-empty table gives an empty result; other columns are not read.
+are encoded by the library, as the fold's cost on long words is their square; repeated rows are encoded each; a null id
+stays null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,10 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Texts, answered, text_blocks
-from .common import let, shuffle_parts
+from .common import let, shared_dir, shuffle_parts
 
 MARK = "▁"
-MAX_WORD = 400
+MAX_WORD = 2000
+SHORT = 61  # characters of a word whose cuts fit a long
+BLOCK, BUCKETS = 6 << 20, 4  # bytes of text; buckets a shuffle partition
+GROUPS = 1 << 21  # words whose edges a task holds at once before it sorts them: several blocks' words
 UNKNOWN_SCORE = -1e9  # of a character that is spelled in bytes
 _RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -59,9 +64,10 @@ class PieceModel:
         self.merges = all(s <= UNKNOWN_SCORE or s == plain[0] - i for i, s in self.scores.items())
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score: as many rows as the model has pieces."""
-        rows = [(p, i, self.scores[i]) for i, p in self.pieces.items()]
-        return spark.createDataFrame(rows, "piece string, id int, score double")
+        """piece, id, score, merge rank (equal scores have equal ranks): as many rows as the model has pieces."""
+        rank = {v: k for k, v in enumerate(sorted({-v for v in self.scores.values()}))}
+        rows = [(p, i, self.scores[i], rank[-self.scores[i]]) for i, p in self.pieces.items()]
+        return spark.createDataFrame(rows, "piece string, id int, score double, merge int")
 
     def as_bytes(self) -> list[bytes]:
         out = [b""] * self.size
@@ -87,75 +93,134 @@ class _Ranks(dict):
         return i
 
 
-def _ranked(texts: Texts) -> tuple[_Ranks, list[np.ndarray]]:
-    """The block's distinct words in order of appearance, and each text's words by their rank."""
+def _ranked(texts: Texts) -> tuple[list[str], list[np.ndarray]]:
+    """The block's distinct words in order, and each text's words by their place in it."""
     ranks, out = _Ranks(), []
     data = texts.bytes.tobytes()
     for a, e in zip(texts.starts.tolist(), texts.ends.tolist(), strict=True):
         words = words_of_text(data[a:e].decode("utf-8", "surrogatepass"))
         out.append(np.fromiter(map(ranks.__getitem__, words), np.int32, len(words)))
-    return ranks, out
+    words = sorted(ranks)
+    place = np.empty(len(words), np.int32)
+    place[[ranks[w] for w in words]] = np.arange(len(words), dtype=np.int32)
+    return words, [place[x] for x in out]
 
 
-def _block_words(blocks: DataFrame) -> DataFrame:
+def _block_words(blocks: DataFrame, buckets: int) -> DataFrame:
+    """block, rank (and whether the word is longer than SHORT, in the lowest bit), word of each block's distinct words,
+    written in the blocks' own buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ranks, _ = _ranked(Texts(payload.as_py()))
-                words = pa.array([MARK + w if len(w) < MAX_WORD else None for w in ranks], pa.string())
-                # Neighbours in a shuffle file that begin alike compress well.
-                order = pa.compute.sort_indices(words).slice(0, len(words) - words.null_count)
-                for lo in range(0, len(order), 50_000):
-                    at = order.slice(lo, 50_000)
-                    yield pa.RecordBatch.from_arrays([words.take(at), pa.array(np.full(len(at), block, np.int64)), at.cast(pa.int32())], names=["word", "block", "rank"])
-
-    return blocks.mapInArrow(run, "word string, block long, rank int")
-
-
-def lattice(words: DataFrame, model: PieceModel, *, keep: list[str] | None = None) -> DataFrame:
-    """words (distinct `word`, and columns to keep) with `edges`: (start, n, id, score) of all substrings by start and
-    length, id and score null where the substring is no piece."""
-    keep = keep or []
-    starts = words.select("word", *keep, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("start"))
-    spans = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.char_length("word") - F.col("start")))))
-    once = (F.col("start") == 0) & (F.col("n") == 1)  # the kept columns travel with one edge only
-    cut = spans.select("word", *[F.when(once, F.col(c)).alias(c) for c in keep], "start", "n", F.expr("substring(word, start + 1, n)").alias("piece"))
-    joined = cut.join(F.broadcast(model.table(words.sparkSession)), "piece", "left")
-    edge = F.struct("start", "n", "id", "score")
-    return joined.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in keep])
+                words, _ = _ranked(Texts(payload.as_py()))
+                for lo in range(0, len(words), 20_000):
+                    some = [(r << 1 | (len(w) >= SHORT), MARK + w) for r, w in enumerate(words[lo : lo + 20_000], lo) if len(w) < MAX_WORD]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(some), block, np.int64)), pa.array([r for r, _ in some], pa.int32()), pa.array([w for _, w in some], pa.string())], names=["block", "rank", "word"]
+                    )
+
+    spark, name = blocks.sparkSession, f"words_{uuid.uuid4().hex}"
+    rows = blocks.mapInArrow(run, "block long, rank int, word string")
+    rows.write.option("compression", "zstd").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now; the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def _written_paths(paths: DataFrame, buckets: int) -> DataFrame:
+    """paths written in the blocks' buckets. While they are computed, a task's words are grouped without sorting."""
+    spark, name, key = paths.sparkSession, f"paths_{uuid.uuid4().hex}", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, GROUPS)
+    try:
+        paths.write.option("compression", "zstd").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.table(name)
+    out.schema  # resolved now; the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def lattice(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
+    """keys and `edges` of words (`keys`, which tell them apart, and `word`): the substrings that are pieces.
+
+    For a model of merges an edge is a long that sorts by rank and start (see _edge), and single characters, which need
+    no merge, are left out; else a struct of start, n, id, score, where a character that is no piece has the id -1.
+    """
+    least = 2 if model.merges else 1
+    here = words.where(F.char_length("word") >= least)
+    starts = here.select(*keys, "word", F.explode(F.sequence(F.lit(0), F.char_length("word") - least)).alias("start"))
+    spans = starts.select(*keys, "word", "start", F.explode(F.sequence(F.lit(least), F.least(F.lit(model.longest), F.char_length("word") - F.col("start")))).alias("n"))
+    # Joined on a hash of the substring, a number, which Spark looks up faster than a string; then the strings are compared.
+    text = F.expr("substring(word, start + 1, n)")
+    cut = spans.select(*keys, "start", "n", F.xxhash64(text).alias("h"), "word")
+    table = F.broadcast(model.table(words.sparkSession).withColumn("h", F.xxhash64("piece")))
+    same = F.when(F.col("piece") == text, True).otherwise(False)
+    if model.merges:
+        joined = cut.join(table, "h").where(same)
+        long = lambda c, bits: F.shiftleft(F.col(c).cast("long"), bits)
+        edge = long("merge", 43).bitwiseOR(long("start", 27)).bitwiseOR(long("n", 20)).bitwiseOR(F.col("id").cast("long"))
+    else:
+        joined = cut.join(table, "h", "left").withColumn("id", F.when(same, F.col("id"))).where("id is not null or n = 1")
+        edge = F.struct("start", "n", F.coalesce("id", F.lit(-1)).alias("id"), F.when(F.col("id").isNotNull(), F.col("score")).otherwise(UNKNOWN_SCORE).alias("score"))
+    return joined.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def _shift(value, bits):
+    return F.call_function("shiftleft", value, bits)
+
+
+def _edge(e):
+    """start and size of an edge: 20 bits of the id, 7 of the size, 16 of the start, the rank above."""
+    return F.shiftright(e, 27).bitwiseAND(F.lit(0xFFFF)).cast("int"), F.shiftright(e, 20).bitwiseAND(F.lit(0x7F)).cast("int")
+
+
+def merged(edges, short):
+    """The edges of the path by merge ranks; short: whether the word has SHORT characters at most.
+
+    Characters between them stand alone.
+    """
+    one = F.lit(1).cast("long")
 
+    def ends(e):
+        start, size = _edge(e)
+        return _shift(_shift(one, size).bitwiseOR(one), start), _shift(_shift(one, size + 1) - one, start)
 
-def merged(edges, n, longest: int):
-    """The path by merge ranks: an array of (id, start, n)."""
-    def fold(edges):
-        def at(start, size):
-            """The edge of a start and a size: starts near the end have fewer edges than `longest`."""
-            full = F.greatest(F.lit(0), n - longest)
-            short = F.greatest(F.lit(0), start - full)
-            before = F.least(start, full) * longest + short * (n - full) - ((short * (short - 1)) / 2).cast("int")
-            return F.when(size <= longest, F.get(edges, before + size - 1))
+    def step(cuts, e):
+        both, window = ends(e)
+        inside = cuts.bitwiseAND(window)
+        alone = (F.bit_count(inside) == 3) & (inside.bitwiseAND(both) == both)
+        return F.when(alone, cuts.bitwiseXOR(inside.bitwiseXOR(both))).otherwise(cuts)
 
-        def step(s, _):
-            def take(best):
-                left = F.concat(F.slice(s["cuts"], F.lit(1), best["i"] + 1), F.slice(s["cuts"], best["i"] + 3, F.size(s["cuts"])))
-                return F.when(best.isNull(), F.struct(s["cuts"].alias("cuts"), F.lit(True).alias("done"))).otherwise(F.struct(left.alias("cuts"), F.lit(False).alias("done")))
+    def path(cuts):
+        def on(e):
+            both, window = ends(e)
+            return cuts.bitwiseAND(window) == both
 
-            pairs = F.transform(F.sequence(F.lit(0), F.size(s["cuts"]) - 3), lambda i: F.struct((-at(F.get(s["cuts"], i), F.get(s["cuts"], i + 2) - F.get(s["cuts"], i))["score"]).alias("rank"), i.alias("i")))
-            return F.when(s["done"] | (F.size(s["cuts"]) < 3), s).otherwise(let(F.array_min(F.filter(pairs, lambda p: p["rank"].isNotNull())), take))
+        return F.filter(edges, on)
 
-        def path(s):
-            piece = lambda i, a, e: F.struct(F.coalesce(at(a, e - a)["id"], F.lit(-1)).alias("id"), a.alias("start"), (e - a).alias("n"))
-            return F.transform(F.sequence(F.lit(0), F.size(s["cuts"]) - 2), lambda i: piece(i, F.get(s["cuts"], i), F.get(s["cuts"], i + 1)))
+    by_bits = let(F.aggregate(edges, F.lit(-1).cast("long"), step), path)
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.struct(F.sequence(F.lit(0), n).alias("cuts"), F.lit(False).alias("done")), step, path)
+    # Longer words: the next cut of every cut, 0 where there is none.
+    def join(after, e):
+        start, size = _edge(e)
+        middle = F.get(after, start)
+        done = F.transform(after, lambda x, i: F.when(i == start, start + size).when(i == middle, F.lit(0)).otherwise(x))
+        return F.when((middle > 0) & (middle < start + size) & (F.get(after, middle) == start + size), done).otherwise(after)
 
-    return let(edges, fold)
+    last = F.array_max(F.transform(edges, lambda e: _edge(e)[0] + _edge(e)[1]))
+    follow = lambda after: F.filter(edges, lambda e: F.get(after, _edge(e)[0]) == _edge(e)[0] + _edge(e)[1])
+    by_array = let(F.aggregate(edges, F.concat(F.sequence(F.lit(1), last), F.array(F.lit(0))), join), follow)
+    return F.when(short, by_bits).otherwise(by_array)
 
 
 def viterbi(edges):
-    """The path of the largest score sum: an array of (id, start); a fold forward and a fold back."""
-    spelled = lambda e: F.struct((e["start"] + e["n"]).alias("end"), e["start"].alias("start"), F.coalesce(e["id"], F.lit(-1)).alias("id"), F.coalesce(e["score"], F.lit(UNKNOWN_SCORE)).alias("score"))
-    edges = F.sort_array(F.transform(F.filter(edges, lambda e: e["id"].isNotNull() | (e["n"] == 1)), spelled))
+    """The edges of the path of the largest score sum, coded as in _edge (without rank, and without characters that are no
+    piece); a fold forward and a fold back."""
+    edges = F.sort_array(F.transform(edges, lambda e: F.struct((e["start"] + e["n"]).alias("end"), e["start"].alias("start"), e["id"].alias("id"), e["score"].alias("score"))))
     start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.struct(F.lit(-1).alias("id"), F.lit(0).alias("start"))).alias("last"))
 
     def relax(s, e):
@@ -167,28 +232,56 @@ def viterbi(edges):
         return F.when(known & ~better, s).otherwise(F.struct(put(s["best"], total).alias("best"), put(s["last"], here).alias("last")))
 
     def walk(s):
-        empty = F.struct((F.size(s["last"]) - 1).alias("at"), F.slice(s["last"], F.lit(1), F.lit(0)).alias("path"))
-        step = lambda w, _: F.when(w["at"] == 0, w).otherwise(
-            F.struct(F.get(s["last"], w["at"])["start"].alias("at"), F.array_append(w["path"], F.get(s["last"], w["at"])).alias("path"))
-        )
-        return F.aggregate(F.sequence(F.lit(1), F.size(s["last"])), empty, step, lambda w: F.reverse(w["path"]))
+        empty = F.struct((F.size(s["last"]) - 1).alias("at"), F.array().cast("array<long>").alias("path"))
 
-    return F.aggregate(edges, start, relax, walk)
+        def back(w, _):
+            edge = F.get(s["last"], w["at"])
+            code = F.shiftleft(edge["start"].cast("long"), 27).bitwiseOR(F.shiftleft((w["at"] - edge["start"]).cast("long"), 20)).bitwiseOR(edge["id"].cast("long"))
+            return F.when(w["at"] == 0, w).otherwise(F.struct(edge["start"].alias("at"), F.when(edge["id"] < 0, w["path"]).otherwise(F.array_append(w["path"], code)).alias("path")))
 
+        return F.aggregate(F.sequence(F.lit(1), F.size(s["last"])), empty, back, lambda w: w["path"])
 
-def word_ids(words: DataFrame, model: PieceModel, *, keep: list[str] | None = None) -> DataFrame:
-    """word, ids of distinct words."""
-    keep = keep or []
-    best = merged(F.col("edges"), F.char_length("word"), model.longest) if model.merges else viterbi(F.col("edges"))
-    paths = lattice(words, model, keep=keep).select("word", *keep, best.alias("path"))
-    first = model.bytes[0]
+    return F.aggregate(edges, start, relax, walk)
 
-    def spelled(p):
-        digits = F.hex(F.substr(F.col("word"), p["start"] + 1, F.lit(1)).cast("binary"))
-        pair = lambda k: F.conv(F.substr(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + first
-        return F.when(p["id"] >= 0, F.array(p["id"])).otherwise(F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), pair))
 
-    return paths.select("word", *keep, F.flatten(F.transform("path", spelled)).alias("ids"))
+def word_paths(words: DataFrame, model: PieceModel, keys: list[str], short) -> DataFrame:
+    """keys and `path` (edges as in _edge, in no order) of words; words of single characters alone are left out where the
+    model merges. short: a condition on keys, whether the word has SHORT characters at most."""
+    path = merged(F.col("edges"), short) if model.merges else viterbi(F.col("edges"))
+    return lattice(words, model, keys).select(*keys, path.alias("path"))
+
+
+class Speller:
+    """Puts words' ids together from their characters and the edges of their paths."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        self.single = {p: i for i, p in model.pieces.items() if len(p) == 1}
+
+    def ids(self, words: list[str], owner: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and each word's number of them; owner: the word of each edge."""
+        text = "".join(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds, at = np.unique(chars, return_inverse=True)
+        known = np.array([self.single.get(chr(c), -1) for c in kinds.tolist()], np.int64)
+        spelled = [[self.model.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] if i < 0 else [i] for c, i in zip(kinds.tolist(), known.tolist(), strict=True)]
+        width = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        first = np.cumsum(width) - width
+        flat = np.array([i for x in spelled for i in x], np.int64)
+        # Every character's ids: where they begin in a table, and how many; edges take their characters' place.
+        begin, count = first[at], width[at]
+        where = (np.cumsum(sizes) - sizes)[owner] + (edges >> 27 & 0xFFFF)
+        n = edges >> 20 & 0x7F
+        covered = np.repeat(where - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        count[covered] = 0
+        count[where] = 1
+        begin[where] = len(flat) + np.arange(len(where))
+        flat = np.concatenate([flat, edges & 0xFFFFF])
+        ends = np.cumsum(count)
+        out = flat[np.repeat(begin - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)].astype(np.int32)
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        return out, np.diff(upto)
 
 
 ENCODED = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
@@ -198,34 +291,34 @@ def encode(docs: DataFrame, model_path: str, *, id: str = "doc_id", text: str =
     """Per document: the number of pieces, the CRC-32 of its ids as little-endian 32-bit numbers, and whether they decode
     to the text; with with_ids also the ids."""
     model = PieceModel(model_path)
-    blocks = text_blocks(docs, id=id, text=text, level=7)
-    kind = "smallint" if model.size < 1 << 15 else "int"
-    # Many small partitions: a word has about 16 edges a character, and a task's edges are sorted in memory.
-    words = _block_words(blocks).repartition(shuffle_parts(docs.sparkSession) * 16, "word").groupBy("word").agg(F.collect_list(F.struct("block", "rank")).alias("places"))  # a word once a block
-    found = word_ids(words, model, keep=["places"]).select(F.col("ids").cast(f"array<{kind}>").alias("ids"), F.explode("places").alias("p")).select("p.block", "p.rank", "ids")
-    spelling = model.as_bytes()
+    buckets = shuffle_parts(docs.sparkSession) * BUCKETS
+    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK, level=7, buckets=buckets)
+    words = _block_words(blocks, buckets)
+    found = _written_paths(word_paths(words, model, ["block", "rank"], F.col("rank").bitwiseAND(F.lit(1)) == 0), buckets)
+    spelling, speller = model.as_bytes(), Speller(model)
 
     def body(block: int, texts: Texts, table: pa.Table) -> pa.Table:
-        ranks, members = _ranked(texts)
-        n = len(texts.ids)
-        lengths, starts, flat, right = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64), np.zeros(0, np.int32), np.ones(len(ranks), bool)
+        words, members = _ranked(texts)
+        marked = [MARK + w if len(w) < MAX_WORD else "" for w in words]
+        owner, edges = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if table.num_rows:
-            lists = table.column("ids").combine_chunks()
+            lists = table.column("path").combine_chunks()
             lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            at = table.column("rank").to_numpy()
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
-            lengths[at], starts[at] = size, np.cumsum(size) - size
-        if any(len(w) >= MAX_WORD for w in ranks):
+            edges = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(table.column("rank").to_numpy().astype(np.int64) >> 1, lists.value_lengths().to_numpy(zero_copy_only=False))
+        flat, lengths = speller.ids(marked, owner, edges)
+        starts = np.cumsum(lengths) - lengths
+        long = [r for r, w in enumerate(words) if len(w) >= MAX_WORD]
+        if long:
             import sentencepiece
 
             library = sentencepiece.SentencePieceProcessor(model_file=model_path)
-            for r, w in [(r, w) for w, r in ranks.items() if len(w) >= MAX_WORD]:
-                found = np.array(library.encode(w.replace(MARK, " ")), np.int32)
-                lengths[r], starts[r], flat = len(found), len(flat), np.concatenate([flat, found])
-        if len(flat):
-            for w, (word, a, k) in enumerate(zip(ranks, starts.tolist(), lengths.tolist(), strict=True)):
-                right[w] = b"".join([spelling[i] for i in flat[a : a + k].tolist()]) == (MARK + word).encode("utf-8", "surrogatepass")
+            for r in long:
+                found = np.array(library.encode(words[r].replace(MARK, " ")), np.int32)
+                starts[r], lengths[r], flat = len(flat), len(found), np.concatenate([flat, found])
+        right = np.ones(len(words), bool)
+        for w, (word, a, k) in enumerate(zip(words, starts.tolist(), lengths.tolist(), strict=True)):
+            right[w] = b"".join([spelling[i] for i in flat[a : a + k].tolist()]) == (MARK + word).encode("utf-8", "surrogatepass")
         ids = []
         for m in members:
             k = lengths[m]
