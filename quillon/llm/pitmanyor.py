@@ -3,7 +3,7 @@
 Tokens are lower-cased words and one end a text. A token is drawn in the restaurant of its context, the word before it
 (at a text's start, the end token); that restaurant's parent is the restaurant of all tokens, whose base is uniform
 over the V training tokens and one unseen. There is one restaurant for each distinct word, so contexts and dishes both
-grow with the corpus. A context is known by a 64-bit hash of its word, a token by a 128-bit one.
+grow with the corpus. A context is known by 48 bits of its word's hash, a token by 80.
 
 Seating. For each dish in each restaurant only customers c and tables t are kept. A sweep reseats every dish's
 customers in turn, each at a new table with probability a / (a + k - d t), where k are already seated at t tables and
@@ -13,7 +13,7 @@ total number of tables is summed over the corpus after each sweep and held durin
 probabilities of the sweeps after burn-in are averaged. Discounts are estimated from the counts of counts.
 
 Spread. Texts are read once, in blocks. A block asks, for each of its distinct (context, token) pairs, in the bucket
-of the token's 128-bit hash; a bucket merges the counts of all blocks, samples its own dishes, and answers every
+of the token's hash; a bucket merges the counts of all blocks, samples its own dishes, and answers every
 block's pairs in the order asked. All training text is counted; nothing is pruned. A token is at most once in a block's
 question, so frequent words make no hot bucket. A restaurant's dishes lie in many buckets: the bucket of the context's
 own hash sums its tables, and after each sweep every bucket sends the sums of its contexts there and gets the totals
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_parts, staged, words_of
+from .common import released, shared_dir, shuffle_parts, staged, words_of
 from .tokens import byte_slices
 
 BLOCK = 12 << 20
@@ -66,6 +66,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _halves(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return contexts.astype("<u4"), (contexts >> np.uint64(32)).astype("<u2")
+
+
 class _Codes(dict):
     def __missing__(self, word):
         self[word] = i = len(self)
@@ -98,6 +102,7 @@ class Block:
         words = list(self.codes)
         tokens, counts, learn = np.concatenate(self.tokens), np.concatenate(self.counts), np.concatenate(self.learn)
         digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words), "<u8").reshape(-1, 2)
+        digests = np.stack([digests[:, 0], digests[:, 1] & np.uint64(0xFFFF)], 1)
         order = np.lexsort((digests[:, 1], digests[:, 0], digests[:, 0] % np.uint64(buckets)))
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
@@ -110,13 +115,14 @@ class Block:
         bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
         starts = np.searchsorted(bucket, np.arange(buckets + 1))
         pair_at = np.searchsorted(pairs >> 32, starts)
-        contexts = digests[pairs & 0xFFFFFFFF, 0]
+        contexts = digests[pairs & 0xFFFFFFFF, 0] >> np.uint64(16)
         out = []
         for b in range(buckets):
             lo, hi, p, q = starts[b], starts[b + 1], pair_at[b], pair_at[b + 1]
             if lo < hi:
                 per_word = np.bincount((pairs[p:q] >> 32) - lo, minlength=hi - lo)
-                out.append((b, pack(digests[lo:hi].ravel(), per_word.astype("<u4"), contexts[p:q], seen[p:q].astype("<u4"))))
+                # 80 bits of a token's hash and 48 of a context's: at 10 ** 11 of each, under one in a thousand meets another.
+                out.append((b, pack(digests[lo:hi, 0], digests[lo:hi, 1].astype("<u2"), per_word.astype("<u4"), *_halves(contexts[p:q]), seen[p:q].astype("<u4"))))
         ids = pa.chunked_array(self.ids).combine_chunks()
         null = np.asarray(ids.is_null())
         return out, pack(np.asarray(ids.fill_null(0)).astype("<i8"), null.astype("<u1"), counts.astype("<u4"), at.astype("<u4"))
@@ -142,7 +148,7 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
             asks, texts = block.question(buckets)
             for i in range(0, len(asks), 64):
                 yield _row([("ask", b, base + done, p) for b, p in asks[i : i + 64]])
-            yield _row([("text", base + done, base + done, texts)])
+            yield _row([("text", (base + done) % buckets, base + done, texts)])
 
         for b in batches:
             ids, texts, learn = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
@@ -158,37 +164,42 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _merge(table: pa.Table, buckets: int) -> pa.Table:
-    """All blocks' questions to one bucket -> one state row: distinct pairs with their counts, and each block's pairs."""
-    blocks = table.column("block").to_numpy()
-    order = np.argsort(blocks, kind="stable")
-    payloads = table.column("payload")
-    asked = [unpack(payloads[int(i)].as_py()) for i in order]
-    digests = np.concatenate([a[0].reshape(-1, 2) for a in asked])
-    by = np.lexsort((digests[:, 1], digests[:, 0]))
-    new = np.ones(len(by), bool)
-    new[1:] = (digests[by][1:] != digests[by][:-1]).any(1)
-    word = np.empty(len(by), np.int64)
-    word[by] = np.cumsum(new) - 1
-    per_word = np.concatenate([a[1] for a in asked])
-    contexts, context = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
-    by_owner = np.argsort(contexts % np.uint64(buckets), kind="stable")
-    place = np.empty(len(contexts), np.int64)
-    place[by_owner] = np.arange(len(contexts))
-    keys = np.repeat(word, per_word) << 32 | place[context]
-    pairs, back = np.unique(keys, return_inverse=True)
-    c = np.bincount(back, np.concatenate([a[3] for a in asked]), minlength=len(pairs)).astype("<i8")
-    state = pack((pairs >> 32).astype("<u4"), (pairs & 0xFFFFFFFF).astype("<u4"), c, contexts[by_owner])
-    sizes = np.array([len(a[2]) for a in asked], "<i8")
-    return pa.table(
-        {
-            "key": pa.array([table.column("key")[0].as_py()], pa.int64()),
-            "state": pa.array([state], pa.binary()),
-            "asked": pa.array([pack(blocks[order].astype("<i8"), sizes, back.astype("<u4"))], pa.binary()),
-        }
-    )
-
-
-STATE = "key long, state binary, asked binary"
+    """All blocks' questions to one bucket -> one state row: distinct pairs with their counts, and each block's pairs.
+
+    Packed texts that came along pass through.
+    """
+    is_text = np.array([k == "text" for k in table.column("kind").to_pylist()], bool)
+    texts, table = table.filter(pa.array(is_text)), table.filter(pa.array(~is_text))
+    rows = [("text", k, b, p, None) for k, b, p in zip(*(texts.column(c).to_pylist() for c in ("key", "block", "payload")), strict=True)]
+    if table.num_rows:
+        blocks = table.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        payloads = table.column("payload")
+        asked = [unpack(payloads[int(i)].as_py()) for i in order]
+        high, low = np.concatenate([a[0] for a in asked]), np.concatenate([a[1] for a in asked])
+        by = np.lexsort((low, high))
+        new = np.ones(len(by), bool)
+        new[1:] = (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])
+        word = np.empty(len(by), np.int64)
+        word[by] = np.cumsum(new) - 1
+        per_word = np.concatenate([a[2] for a in asked])
+        every = np.concatenate([a[3].astype(np.uint64) | a[4].astype(np.uint64) << np.uint64(32) for a in asked])
+        contexts, context = np.unique(every, return_inverse=True)
+        by_owner = np.argsort(contexts % np.uint64(buckets), kind="stable")
+        place = np.empty(len(contexts), np.int64)
+        place[by_owner] = np.arange(len(contexts))
+        keys = np.repeat(word, per_word) << 32 | place[context]
+        pairs, back = np.unique(keys, return_inverse=True)
+        c = np.bincount(back, np.concatenate([a[5] for a in asked]), minlength=len(pairs)).astype("<u4")
+        state = pack((pairs >> 32).astype("<u4"), (pairs & 0xFFFFFFFF).astype("<u4"), c, *_halves(contexts[by_owner]))
+        sizes = np.array([len(a[3]) for a in asked], "<i8")
+        rows.append(("state", table.column("key")[0].as_py(), None, state, pack(blocks[order].astype("<i8"), sizes, back.astype("<u4"))))
+    columns = list(zip(*rows, strict=True))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "key", "block", "state", "asked"), columns, kinds, strict=True)})
+
+
+MERGED = "kind string, key long, block long, state binary, asked binary"
 
 
 def reseat(customers: np.ndarray, discount: float, new: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -222,7 +233,8 @@ class Dishes:
     """
 
     def __init__(self, state: bytes, key: int, seats: bytes | None = None):
-        word, context, c, self.contexts = unpack(state)
+        word, context, c, low, high = unpack(state)
+        self.contexts = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
         self.word, self.context, self.c = word.astype(np.int64), context.astype(np.int64), c.astype(np.int64)
         self.n_words = int(self.word[-1]) + 1 if len(self.word) else 0
         self.key = key
@@ -253,19 +265,27 @@ class Dishes:
         self.t0 = reseat(self.c0, model.discount[1], np.full(self.n_words, model.weight(1, model.root_tables)) / (model.types + 1), rng)
 
     def rows(self, number: int, buckets: int, *, first: bool = False) -> pa.RecordBatch:
-        """Seats, tables by context to the contexts' owners, and sums of the root; first also the contexts and their customers."""
+        """Seats, tables by context to the contexts' owners, and sums of the root; first also the contexts' customers."""
         by_word = np.bincount(self.word, self.c, minlength=self.n_words)
         sums = [self.c.sum(), (by_word > 0).sum(), (self.c == 1).sum(), (self.c == 2).sum(), (self.c0 == 1).sum(), (self.c0 == 2).sum(), self.c0.sum(), self.t0.sum()]
         out = [("seats", self.key, number, self.seats()), ("root", self.key, number, pack(np.array(sums, "<i8")))]
         sent = [("tables", self.by_context(self.t1).astype("<u4"))]
         if first:
-            sent += [("contexts", self.contexts), ("customers", self.by_context(self.c).astype("<i8"))]
-        owner = (self.contexts % np.uint64(buckets)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist() + [len(owner)]
+            sent += [("customers", self.by_context(self.c).astype("<u4"))]
         for kind, values in sent:
-            out += [(kind, int(owner[lo]), self.key, pack(values[lo:hi])) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            out += [(kind, owner, self.key, pack(values[lo:hi])) for owner, lo, hi in self.by_owner(buckets)]
         return _row(out)
 
+    def by_owner(self, buckets: int) -> list[tuple[int, int, int]]:
+        """(owner, first, last + 1) of the contexts of each owner."""
+        owner = (self.contexts % np.uint64(buckets)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist() + [len(owner)]
+        return [(int(owner[lo]), lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+    def asking(self, buckets: int) -> pa.RecordBatch:
+        """The contexts themselves, to their owners."""
+        return _row([("contexts", owner, self.key, pack(*_halves(self.contexts[lo:hi]))) for owner, lo, hi in self.by_owner(buckets)] or [("contexts", self.key, self.key, pack(*_halves(self.contexts)))])
+
 
 class Model:
     """What is one number for the corpus."""
@@ -291,11 +311,13 @@ def _bucketed(df: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def _start(states: DataFrame, buckets: int) -> DataFrame:
+def _each(states: DataFrame, made) -> DataFrame:
+    """made(Dishes) -> rows, of every bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, state in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                yield Dishes(state.as_py(), key).rows(0, buckets, first=True)
+                yield made(Dishes(state.as_py(), key))
 
     return states.select("key", "state").mapInArrow(run, ROW)
 
@@ -308,7 +330,7 @@ def _ordered(table: pa.Table, kind: str) -> list[tuple[int, bytes]]:
 
 def _own(table: pa.Table) -> pa.Table:
     """The contexts that all buckets sent to their owner -> one row: each sender's places among the distinct ones."""
-    sent = [(b, unpack(p)[0]) for b, p in _ordered(table, "contexts")]
+    sent = [(b, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)) for b, (low, high) in ((b, unpack(p)) for b, p in _ordered(table, "contexts"))]
     places = np.unique(np.concatenate([x for _, x in sent]), return_inverse=True)[1]
     payload = pack(np.array([b for b, _ in sent], "<i8"), np.array([len(x) for _, x in sent], "<i8"), places.astype("<u4"))
     return pa.table({"key": pa.array([table.column("key")[0].as_py()], pa.int64()), "places": pa.array([payload], pa.binary())})
@@ -320,7 +342,8 @@ def _totals(owners: DataFrame, sent: DataFrame, kind: str) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         senders, sizes, places = unpack(left.column("places")[0].as_py())
         values = np.concatenate([unpack(p)[0] for _, p in _ordered(right, kind)])
-        total = np.bincount(places, values)[places].astype("<i8" if kind == "customers" else "<u4")
+        total = np.bincount(places, values)
+        total = total.astype("<u4" if total.max(initial=0) < 1 << 32 else "<i8")[places]
         ends, owner = np.cumsum(sizes), left.column("key")[0].as_py()
         return pa.Table.from_batches([_row([(kind, int(s), owner, pack(total[e - n : e])) for s, n, e in zip(senders, sizes, ends, strict=True)])])
 
@@ -388,12 +411,15 @@ def score_texts(docs: DataFrame, learn: Column, *, id: str = "doc_id", text: str
     spark = docs.sparkSession
     buckets = shuffle_parts(spark)
     rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string"), F.coalesce(learn, F.lit(False)))
-    asked = staged(_questions(rows, buckets), "lm-questions", ["kind"])
-    states = _bucketed(asked.where("kind = 'ask'").select("key", "block", "payload").groupBy("key").applyInArrow(lambda t: _merge(t, buckets), STATE), buckets)
-    rows = staged(_start(states, buckets), "lm-start", ["kind"]).select("kind", "key", "block", "payload")
+    # One exchange carries the questions to their buckets and the packed texts to any bucket; both are written there.
+    merged = _bucketed(_questions(rows, buckets).groupBy("key").applyInArrow(lambda t: _merge(t, buckets), MERGED), buckets)
+    released(spark)
+    states = merged.where("kind = 'state'").select("key", "state", "asked")
+    rows = staged(_each(states, lambda dishes: dishes.rows(0, buckets, first=True)), "lm-start", ["kind"]).select("kind", "key", "block", "payload")
     tokens, types, p1, p2, u1, u2, *root = _root_sums(rows)
     discount = (_discount(p1, p2), _discount(u1, u2))
-    owners = _bucketed(rows.where("kind = 'contexts'").groupBy("key").applyInArrow(_own, "key long, places binary"), buckets)
+    owners = _bucketed(_each(states, lambda dishes: dishes.asking(buckets)).groupBy("key").applyInArrow(_own, "key long, places binary"), buckets)
+    released(spark)
     seen, models = _totals(owners, rows, "customers"), {}
     for i in range(1, burn_in + samples + 1):
         given = rows.where("kind = 'seats'").unionByName(_totals(owners, rows, "tables"))
@@ -428,5 +454,5 @@ def score_texts(docs: DataFrame, learn: Column, *, id: str = "doc_id", text: str
             }
         )
 
-    texts = asked.where("kind = 'text'").select("kind", "key", "block", "payload")
+    texts = merged.where("kind = 'text'").select("kind", "key", "block", F.col("state").alias("payload"))
     return texts.unionByName(_answers(states, seen, models)).groupBy("block").applyInArrow(finish, SCORES)
