@@ -199,3 +199,20 @@ def pack_examples(
             yield batch()
 
     return examples.select(F.col(id).cast("long"), F.col(tokens).cast("long"), F.col(loss).cast("long")).mapInArrow(run, EXAMPLES)
+
+
+def conversation_examples(turns: DataFrame, tokenizer_path: str, *, id: str = "conv_id", role: str = "role", text: str = "text", bearing: str = "assistant", end_id: bool = True) -> DataFrame:
+    """example_id, tokens, loss_tokens of conversations: the ids of all turns (with an end each), and of the turns whose role
+    bears loss. Null texts are empty turns; a null role bears none; turns without an id form one example with a null id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordTokenizer(tokenizer_path)
+        for b in batches:
+            for lo, hi in byte_slices(b.column(1).to_pylist(), 1 << 20):
+                _, counts = encoder.encode(b.column(1).slice(lo, hi - lo).to_pylist())
+                counts = counts + int(end_id)
+                loss = np.where(np.asarray(b.column(2).slice(lo, hi - lo)), counts, 0)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(loss)], names=["example_id", "tokens", "loss_tokens"])
+
+    each = turns.select(F.col(id).cast("long"), F.col(text).cast("string"), F.coalesce(F.col(role) == bearing, F.lit(False)).alias("bears"))
+    return each.mapInArrow(run, "example_id long, tokens long, loss_tokens long").groupBy("example_id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens"))

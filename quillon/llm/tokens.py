@@ -70,14 +70,14 @@ class WordTokenizer:
 
     The pre-tokenizer of a byte-level BPE never joins characters across a space that precedes a non-space, so a text's
     ids are those of its space-separated words, one after another. Texts with runs of white space are cut at the safe
-    places only. At most max_words words are remembered.
+    places only. The model's special tokens are recognised in texts, as that library does; they hold a mark that is
+    neither a letter nor in TAIL, so words with one always go through the library. At most max_words words are remembered.
     """
 
     def __init__(self, path: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.piece = _merger(path)
         self.max_words = max_words
         self._reset()

@@ -145,7 +145,6 @@ class Grammar:
 
 STEM_CHARS = (3, 9)
 SAMPLE = 6000
-MAX_STEMS = 400
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, sample: int) -> DataFrame:
@@ -156,10 +155,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id: str, text: str, l
     return own.join(F.broadcast(first), "doc_id")  # at most `sample` pairs of numbers
 
 
-def learn_stems(rows: DataFrame, *, max_stems: int = MAX_STEMS, min_docs: int = 8, min_odds: float = 2.0) -> dict[str, float]:
+def learn_stems(rows: DataFrame, *, min_docs: int = 8, min_odds: float = 2.0) -> dict[str, float]:
     """Stems and whole words whose documents are labelled toxic far more often than others, with their log odds.
 
-    Counts are of documents; at most max_stems come to the driver. Of nested stems, the longest stays unless a shorter one covers more documents.
+    Counts are of the sample's documents, which also bounds the stems that come to the driver: each occurs in min_docs of
+    them. Of nested stems, the longest stays unless a shorter one covers more documents.
     """
     low, high = STEM_CHARS
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
@@ -176,11 +176,11 @@ def learn_stems(rows: DataFrame, *, max_stems: int = MAX_STEMS, min_docs: int =
     out: dict[str, float] = {}
     support: dict[str, int] = {}
     # Most documents first, and of equally frequent stems the longest; a stem has to add to its accepted extensions.
-    for r in sorted(best.orderBy(F.desc("a"), F.desc(F.length("stem")), "stem").limit(max_stems * 5).collect(), key=lambda r: (-r.a, -len(r.stem), r.stem)):
+    for r in sorted(best.collect(), key=lambda r: (-r.a, -len(r.stem), r.stem)):
         word = r.stem.rstrip("$")
         longer = sum(n for s, n in support.items() if s.startswith(word))
         shorter = any(word.startswith(s) for s in out if s[-1] != "$")
-        if longer < 0.8 * r.a and not shorter and len(out) < max_stems:
+        if longer < 0.8 * r.a and not shorter:
             out[r.stem], support[r.stem] = float(r.odds), r.a
     return {f"{w}$": 2.0 for w in INSULT} | out
 

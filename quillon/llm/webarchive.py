@@ -1,9 +1,10 @@
 """WARC records in ZIP packages, written and read in parallel.
 
-A package is a ZIP file with stored (uncompressed) members: archive/data.warc holds the records, indexes/index.cdxj one
-line a record with its place. The reader never extracts a package: it reads the end of the file, follows the ZIP64
-records where they are present, walks the central directory, locates each stored member behind its local header and
-then reads only the byte ranges that the index names. Files are reached through pyarrow's file systems, so the
+A package is a ZIP file with stored (uncompressed) members: the archives archive/*.warc hold the records, the indexes
+indexes/*.cdxj one line a record with its archive and place. The reader never extracts a package: it reads the end of
+the file, follows the ZIP64 records where they are present, walks the central directory, finds the archives and indexes
+among its names, locates each stored member behind its local header and then reads only the byte ranges that the indexes
+name; an archive that no index names is walked from record to record. Files are reached through pyarrow's file systems, so the
 packages' folder may be any shared store.
 
 Defined cases: a null payload is an empty one and a null url an empty one; payloads below `min_revisit` bytes are never
@@ -122,6 +123,46 @@ class Package:
         return m.header + LOCAL_SIZE + n_name + n_extra
 
 
+    def lines(self, name: str) -> Iterator[bytes]:
+        """The lines of a stored member, CHUNK bytes read at a time."""
+        at, left, rest = self.start(name), self.members[name].size, b""
+        while left:
+            n = min(left, CHUNK)
+            *lines, rest = (rest + self.read_at(n, at)).split(b"\n")
+            at, left = at + n, left - n
+            yield from lines
+        if rest:
+            yield rest
+
+    def records(self) -> Iterator[tuple[str, int, int]]:
+        """(archive, offset in the file, length) of every record of every archive, by the indexes where they name it."""
+        archives = {n for n in self.members if n.startswith(DATA.split("/")[0] + "/") and n.endswith(".warc")}
+        starts: dict[str, int] = {}
+        for index in sorted(n for n in self.members if n.startswith(INDEX.split("/")[0] + "/") and n.endswith(".cdxj")):
+            for line in self.lines(index):
+                at = line.find(b"{")
+                if at < 0:
+                    continue  # a header or an empty line
+                entry = json.loads(line[at:])
+                name = f"{DATA.split('/')[0]}/{entry['filename']}"
+                if name not in starts:
+                    starts[name] = self.start(name)
+                yield name, starts[name] + int(entry["offset"]), int(entry["length"])
+        for name in sorted(archives - set(starts)):
+            start, at, size = self.start(name), 0, self.members[name].size
+            while at < size:
+                head = b""
+                while (cut := head.find(b"\r\n\r\n")) < 0:
+                    more = self.read_at(min(4096, size - at - len(head)), start + at + len(head))
+                    if not more:
+                        raise ValueError(f"{name}: a record's header has no end")
+                    head += more
+                length = next(int(x.split(b":")[1]) for x in head[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:"))
+                whole = cut + 4 + length + 4
+                yield name, start + at, whole
+                at += whole
+
+
 class PackageWriter:
     """Streams stored members into a file that needn't seek; sizes follow the data, and ZIP64 forms are always written."""
 
@@ -220,7 +261,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
                         writer = PackageWriter(out.write)
                         writer.begin(DATA)
                     data = record(page_id, url, payload, digest, refers_to)
-                    entry = {"url": url, "offset": writer.size, "length": len(data), "digest": f"sha256:{digest}"}
+                    entry = {"url": url, "filename": DATA.split("/")[-1], "offset": writer.size, "length": len(data), "digest": f"sha256:{digest}"}
                     index.append(f"{'null' if page_id is None else page_id} {json.dumps(entry)}\n".encode())
                     writer.add(data)
         if writer is None:
@@ -251,8 +292,9 @@ def _page(urn: str | None) -> int | None:
 def read_archives(spark: SparkSession, packages: DataFrame, folder: str, *, with_payload: bool = False) -> DataFrame:
     """All records of the packages in column `path`, each read by its range.
 
-    Every package is opened by its directory; its index is dealt out in ranges of about CHUNK bytes of records. `intact`
-    is whether a response's payload has the digest and length that its record states.
+    Every package is opened by its directory; its ranges are dealt out in pieces of about CHUNK bytes of records. A
+    response's length and digest are those of the bytes that were read; `intact` is whether its record states the same.
+    A revisit has the figures that its record states.
     """
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,22 +302,17 @@ def read_archives(spark: SparkSession, packages: DataFrame, folder: str, *, with
         for b in batches:
             for path in b.column(0).to_pylist():
                 spans: list[tuple[str, int, list[int], list[int]]] = []
+                offsets, lengths, size, archive = [], [], 0, None
                 with store.open_input_file(path) as f:
                     package = Package(lambda n, at: f.read_at(n, at), f.size())
-                    base, at, left, rest = package.start(DATA), package.start(INDEX), package.members[INDEX].size, b""
-                    offsets, lengths, size = [], [], 0
-                    while left:
-                        n = min(left, CHUNK)
-                        *lines, rest = (rest + f.read_at(n, at)).split(b"\n")
-                        at, left = at + n, left - n
-                        for line in lines:
-                            entry = json.loads(line.split(b" ", 1)[1])
-                            offsets.append(base + entry["offset"])
-                            lengths.append(entry["length"])
-                            size += entry["length"]
-                            if size >= CHUNK:
-                                spans.append((path, len(spans), offsets, lengths))
-                                offsets, lengths, size = [], [], 0
+                    for name, at, n in package.records():
+                        # Records out of order or far apart begin a range of their own.
+                        if offsets and (size >= CHUNK or name != archive or not 0 <= at - offsets[-1] - lengths[-1] <= CHUNK):
+                            spans.append((path, len(spans), offsets, lengths))
+                            offsets, lengths, size = [], [], 0
+                        offsets.append(at)
+                        lengths.append(n)
+                        size, archive = size + n, name
                     if offsets:
                         spans.append((path, len(spans), offsets, lengths))
                 columns = list(zip(*spans, strict=True)) if spans else [()] * 4
@@ -297,7 +334,11 @@ def read_archives(spark: SparkSession, packages: DataFrame, folder: str, *, with
                 for at, n in zip(offsets, lengths, strict=True):
                     headers, block = parse_record(data[at - first : at - first + n])
                     kind, digest, size = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha256:"), int(headers["WARC-Payload-Length"])
-                    intact = None if kind == "revisit" else len(block) == size and hashlib.sha256(block).hexdigest() == digest
+                    intact = None
+                    if kind != "revisit":
+                        stated = size, digest
+                        size, digest = len(block), hashlib.sha256(block).hexdigest()
+                        intact = stated == (size, digest)
                     rows.append((_page(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], size, digest, kind, _page(headers.get("WARC-Refers-To")), block if with_payload else None, intact))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -306,8 +347,11 @@ def read_archives(spark: SparkSession, packages: DataFrame, folder: str, *, with
 
 
 def archive_and_read(pages: DataFrame, *, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write the pages' archives into the shared folder and read every record back."""
+    """Write the pages' archives into the shared folder and read every record back; a record whose payload isn't what it
+    states is an error when computed."""
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     manifest = staged(write_archives(plan_records(pages, id=id, url=url, html=html), folder), "manifest")
-    return read_archives(spark, manifest, folder)
+    found = read_archives(spark, manifest, folder)
+    broken = F.raise_error(F.concat(F.lit("the payload read back differs from its record: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("boolean")
+    return found.withColumn("intact", F.when(F.col("intact").isNull() | F.col("intact"), F.col("intact")).otherwise(broken))

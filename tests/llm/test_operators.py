@@ -47,9 +47,7 @@ def texts(df):
 def encoder():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.tokenizer_path())
 
 
 def check_pieces(rows, pairs):
@@ -121,10 +119,37 @@ def test_pieces_equal_the_library(spark, odd, docs, none):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_folded_merges_equal_the_library(spark):
+    """Words of one long and of an array of cuts, made of pieces so that many merges compete."""
+    import random
+
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    m, model, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path), random.Random(3)
+    some = [p.replace(pieces.MARK, "") for p in model.pieces.values()]
+    words = ["".join(rng.choice(some) for _ in range(rng.choice([1, 2, 3, 5, 30]))) for _ in range(1500)] + ["a" * 61, "a" * 62, "ab" * 400, "x", "𝄞", "é\x1c٣" * 40]
+    words = [w for w in words if w and pieces.MARK not in w and len(w.split(" ")) == 1]
+    given = spark.createDataFrame([(k, pieces.MARK + w, len(w) < pieces.SHORT) for k, w in enumerate(words)], "k int, word string, short boolean")
+    found = {r.k: r.path for r in pieces.word_paths(given, model, ["k", "short"], F.col("short")).collect()}
+    for k, ids in enumerate(spelled(model, [pieces.MARK + w for w in words], found)):
+        assert ids == m.encode(words[k]), words[k]
+
+
+def spelled(model, words, found):
+    owner = np.repeat(np.array(sorted(found), np.int64), [len(found[k]) for k in sorted(found)])
+    edges = np.array([e for k in sorted(found) for e in found[k]], np.int64)
+    flat, n = pieces.Speller(model).ids(words, owner, edges)
+    return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+
+
 def test_viterbi_is_the_best_path(spark):
     model = pieces.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
     words = ["▁the", "▁word𝄞s", "▁abcdefgh", "▁"]
-    rows = {r.word: r for r in pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), model).select("word", pieces.viterbi(F.col("edges")).alias("p")).collect()}
+    model.merges = False
+    given = spark.createDataFrame(list(enumerate(words)), "k int, word string")
+    found = {r.k: r.path for r in pieces.word_paths(given, model, ["k"], F.lit(True)).collect()}
+    rows = dict(zip(words, spelled(model, words, found), strict=True))
     table = {p: (i, model.scores[i]) for i, p in model.pieces.items()}
     for w in words:
         best = [(0.0, [])] + [(-1e300, None)] * len(w)
@@ -133,7 +158,18 @@ def test_viterbi_is_the_best_path(spark):
                 p = table.get(w[s:e], (-1, pieces.UNKNOWN_SCORE) if e - s == 1 else None)
                 if p and best[s][0] + p[1] > best[e][0]:
                     best[e] = (best[s][0] + p[1], best[s][1] + [p[0]])
-        assert [x.id for x in rows[w].p] == best[-1][1]
+        want = []
+        for i, c in zip(best[-1][1], [x for i, x in _with_texts(best[-1][1], w, model)], strict=True):
+            want += [i] if i >= 0 else [model.bytes[b] for b in c.encode()]
+        assert rows[w] == want
+
+
+def _with_texts(ids, word, model):
+    at = 0
+    for i in ids:
+        n = len(model.pieces[i]) if i >= 0 else 1
+        yield i, word[at : at + n]
+        at += n
 
 
 def test_forward_backward(spark):
@@ -203,7 +239,8 @@ def test_pitman_yor_restaurants_grow_with_the_words():
     block = pitmanyor.Block()
     block.add([1], [" ".join(f"w{k:05d}ab same" for k in range(3000))], [True])
     asks, _ = block.question(1)
-    contexts = pitmanyor.unpack(asks[0][1])[2]
+    low, high = pitmanyor.unpack(asks[0][1])[3:5]
+    contexts = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
     assert len(set(contexts.tolist())) == 3002  # the words, `same` and the end
 
 
@@ -323,6 +360,37 @@ def test_zip_reader(tmp_path, own):
         webarchive.Package(lambda n, at: b"x" * n, 500)
 
 
+def test_archives_are_located_by_the_directory(spark, tmp_path):
+    """Two archives in one package: an index out of order for one, none for the other."""
+    import json
+
+    records = [webarchive.record(i, f"http://{i}", (f"page {i} " * 30).encode(), hashlib.sha256((f"page {i} " * 30).encode()).hexdigest(), None) for i in range(6)]
+    path = tmp_path / "two.zip"
+    with path.open("wb") as f:
+        w = webarchive.PackageWriter(f.write)
+        w.begin("archive/first.warc")
+        w.add(b"".join(records[:3]))
+        w.end()
+        w.begin("other/notes.txt")
+        w.add(b"nothing")
+        w.end()
+        w.begin("archive/second.warc")
+        w.add(b"".join(records[3:]))
+        w.end()
+        w.begin("indexes/some.cdxj")
+        at = [0, len(records[0]), len(records[0]) + len(records[1])]
+        w.add(b"!meta line without an entry\n" + b"\n".join(f"k {json.dumps({'filename': 'first.warc', 'offset': at[k], 'length': len(records[k])})}".encode() for k in (2, 0, 1)))
+        w.end()
+        w.close()
+    packages = spark.createDataFrame([(str(path),)], "path string")
+    got = webarchive.read_archives(spark, packages, str(tmp_path), with_payload=True).collect()
+    assert sorted(r.page_id for r in got) == list(range(6)) and all(r.intact and bytes(r.payload) == f"page {r.page_id} ".encode() * 30 for r in got)
+    data = path.read_bytes().replace(b"page 4 page", b"page 4 PAGE")  # stored bytes changed: the figures are those of the bytes
+    path.write_bytes(data)
+    bad = {r.page_id: r for r in webarchive.read_archives(spark, packages, str(tmp_path)).collect()}
+    assert not bad[4].intact and bad[5].intact and bad[4].payload_digest == hashlib.sha256(("page 4 " * 30).replace("page 4 page", "page 4 PAGE").encode()).hexdigest()
+
+
 def test_digests(spark, odd, docs, none):
     for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
         rows = {r.doc_id: r for r in fingerprints.compare_with_next(df.repartition(3)).collect()}
@@ -352,6 +420,27 @@ def test_toxicity_grammar(spark, odd, docs, none):
     assert toxicity.score(docs, empty).count() == docs.count()
 
 
+def test_toxicity_grammar_by_loops():
+    """Random clauses against a reading of the rules without machines."""
+    import random
+
+    rng = random.Random(5)
+    g = toxicity.Grammar({"idiot$": 3.0, "moron": 2.0})
+    words = ["idiot", "idiots", "morons", "kill", "you", "not", "said", "tree", "house", "very"]
+    for _ in range(800):
+        clauses = [[rng.choice(words) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 3))]
+        want = dict.fromkeys(toxicity.FEATURES, 0.0)
+        for c in clauses:
+            hits = [(k, "threat", 0.0) if w == "kill" else (k, "insult", 3.0 if w == "idiot" else 2.0) for k, w in enumerate(c) if w in ("idiot", "morons", "kill")]
+            for k, kind, weight in hits:
+                want[kind + "~" * ("not" in c[max(0, k - 3) : k]) + "'" * ("said" in c) + "+" * ("you" in c)] += 1
+                want["weight"] += weight
+                want[f"any_{kind}"] = 1.0
+            want["clauses"] += bool(hits)
+        got = g.read(". ".join(" ".join(c) for c in clauses))
+        assert (got or [0.0] * len(want)) == pytest.approx([np.log1p(v) for v in want.values()]), clauses
+
+
 def test_toxicity_prefilter_has_the_grammar_s_word_borders():
     g = toxicity.Grammar({"idiot": 3.0})
     marks = [chr(c) for c in range(0x3000) if not re.match(r"[^\W\d_]", chr(c))]
@@ -380,6 +469,15 @@ def test_quality_measures(spark, odd, docs, none):
     assert kept.columns == odd.columns and kept.count() <= odd.count()
 
 
+def test_watched_hosts_lose_the_documents_that_fail(spark):
+    """A host with many repeated lines loses those documents only; a single such document elsewhere stays."""
+    good = " ".join(f"w{k}" for k in range(40))
+    lines = "\n".join(f"a{k} b{k}" for k in range(12)) + "\na1 b1\na5 b5\na2 b2\na9 b9"
+    rows = [(i, lines if i % 3 == 0 else good, "en", "mirror") for i in range(200)] + [(1000 + i, lines if i == 7 else good, "en", f"h{i % 5}") for i in range(2000)]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == (i % 3 != 0) for i in range(200)) and all(got[1000 + i] for i in range(2000))
+
+
 def test_bad_hosts_take_their_documents(spark):
     good = " ".join(f"w{k}" for k in range(40))
     rows = [(i, "bad" if i % 10 else good, "en", "spam") for i in range(200)] + [(1000 + i, good, "en", f"h{i % 5}") for i in range(300)]

@@ -52,6 +52,30 @@ def test_passages(spark, docs):
     assert rows[900005].n_chars == len(rows[900005].text) and "w5x70" in rows[900005].text
 
 
+def test_rows_keep_their_own_texts(spark):
+    """Repeated and null ids, clashing names, equal least ids: each row is a document of its own."""
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(2, a, 1), (2, f"x y z {PASSAGE}", 2), (1, f"{PASSAGE} first", 3), (None, f"n1 {PASSAGE}", 4), (None, b, 5), (2, a, 6), (9, None, 7), (9, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, changed__ int").withColumn("left__", F.lit("l")).withColumn("c0", F.lit(0)).withColumn("block", F.lit("b")).withColumn("n_chars", F.length("text").cast("long"))
+    out = {r.changed__: r for r in corpus_pipeline.passage_stage(spark, docs, SF).collect()}
+    assert set(out) == {r[2] for r in rows} and all(r.left__ == "l" and r.block == "b" for r in out.values())
+    assert out[1].text == a and out[6].text == a and out[3].text == f"{PASSAGE} first" and out[5].text == b and out[7].text is None and out[8].text == ""
+    # The space before the passage stands in row 2 as well, whose id is smaller than none.
+    assert out[2].text == "x y z " and out[4].text == "n1" and out[2].n_chars == 6
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    got = sorted(r.changed__ for r in kept.collect())
+    # Rows 1 and 6 are equal; all that hold the passage and little else are near copies, of which id 1 stays.
+    assert kept.columns == docs.columns and (1 in got) != (6 in got) and {3, 5, 7, 8} <= set(got)
+    whole = corpus_pipeline.near_duplicate_stage(spark, docs.where("changed__ = 2"), SF).collect()
+    assert [r.text for r in whole] == [f"x y z {PASSAGE}"]
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+
+
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got.columns) and got.count() > 0
