@@ -18,37 +18,43 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule, and those of rejected hosts, go."""
+    """Documents that fail the base rule (null and empty texts among them), and those of rejected hosts, go.
+
+    A null host is a host of its own; every row counts, repeated ones too. An empty table stays empty.
+    """
     return quality.filter_quality(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in none of the learned languages, or without a letter, go. Learns from rows that hold a language."""
+    """Documents without a letter (null and empty texts among them) go, and those whose words are on average less certain
+    of a learned language than langid.MIN_CERTAINTY; a text in several languages stays.
+
+    Learns from rows that hold a text and a language; where there are none, no language is learned and all rows go.
+    """
     return langid.filter_languages(docs, langid.train(docs, F.lit(True)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a five-word shingle similarity of 0.8 or more, that with the least id stays.
 
-    Documents without words are linked with nothing and stay; rows that repeat an id stay together. Rows without an id can't be told apart by one and stay.
+    Documents without words are linked with nothing and stay. Of equal least ids one row stays; a null id is larger than
+    all others. Rows that repeat an id with another text are documents of their own. An empty table stays empty.
     """
-    found = jaccard.jaccard_components(docs, size=5, similarity=(80, 100))
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.representatives(docs, size=5, similarity=(80, 100))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that also start in a document with a smaller id go; documents left without a word go."""
-    left = suffixes.remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("text").alias("left__"), F.lit(True).alias("changed__")).dropDuplicates(["doc_id"])
-    joined = docs.join(left, "doc_id", "left")
-    text = F.when(F.col("changed__"), F.col("left__")).otherwise(F.col("text"))
-    kept = joined.where(F.col("changed__").isNull() | F.col("left__").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": text, "n_chars": F.when(F.col("changed__"), F.char_length("left__").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    """Bytes of passages that also start in a document with a smaller id go; documents left without a word go.
+
+    A null id is larger than all others; rows with equal ids do not remove each other's bytes, and each keeps its own
+    text. Null and empty texts stay as they are. n_chars follows the text. An empty table stays empty.
+    """
+    return suffixes.deduplicated_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, cut and packed into sequences."""
+    """All that is left, cut and packed into sequences. Null texts are empty documents of one token; repeated rows are
+    packed each; an empty table gives no pieces."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
