@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import running_sums
+from .windows import FINE, running_sums
 
 RECALL = 0.9
 MAX_FPR = 0.15
@@ -21,10 +21,10 @@ def _known(count: str) -> Column:
     return F.nullif(F.col(count), F.lit(0))
 
 
-def curve(df: DataFrame, by: list[str], *, label: str = "label_int", score: str = "logit") -> DataFrame:
+def curve(df: DataFrame, by: list[str], *, label: str = "label_int", score: str = "logit", fine: int = FINE) -> DataFrame:
     """by, score, pos, neg (at the score), tp, fp (at or above it), P, N (of the group)."""
     ties = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label)).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
-    run = running_sums(ties, by, "score", ["pos", "neg"]).withColumnsRenamed({"pos_to": "tp", "neg_to": "fp"})
+    run = running_sums(ties, by, "score", ["pos", "neg"], fine=fine).withColumnsRenamed({"pos_to": "tp", "neg_to": "fp"})
     totals = df.groupBy(*by).agg(F.sum(F.col(label)).cast("long").alias("P"), F.sum(1 - F.col(label)).cast("long").alias("N"))
     return run.join(totals, by) if by else run.crossJoin(F.broadcast(totals))  # one row
 

@@ -62,7 +62,7 @@ def auc_bootstrap(df: DataFrame, *, draws: int, label: str = "label_int", score:
     weight = sum(((u >= e).cast("int") for e in edges[1:]), (u >= edges[0]).cast("int"))
     w = df.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))).withColumn("w", weight).where("w > 0")
     ties = w.groupBy("draw", score).agg(F.sum(F.col("w") * F.col(label)).alias("pos"), F.sum(F.col("w") * (1 - F.col(label))).alias("neg"))
-    run = running_sums(ties, ["draw"], score, ["neg"])
+    run = running_sums(ties, ["draw"], score, ["neg"], fine=8)
     totals = ties.groupBy("draw").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = run.join(totals, "draw")
     return j.groupBy("draw").agg(F.try_divide(F.sum(F.col("pos") * (F.col("N") - F.col("neg_to") + F.col("neg") / 2.0)), (F.max("P") * F.max("N")).cast("double")).alias("roc_auc"))
@@ -124,7 +124,7 @@ def offset_simulation(df: DataFrame, grid: DataFrame, draws: int, *, label: str
     moved = moved.withColumn("s__", F.col(score) + F.col("sd") * normal)
     from .ranking import auc
 
-    return curve(moved, ["k", "sd", "draw"], label=label, score="s__").groupBy("k", "sd", "draw").agg(auc().alias("roc_auc"))
+    return curve(moved, ["k", "sd", "draw"], label=label, score="s__", fine=8).groupBy("k", "sd", "draw").agg(auc().alias("roc_auc"))
 
 
 def shifted(df: DataFrame, shifts: list[float], *, label: str = "label_int", score: str = "logit") -> DataFrame:

@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 FINE = 128  # cells between a power of two and the next
 
 
-def cell(value: Column) -> Column:
-    """A number that never falls as the value rises: sign, power of two and FINE steps within it.
+def cell(value: Column, fine: int = FINE) -> Column:
+    """A number that never falls as the value rises: sign, power of two and `fine` steps within it.
 
     It follows from the value alone, so that every use of it agrees, and outliers don't widen it. Null stays null, NaN
     is the largest. Only values within about a hundredth of each other share a cell.
     """
     size = F.abs(value.cast("double"))
     power = F.floor(F.log2(size))
-    step = (power + 1100) * FINE + F.floor((size / F.pow(F.lit(2.0), power) - 1) * FINE) + 1
-    top = 4000 * FINE
+    step = (power + 1100) * fine + F.floor((size / F.pow(F.lit(2.0), power) - 1) * fine) + 1
+    top = 4000 * fine
     inside = F.when(size == 0, 0).when(size == float("inf"), top - 1).otherwise(step) * F.signum(value.cast("double"))
     return F.when(F.isnan(value.cast("double")), top).otherwise(F.when(size == 0, 0).otherwise(inside)).cast("long")
 
@@ -46,15 +46,15 @@ def _before(placed: DataFrame, by: list[str], sums: dict[str, Column], descendin
     return attach(placed, totals.select(*by, "cell__", *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(n) for n in sums]), [*by, "cell__"])
 
 
-def running_sums(df: DataFrame, by: list[str], order: str, sums: list[str], *, descending: bool = True) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], order: str, sums: list[str], *, descending: bool = True, fine: int = FINE) -> DataFrame:
     """df with `<sum>_to`, the sum over all rows of the group that come before or with the row's value of `order`.
 
-    Rows of equal `order` share one sum. A window runs over the totals of cells of neighbouring values, and one over
+    Rows of equal `order` share one sum. Many small groups are better off with few cells (fine). A window runs over the totals of cells of neighbouring values, and one over
     the rows of each cell.
     """
     inner = F.desc(order) if descending else F.asc(order)
     within = W.partitionBy(*by, "cell__").orderBy(inner).rangeBetween(W.unboundedPreceding, W.currentRow)
-    out = _before(df.withColumn("cell__", cell(F.col(order))), by, {f"{s}__": F.sum(s) for s in sums}, descending)
+    out = _before(df.withColumn("cell__", cell(F.col(order), fine)), by, {f"{s}__": F.sum(s) for s in sums}, descending)
     return out.select(*df.columns, *[(F.sum(s).over(within) + F.col(f"{s}__")).alias(f"{s}_to") for s in sums])
 
 

@@ -68,12 +68,11 @@ def test_dump_round_trip(spark, tmp_path):
         conformed(df.withColumn("logit", F.lit(float("nan")))).collect()
 
 
-def test_rules(spark):
-    row = lambda *x: spark.createDataFrame([x], "gain double, bar double").select(RU.outcome_label(F.col("gain"), F.col("bar")).alias("o")).first().o
-    assert [row(0.2, 0.1), row(0.05, 0.1), row(0.0, 0.1), row(-0.1, 0.1)] == ["PASS", "improved, under IQR", "no change", "WORSE"]
-    pairs = spark.createDataFrame([("a", 0.1, 0.2, 0.05, 0.05), ("a", 0.15, 0.16, 0.05, 0.05), ("b", 0.1, 0.2, None, None), ("b", 0.1, 0.2, None, None)], "arm string, treatment double, control double, iqr_treatment double, iqr_control double")
-    got = {r.arm: r.accepted for r in RU.component_acceptance(pairs, ["arm"]).collect()}
-    assert got == {"a": True, "b": False}
+def test_acceptance_fails_without_a_bar(spark):
+    rows = [("a", 0.1, 0.2, 0.05, 0.05), ("a", 0.15, 0.16, 0.05, 0.05), ("b", 0.1, 0.2, None, None), ("b", 0.1, 0.2, None, None)]
+    pairs = spark.createDataFrame(rows, "arm string, treatment double, control double, iqr_treatment double, iqr_control double")
+    pairs = pairs.withColumn("median_treatment", F.col("treatment")).withColumn("median_control", F.col("control"))
+    assert {r.arm: r.accepted for r in RU.component_acceptance(pairs, ["arm"]).collect()} == {"a": True, "b": False}
 
 
 def test_fill_and_tail(spark):

@@ -91,13 +91,15 @@ def test_spread_ignores_what_is_not_finite(spark):
 
 
 def test_prior_equalised_by_hand(spark):
-    rows = [("c1", 1, 1.0)] * 5 + [("c2", 1, 1.0)] * 5 + [("c1", 0, 2.0)] * 20 + [("c1", 0, 0.0)] * 80 + [("c2", 0, 2.0)] * 4 + [("c2", 0, 0.0)] * 16
+    # Ratios of negatives to positives are 12 / 3 and 9 / 6, so a's negatives weigh 1.5 * 3 / 12 each and b's weigh 1.
+    rows = [("a", 1, 0.5)] * 3 + [("b", 1, 0.5)] * 6 + [("a", 0, 0.7)] * 3 + [("a", 0, -1.0)] * 9 + [("b", 0, 0.7)] * 3 + [("b", 0, -1.0)] * 6
     df = spark.createDataFrame([(f"f{i}", *r, 0) for i, r in enumerate(rows)], "filepath string, centre string, label_int int, logit double, g int")
     w = prior_weights(df, "centre")
+    assert {r.centre: r.weight for r in w.collect()} == pytest.approx({"a": 0.375, "b": 1.0})
     r = prior_equalised(df, ["g"], "centre", w).first()
-    assert r.fpr == pytest.approx(0.2) and r.effective_n == pytest.approx(40)
+    assert r.fpr == pytest.approx((3 * 0.375 + 3) / 13.5) and r.effective_n == pytest.approx(13.5)
     with pytest.raises(Exception, match="two strata"):
-        prior_weights(df.where(F.col("centre") == "c1"), "centre").collect()
+        prior_weights(df.where(F.col("centre") == "a"), "centre").collect()
 
 
 def test_empty_tables(spark):
@@ -118,7 +120,7 @@ def test_prior_equalised_bootstrap_keeps_the_anchor_in_full(spark):
     assert {r.fpr for r in resample.prior_equalised_bootstrap(low, "centre", draws=3, recall=0.5).collect()} == {0.5}  # all of the anchor, none of b
 
 
-def test_simulations_are_registered_with_the_reference_s_draws(spark, monkeypatch):
+def test_simulations_are_registered_with_all_draws(spark, monkeypatch):
     from quillon.operators import resample
     from quillon.plans import registry
 
@@ -134,7 +136,7 @@ def test_simulations_are_registered_with_the_reference_s_draws(spark, monkeypatc
 
     for name in ("prevalence_bootstrap", "auc_bootstrap", "prior_equalised_bootstrap", "offset_simulation"):
         monkeypatch.setattr(resample, name, spy)
-    want = {"b01_prevalence_bootstrap_full": 1000, "b01_official_score_full": 1000, "b02_auc_bootstrap": 2000, "b03_prior_equalised_bootstrap": 1000, "b09_offset_simulation": 1000, "b10_sd_for_target": 400}
+    want = {"b01_prevalence_bootstrap_full": 1000, "b01_official_score_full": 1000, "b02_auc_bootstrap": 2000, "b03_prior_equalised_bootstrap": 1000, "b09_offset_simulation": 1000, "b10_bisection": 400}
     for query, draws in want.items():
         with pytest.raises(Stop):
             registry.QUERIES[query](spark, "/root/testdata/sf0.001")
