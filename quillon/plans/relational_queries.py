@@ -241,9 +241,9 @@ def a13(m):
     return L.range_overlap(m, "mode", "file_size")
 
 
-@query("a14_persistent_set", f"WITH {PRED_SQL}, b AS (SELECT filepath, seed FROM pred WHERE label_int = 1 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY logit, filepath) <= 400) SELECT filepath FROM b GROUP BY filepath HAVING count(DISTINCT seed) = (SELECT count(DISTINCT seed) FROM pred)")
+@query("a14_persistent_set", f"WITH {PRED_SQL}, b AS (SELECT filepath, seed FROM pred WHERE label_int = 1 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY logit, filepath) <= 700) SELECT filepath FROM b GROUP BY filepath HAVING count(DISTINCT seed) = (SELECT count(DISTINCT seed) FROM pred)")
 def a14(s, d):
-    bottom = WN.top_k(pred(s, d).where("label_int = 1"), ["seed"], 400, "logit", "filepath")
+    bottom = WN.top_k(pred(s, d).where("label_int = 1"), ["seed"], 700, "logit", "filepath")
     return L.persistent(bottom, "filepath", "seed")
 
 
