@@ -5,6 +5,7 @@ A draw depends only on its keys, so partitioning and retries don't change it, an
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -17,29 +18,113 @@ from .strata import prior_weights, with_threshold
 from .windows import numbered, running_sums
 
 
-def prevalence_bootstrap(df: DataFrame, *, draws: int, ratio: int = 100, recall: float = 0.9, label: str = "label_int", score: str = "logit", seed: int = 0) -> DataFrame:
-    """(draw, roc_auc, ap, ppv): each draw keeps all negatives and max(1, N / ratio) positives with replacement.
+#: Tie groups that a task keeps as arrays (some 50 bytes each); a longer curve stays in Spark.
+MOST_TIES = 1_000_000
 
-    The negatives above and at each positive's score are counted once; a draw touches only its positives.
+
+def _simulated(plan: DataFrame, names: list[str], run) -> DataFrame:
+    """plan with the double columns that `run` gives for each of its rows (a tuple of Python values)."""
+    import pyarrow as pa
+
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in plan.dtypes), *(f"{n} double" for n in names)])
+
+    def batches(parts):
+        for part in parts:
+            found = [run(*row) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+            columns = [pa.array(c, pa.float64()) for c in (zip(*found, strict=True) if found else ([] for _ in names))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
+
+    return plan.mapInArrow(batches, schema)
+
+
+def _draw_rows(df: DataFrame, draws: int) -> DataFrame:
+    """(draw): several tasks for each core, a draw at least in each."""
+    spark = df.sparkSession
+    return spark.range(0, draws, 1, max(1, min(draws, 4 * spark.sparkContext.defaultParallelism))).select(F.col("id").alias("draw"))
+
+
+def keyed_numbers(seed: int, draw: int, first: int, stop: int) -> np.ndarray:
+    """draw(seed, draw, k) of functions.scalar for k from first to stop - 1."""
+    head, new = f"{seed}|{draw}|".encode(), hashlib.sha256
+    return (np.frombuffer(b"".join([new(b"%b%d" % (head, k)).digest() for k in range(first, stop)]), ">u8")[::4] >> np.uint64(4)).astype(np.int64)
+
+
+def prevalence_bootstrap(
+    df: DataFrame, *, draws: int, by: list[str] | None = None, ratio: int = 100, recall: float = 0.9, label: str = "label_int", score: str = "logit", seed: int = 0, most: int = MOST_TIES
+) -> DataFrame:
+    """(by, draw, roc_auc, ap, ppv): each draw keeps all negatives and max(1, N / ratio) positives with replacement.
+
+    The negatives above and at each positive's score are counted once; a draw touches only its positives. Tie groups with
+    positives, up to `most` of all groups, go to the tasks as arrays, and a draw is made in one task without a shuffle
+    (groups share its hashes). More of them are joined with the picks in Spark; both ways give the same draws. A group
+    without positives has no draws; without negatives its roc_auc is null.
     """
-    c = curve(df, [], label=label, score=score).where("pos > 0")
-    c = c.select("pos", "P", "N", (F.col("fp") - F.col("neg")).alias("g"), F.col("fp").alias("h"), "tp")
-    size = c.agg(F.greatest(F.lit(1), F.floor(F.max("N") / ratio)).cast("long").alias("m"), F.max("P").alias("total"))
-    plan = df.sparkSession.range(draws).select(F.col("id").alias("draw")).crossJoin(F.broadcast(size)).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))  # one row of sizes
-    picks = plan.withColumn("index", draw(seed, F.col("draw"), F.col("k")) % F.col("total")).groupBy("draw", "m", "index").agg(F.count(F.lit(1)).alias("times"))
-    # A picked index is the tie group whose range of ranks holds it; one row for every positive stands for its rank.
-    ranked = c.withColumn("index", F.explode(F.sequence(F.col("tp") - F.col("pos"), F.col("tp") - 1)))
-    s = picks.join(ranked, "index").groupBy("draw", "m", "N", "g", "h").agg(F.sum("times").alias("x"), F.max("tp").alias("order"))
+    by = by or []
+    c = curve(df, by, label=label, score=score).where("pos > 0")
+    c = c.select(*by, "pos", "P", "N", (F.col("fp") - F.col("neg")).alias("g__"), F.col("fp").alias("h__"), "tp")
+    found = c.limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return _joined_draws(c, by, draws=draws, ratio=ratio, recall=recall, seed=seed)
+    rows: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*(found[k].to_pylist() for k in by), strict=True) if by else [()] * found.num_rows):
+        rows.setdefault(key, []).append(i)
+    groups = []
+    for members in rows.values():
+        part = {n: found[n].to_numpy()[members].astype(np.int64) for n in ("tp", "g__", "h__", "P", "N")}
+        order = np.argsort(part["tp"])
+        tp, g, h = (part[n][order] for n in ("tp", "g__", "h__"))
+        last = np.r_[(g[1:] != g[:-1]) | (h[1:] != h[:-1]), True]  # scores without a negative between count as one
+        groups.append((max(1, int(part["N"][0]) // ratio), int(part["P"][0]), int(part["N"][0]), tp[last], g[last], h[last]))
+
+    def measures(m: int, n: int, x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple:
+        g, h, x = g[x > 0], h[x > 0], x[x > 0]
+        k1 = np.cumsum(x)
+        k0 = k1 - x
+        auc = float((x * (1 - (g + h) / 2.0 / n)).sum() / m) if n else None
+        at = np.flatnonzero((k0 / m <= recall) & (k1 / m > recall))
+        ppv = None
+        if len(at):
+            a0, a1, ax, ag, ah = (int(v[at[0]]) for v in (k0, k1, x, g, h))
+            start = a0 / (a0 + ag) if a0 + ag > 0 else 1.0
+            ppv = start + (recall - a0 / m) / (ax / m) * (a1 / (a1 + ah) - start)
+        return auc, float((x / m * (k1 / (k1 + h))).sum()), ppv
+
+    def run(number: int) -> list[tuple]:
+        counts, largest, step = [np.zeros(len(q[3]), np.int64) for q in groups], max(q[0] for q in groups), 1 << 18
+        for first in range(1, largest + 1, step):
+            drawn = keyed_numbers(seed, number, first, min(first + step, largest + 1))
+            for (m, total, _, tp, _, _), x in zip(groups, counts, strict=True):
+                if first <= m:
+                    x += np.bincount(np.searchsorted(tp, drawn[: m - first + 1] % total, side="right"), minlength=len(tp))
+        return [measures(m, n, x, g, h) for (m, _, n, _, g, h), x in zip(groups, counts, strict=True)]
+
+    names = ["roc_auc", "ap", "ppv"]
+    if not groups:
+        return c.select(*by, F.lit(0).cast("long").alias("draw"), *[F.lit(None).cast("double").alias(n) for n in names]).where("false")
+    wide = _simulated(_draw_rows(df, draws), [f"{n}_{i}" for i in range(len(groups)) for n in names], lambda number: [v for q in run(number) for v in q])
+    field = lambda f, v: F.lit(v).cast(f.dataType).alias(f.name)
+    each = [F.struct(*[field(f, v) for f, v in zip(c.select(*by).schema, key, strict=True)], *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, key in enumerate(rows)]
+    return wide.select("draw", F.explode(F.array(*each)).alias("r")).select(*[F.col(f"r.{k}").alias(k) for k in by], "draw", *[f"r.{n}" for n in names])
+
+
+def _joined_draws(c: DataFrame, by: list[str], *, draws: int, ratio: int, recall: float, seed: int) -> DataFrame:
+    """prevalence_bootstrap's draws by shuffled joins: Spark can't see how many rows explode gives, and would broadcast them."""
     from pyspark.sql import Window as W
 
-    k1 = F.sum("x").over(W.partitionBy("draw").orderBy("order").rowsBetween(W.unboundedPreceding, 0))
+    size = c.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.max("N") / ratio)).cast("long").alias("m"), F.max("P").alias("total"))
+    plan = _draw_rows(c, draws).crossJoin(F.broadcast(size)).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))  # a row of sizes for each group
+    picks = plan.withColumn("index", draw(seed, F.col("draw"), F.col("k")) % F.col("total")).groupBy(*by, "draw", "m", "index").agg(F.count(F.lit(1)).alias("times"))
+    # A picked index is the tie group whose range of ranks holds it; one row for every positive stands for its rank.
+    ranked = c.withColumn("index", F.explode(F.sequence(F.col("tp") - F.col("pos"), F.col("tp") - 1)))
+    s = picks.hint("merge").join(ranked.hint("merge"), [*by, "index"]).groupBy(*by, "draw", "m", "N", "g__", "h__").agg(F.sum("times").alias("x"), F.max("tp").alias("order"))
+    k1 = F.sum("x").over(W.partitionBy(*by, "draw").orderBy("order").rowsBetween(W.unboundedPreceding, 0))
     s = s.withColumn("k1", k1).withColumn("k0", F.col("k1") - F.col("x"))
     here = (F.col("k0") / F.col("m") <= recall) & (F.col("k1") / F.col("m") > recall)
-    start = F.when(F.col("k0") + F.col("g") > 0, F.col("k0") / (F.col("k0") + F.col("g"))).otherwise(1.0)
-    ppv = start + (recall - F.col("k0") / F.col("m")) / (F.col("x") / F.col("m")) * (F.col("k1") / (F.col("k1") + F.col("h")) - start)
-    return s.groupBy("draw").agg(
-        (F.sum(F.col("x") * (1 - (F.col("g") + F.col("h")) / 2.0 / F.col("N"))) / F.max("m")).alias("roc_auc"),
-        F.sum(F.col("x") / F.col("m") * F.col("k1") / (F.col("k1") + F.col("h"))).alias("ap"),
+    start = F.when(F.col("k0") + F.col("g__") > 0, F.col("k0") / (F.col("k0") + F.col("g__"))).otherwise(1.0)
+    ppv = start + (recall - F.col("k0") / F.col("m")) / (F.col("x") / F.col("m")) * (F.col("k1") / (F.col("k1") + F.col("h__")) - start)
+    return s.groupBy(*by, "draw").agg(
+        (F.sum(F.col("x") * (1 - F.try_divide((F.col("g__") + F.col("h__")) / 2.0, F.col("N")))) / F.max("m")).alias("roc_auc"),
+        F.sum(F.col("x") / F.col("m") * F.col("k1") / (F.col("k1") + F.col("h__"))).alias("ap"),
         F.max(F.when(here, ppv)).alias("ppv"),
     )
 

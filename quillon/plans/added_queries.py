@@ -426,12 +426,10 @@ def b11n(s, d):
 @query("b11_official_sweep")
 def b11o(s, d):
     """The prevalence-matched score (1000 draws) with the positives moved down by 0, 0.5 and 1."""
-    out = None
-    for x in (0.0, 0.5, 1.0):
-        moved = pred(s, d).where("seed = 0").withColumn("logit", F.col("logit") - x * F.col("label_int"))
-        r = B.prevalence_bootstrap(moved, draws=1000, seed=20260821).agg(r6(F.avg("roc_auc")).alias("auroc"), r6(F.percentile("ppv", F.lit(0.5))).alias("ppv")).withColumn("shift", F.lit(x))
-        out = r if out is None else out.unionByName(r)
-    return out
+    moved = B.shifted(pred(s, d).where("seed = 0"), [0.0, -0.5, -1.0])
+    draws = B.prevalence_bootstrap(moved, draws=1000, by=["shift"], seed=20260821).groupBy(F.abs("shift").alias("shift"))
+    shifts = s.createDataFrame([(0.0,), (0.5,), (1.0,)], "shift double")
+    return shifts.join(draws.agg(r6(F.avg("roc_auc")).alias("auroc"), r6(F.percentile("ppv", F.lit(0.5))).alias("ppv")), "shift", "left").select("auroc", "ppv", "shift")
 
 
 _BOXES = f"""n AS (SELECT least(greatest(len(regexp_extract_all(text, 'the')), 1), 3) AS boxes FROM documents WHERE contains(text, 'the')), pmf AS (SELECT boxes, count(*) AS c FROM n GROUP BY 1), cdf AS (SELECT boxes, sum(c) OVER (ORDER BY boxes) / sum(c) OVER ()::DOUBLE AS hi, (sum(c) OVER (ORDER BY boxes) - c) / sum(c) OVER ()::DOUBLE AS lo FROM pmf),

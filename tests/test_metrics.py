@@ -141,3 +141,32 @@ def test_simulations_are_registered_with_all_draws(spark, monkeypatch):
         with pytest.raises(Stop):
             registry.QUERIES[query](spark, "/root/testdata/sf0.001")
         assert seen.pop("draws") == draws
+
+
+def test_prevalence_bootstrap_without_broadcast_picks(spark):
+    from quillon.operators.resample import prevalence_bootstrap
+
+    rows = [(g, int(k % 13 == 0), (k * 37 % 101) / 8 + (k % 13 == 0) * g) for g in (0, 1) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g int, label_int long, logit double")
+    kept = prevalence_bootstrap(df, by=["g"], draws=40, seed=5)
+    joined = prevalence_bootstrap(df, by=["g"], draws=40, seed=5, most=0)
+    tidy = lambda d: sorted(tuple(round(v, 12) for v in r) for r in d.collect())
+    assert tidy(kept) == tidy(joined) and kept.count() == 80 and kept.dtypes == joined.dtypes
+    one = prevalence_bootstrap(df.where("g = 1"), draws=40, seed=5)
+    assert tidy(one) == [r[1:] for r in tidy(kept) if r[0] == 1]
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (one, prevalence_bootstrap(df.where("g = 1"), draws=40, seed=5, most=0))]
+    assert "Join" not in plans[0] and not any("BroadcastHashJoin" in x and "index" in x for x in plans[1].splitlines())
+    assert prevalence_bootstrap(df.where("label_int = 0"), draws=4, by=["g"]).collect() == []
+    assert [r.roc_auc for r in prevalence_bootstrap(df.where("label_int = 1"), draws=2).collect()] == [None, None]
+
+
+@pytest.mark.parametrize("name, key", [("b11_official_sweep", "shift"), ("m25_pooled_gate", "arm")])
+def test_arms_share_one_bootstrap(spark, monkeypatch, name, key):
+    from quillon.operators import resample
+    from quillon.plans import registry
+
+    registry.load()
+    calls, real = [], resample.prevalence_bootstrap
+    monkeypatch.setattr(resample, "prevalence_bootstrap", lambda *a, **k: calls.append(k["draws"]) or real(*a, **k))
+    rows = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert calls == [1000] and sorted(r[key] for r in rows) == {"shift": [0.0, 0.5, 1.0], "arm": [0, 1, 2]}[key]
