@@ -301,11 +301,9 @@ def m25(s, d):
 @query("m25_pooled_gate")
 def m25g(s, d):
     """The prevalence-matched bootstrap (1000 draws) of each arm's pooled scores: medians, and the gate against the control."""
-    out = None
-    for arm in range(3):
-        p = pred(s, d).where(F.col("seed") == arm)
-        draws = B.prevalence_bootstrap(p, draws=1000, seed=20260821).agg(F.avg("roc_auc").alias("pooled_auroc"), F.percentile("ppv", F.lit(0.5)).alias("pooled_ppv")).withColumn("arm", F.lit(arm))
-        out = draws if out is None else out.unionByName(draws)
+    p = pred(s, d).where(F.col("seed") < 3)
+    draws = B.prevalence_bootstrap(p, draws=1000, by=["seed"], seed=20260821).groupBy(F.col("seed").cast("int").alias("arm"))
+    out = s.range(3).select(F.col("id").cast("int").alias("arm")).join(draws.agg(F.avg("roc_auc").alias("pooled_auroc"), F.percentile("ppv", F.lit(0.5)).alias("pooled_ppv")), "arm", "left")
     base = out.where("arm = 0").select(F.col("pooled_ppv").alias("control"))
     j = out.crossJoin(F.broadcast(base))  # one row
     return j.select("arm", r6("pooled_auroc").alias("pooled_auroc"), r6("pooled_ppv").alias("pooled_ppv"), r6(F.col("pooled_ppv") - F.col("control")).alias("delta_ppv"), (F.col("pooled_ppv") - F.col("control") > 0.0518).alias("above_floor"))
