@@ -6,13 +6,14 @@ A draw depends only on its keys, so partitioning and retries don't change it, an
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import draw, uniform
+from ..functions.scalar import TWO60, draw, uniform
 from .ranking import RECALL, curve
 from .strata import prior_weights, with_threshold
 from .windows import numbered, running_sums
@@ -136,21 +137,43 @@ def summary(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("metric").agg(q.alias("q"), F.count("v").alias("n")).select("metric", "n", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("hi"))
 
 
-def auc_bootstrap(df: DataFrame, *, draws: int, label: str = "label_int", score: str = "logit", id: str = "filepath", seed: int = 0) -> DataFrame:
-    """(draw, roc_auc): rows weighted by Poisson(1) counts of a keyed hash; draws of one class give null."""
-    u = uniform(seed, F.col("draw"), F.col(id))
-    edges, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    weight = sum(((u >= e).cast("int") for e in edges[1:]), (u >= edges[0]).cast("int"))
-    w = df.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))).withColumn("w", weight).where("w > 0")
-    ties = w.groupBy("draw", score).agg(F.sum(F.col("w") * F.col(label)).alias("pos"), F.sum(F.col("w") * (1 - F.col(label))).alias("neg"))
-    run = running_sums(ties, ["draw"], score, ["neg"], fine=8)
-    totals = ties.groupBy("draw").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = run.join(totals, "draw")
-    return j.groupBy("draw").agg(F.try_divide(F.sum(F.col("pos") * (F.col("N") - F.col("neg_to") + F.col("neg") / 2.0)), (F.max("P") * F.max("N")).cast("double")).alias("roc_auc"))
+def auc_bootstrap(df: DataFrame, *, draws: int, label: str = "label_int", score: str = "logit", seed: int = 0) -> DataFrame:
+    """(draw, roc_auc): every row weighs a Poisson(1) count in each draw; draws of one class give null.
+
+    The n rows of a score and label weigh Poisson(n) together, so tie groups are drawn, not rows; a group's generator is
+    keyed by seed and score. Sorted partitions of groups keep three running numbers a draw, and the partitions' sums are
+    put together in order; nothing grows with rows x draws but the time.
+    """
+    from pyspark import TaskContext
+    from pyspark.sql import Window as W
+
+    ties = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
+    order = F.asc_nulls_first("score")  # as in a curve, null is least and NaN largest
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    ties = ties.where("pos > 0 OR neg > 0").repartitionByRange(tasks, order).sortWithinPartitions(order)
+
+    def run(parts):
+        import pyarrow as pa
+
+        pos, neg, pairs = (np.zeros(draws) for _ in range(3))
+        for part in parts:
+            for value, p, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                key = hashlib.blake2b(repr(value).encode(), digest_size=16, salt=(seed & (1 << 64) - 1).to_bytes(8, "little")).digest()
+                rng = np.random.Generator(np.random.Philox(key=np.frombuffer(key, np.uint64)))
+                w0 = rng.poisson(n, draws) if n else 0
+                if p:
+                    w1 = rng.poisson(p, draws)
+                    pairs += w1 * (neg + w0 / 2.0)
+                    pos += w1
+                neg += w0
+        if pos.any() or neg.any():
+            place = np.full(draws, TaskContext.get().partitionId())  # ranges are dealt in order
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (place, np.arange(draws), pos, neg, pairs)], names=["place", "draw", "pos", "neg", "pairs"])
+
+    sums = ties.mapInArrow(run, "place long, draw long, pos double, neg double, pairs double")
+    before = F.coalesce(F.sum("neg").over(W.partitionBy("draw").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    placed = sums.withColumn("pairs", F.col("pairs") + F.col("pos") * before)
+    return placed.groupBy("draw").agg(F.try_divide(F.sum("pairs"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def stratified_subsample(df: DataFrame, quotas: DataFrame, stratum: str, id: str, seed: int, *, by: list[str] | None = None) -> DataFrame:
@@ -200,8 +223,61 @@ def weighted_draw(df: DataFrame, n: int, strata: list[str], id: str, seed: int)
     return picks.select("k", *strata, "r__").join(rows, [*strata, "r__"]).select("k", id, *strata)
 
 
-def offset_simulation(df: DataFrame, grid: DataFrame, draws: int, *, label: str = "label_int", score: str = "logit", id: str = "filepath", seed: int = 0) -> DataFrame:
-    """(k, sd, draw, roc_auc): every row gets one of k centres, every centre a normal offset of standard deviation sd."""
+def score_ties(df: DataFrame, *, label: str = "label_int", score: str = "logit", most: int = MOST_TIES):
+    """(scores rising, positives, negatives) of df's tie groups as arrays, or None if they are more than `most`.
+
+    A null score is the least (as minus infinity), NaN the largest.
+    """
+    ties = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
+    found = ties.where("pos > 0 OR neg > 0").limit(most + 1).toArrow()
+    if found.num_rows > most:
+        return None
+    v = found["score"].to_numpy().copy()
+    v[found["score"].is_null().to_numpy()] = -np.inf
+    order = np.argsort(v, kind="stable")
+    return v[order], found["pos"].to_numpy()[order], found["neg"].to_numpy()[order]
+
+
+def _counts_auc(v: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float | None:
+    """AUROC of scores that stand for pos and neg rows each; equal scores are ties, null without both classes."""
+    if not pos.any() or not neg.any():
+        return None
+    order = np.argsort(v, kind="stable")
+    v = v[order]
+    starts = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+    p, n = (np.add.reduceat(x[order], starts).astype(float) for x in (pos, neg))
+    return float((p * (np.cumsum(n) - n / 2)).sum() / (p.sum() * n.sum()))
+
+
+def offset_simulation(
+    df: DataFrame, grid: DataFrame, draws: int, *, label: str = "label_int", score: str = "logit", id: str = "filepath", seed: int = 0, most: int = MOST_TIES, ties: tuple | None = None
+) -> DataFrame:
+    """(k, sd, draw, roc_auc): every row gets one of k centres, every centre a normal offset of standard deviation sd.
+
+    Of the n rows of a score and label the numbers in the centres are multinomial, and are drawn as such (keyed by seed,
+    draw and k) for up to `most` tie groups, which go to the tasks as arrays; `ties` gives those of df, if at hand. More
+    of them are simulated row by row in Spark, by other draws of the same distribution. Offsets are keyed hashes in both.
+    """
+    ties = score_ties(df, label=label, score=score, most=most) if ties is None else ties
+    if ties is None:
+        return _simulated_rows(df, grid, draws, label=label, score=score, id=id, seed=seed)
+    v, pos, neg = ties
+
+    def run(k: int, sd: float, number: int) -> tuple:
+        def part(letter: str, centre: int) -> float:
+            return (int(hashlib.sha256(f"{seed}|{letter}|{number}|{centre}".encode()).hexdigest()[:15], 16)) / TWO60
+
+        offsets = [math.sqrt(-2 * math.log(max(part("u", c), 1e-18))) * math.cos(2 * math.pi * part("v", c)) for c in range(k)]
+        rng = np.random.default_rng([seed, number, k])
+        p, n = (rng.multinomial(x, np.full(k, 1 / k)).T.ravel() for x in (pos, neg))
+        there = (p > 0) | (n > 0)
+        return (_counts_auc(np.concatenate([v + sd * o for o in offsets])[there], p[there], n[there]),)
+
+    return _simulated(_draw_rows(df, draws).crossJoin(F.broadcast(grid)).select("k", "sd", "draw"), ["roc_auc"], run)  # a stated grid
+
+
+def _simulated_rows(df: DataFrame, grid: DataFrame, draws: int, *, label: str, score: str, id: str, seed: int) -> DataFrame:
+    """offset_simulation with a row for each row, draw and grid point."""
     plan = grid.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
     moved = df.crossJoin(F.broadcast(plan)).withColumn("centre__", draw(seed, "c", F.col("draw"), F.col(id)) % F.col("k"))  # a stated grid
     u, v = uniform(seed, "u", F.col("draw"), F.col("centre__")), uniform(seed, "v", F.col("draw"), F.col("centre__"))
@@ -275,12 +351,12 @@ def sd_for_target(df: DataFrame, k: int, target: float, *, draws: int, start: fl
     The upper end is doubled until the median is at or below the target (none found: a null sd), then the bracket is
     halved to `width`. One simulation a step; the driver holds one number of each.
     """
-    spark, steps = df.sparkSession, 0
+    spark, steps, ties = df.sparkSession, 0, score_ties(df)
 
     def median(sd: float) -> float:
         nonlocal steps
         steps += 1
-        sims = offset_simulation(df, spark.createDataFrame([(k, sd)], "k long, sd double"), draws, seed=seed)
+        sims = offset_simulation(df, spark.createDataFrame([(k, sd)], "k long, sd double"), draws, seed=seed, ties=ties)
         return sims.agg(F.percentile("roc_auc", F.lit(0.5))).first()[0]
 
     low, high = 0.0, start

@@ -170,3 +170,61 @@ def test_arms_share_one_bootstrap(spark, monkeypatch, name, key):
     monkeypatch.setattr(resample, "prevalence_bootstrap", lambda *a, **k: calls.append(k["draws"]) or real(*a, **k))
     rows = registry.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
     assert calls == [1000] and sorted(r[key] for r in rows) == {"shift": [0.0, 0.5, 1.0], "arm": [0, 1, 2]}[key]
+
+
+def _scores(spark, rows: int = 1200):
+    return spark.createDataFrame([(f"f{k}", int(k % 6 == 0), (k * 37 % 101) / 40 + (k % 6 == 0)) for k in range(rows)], "filepath string, label_int long, logit double")
+
+
+def test_auc_bootstrap_draws_tie_groups(spark):
+    import numpy as np
+    from quillon.operators.resample import auc_bootstrap
+
+    df = _scores(spark)
+    got = auc_bootstrap(df, draws=400, seed=2)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each row and draw
+    at = {r.draw: r.roc_auc for r in got.collect()}
+    again = {r.draw: r.roc_auc for r in auc_bootstrap(df.union(df.limit(0)).repartition(7), draws=400, seed=2).collect()}
+    assert sorted(at) == list(range(400)) and at == pytest.approx(again)
+    rows = df.collect()
+    y, v = np.array([r.label_int for r in rows]), np.array([r.logit for r in rows])
+    rng = np.random.default_rng(0)
+
+    def auc(w):
+        a, b = v[y == 1][:, None], v[y == 0][None]
+        return (w[y == 1] @ ((a > b) + (a == b) / 2.0) @ w[y == 0]) / w[y == 1].sum() / w[y == 0].sum()
+
+    want = [auc(rng.poisson(1, len(v))) for _ in range(400)]
+    assert np.mean(list(at.values())) == pytest.approx(np.mean(want), abs=0.004)
+    assert np.std(list(at.values())) == pytest.approx(np.std(want), rel=0.2)
+    assert [r.roc_auc for r in auc_bootstrap(df.where("label_int = 1"), draws=3).collect()] == [None] * 3
+    equal = df.withColumn("logit", F.lit(1.0))
+    assert {r.roc_auc for r in auc_bootstrap(equal, draws=3).collect()} == {0.5}
+
+
+def test_offset_simulation_draws_tie_groups(spark):
+    import numpy as np
+    from quillon.operators import resample
+
+    df = _scores(spark)
+    grid = spark.createDataFrame([(3, 0.5), (1, 2.0)], "k long, sd double")
+    got = resample.offset_simulation(df, grid, 150)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no row for each row and draw
+    whole = {k: sorted(r.roc_auc for r in got.where(F.col("k") == k).collect()) for k in (1, 3)}
+    rows = resample.offset_simulation(df, grid, 150, most=0).collect()
+    old = {k: [r.roc_auc for r in rows if r.k == k] for k in (1, 3)}
+    assert len(whole[3]) == len(old[3]) == 150
+    assert whole[1] == pytest.approx(old[1], abs=1e-9)  # one centre moves nothing
+    assert np.median(whole[3]) == pytest.approx(np.median(old[3]), abs=0.01) and np.std(whole[3]) == pytest.approx(np.std(old[3]), rel=0.2)
+    sd, top, at_top, steps = resample.sd_for_target(df, 3, 0.7, draws=60)
+    assert sd is not None and at_top <= 0.7 and steps < 25
+
+
+def test_counts_auc_by_hand():
+    import numpy as np
+    from quillon.operators.resample import _counts_auc
+
+    v = np.array([1.0, np.nan, 0.0, np.nan, -np.inf])
+    # positives: 2 at 1, 1 at NaN (the largest); negatives: 1 at NaN, 3 at 0, 1 at minus infinity.
+    assert _counts_auc(v, np.array([2, 1, 0, 0, 0]), np.array([0, 0, 3, 1, 1])) == pytest.approx((2 * 4 + 4.5) / 15)
+    assert _counts_auc(v, np.zeros(5, int), np.ones(5, int)) is None
