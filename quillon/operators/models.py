@@ -135,65 +135,151 @@ def forest_scores(df: DataFrame, features: list[str], label: str, fold: str, *,
     return out, sorted(((f, float(weights[i])) for i, f in enumerate(features)), key=lambda t: -t[1])
 
 
-def ward(points: np.ndarray, threshold: float) -> np.ndarray:
+class _Boxes:
+    """Points in halves of halves along their widest side, down to leaves of some `leaf` points; levels[i] has 2 ** i boxes."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = 8):
+        n = len(points)
+        self.order, self.levels = np.arange(n), []
+        depth = max(0, (n // leaf).bit_length() - 1)
+        for level in range(depth + 1):
+            bounds = (np.arange(2**level + 1) * n) >> level
+            p = points[self.order]
+            low, high = np.minimum.reduceat(p, bounds[:-1]), np.maximum.reduceat(p, bounds[:-1])
+            self.levels.append((low, high, np.minimum.reduceat(sizes[self.order], bounds[:-1])))
+            node = np.repeat(np.arange(2**level), np.diff(bounds))
+            if level < depth:
+                self.order = self.order[np.lexsort((p[np.arange(n), (high - low).argmax(1)[node]], node))]
+        width = int(np.diff(bounds).max())
+        place = bounds[:-1, None] + np.arange(width)
+        self.leaf_of, self.filled = node, place < bounds[1:, None]
+        self.members = self.order[np.minimum(place, n - 1)]
+
+
+def _nearest(points: np.ndarray, sizes: np.ndarray, names: np.ndarray, asked: np.ndarray, most: float, chunk: int = 16384) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked cluster (a place in points) the one at the least squared Ward distance below `most`, or -1, and that.
+
+    Exact: a box is left out only where no point of it can be as near as what is found. Of equal distances that of the
+    least hash of the pair's names is taken, so that both sides of a pair decide alike.
+    """
+    boxes = _Boxes(points, sizes)
+    picked = boxes.order[is_asked := np.isin(boxes.order, asked)]
+    leaf = boxes.leaf_of[is_asked]
+    best, found = np.full(len(points), most), np.full(len(points), -1)
+    for c in range(0, len(picked), chunk):
+        q, own = picked[c : c + chunk], leaf[c : c + chunk]
+        qp, qs = points[q], sizes[q]
+
+        def compare(g: np.ndarray, r: np.ndarray) -> None:
+            ids, a = boxes.members[r], qp[g]
+            f = np.zeros(ids.shape)
+            for k in range(points.shape[1]):
+                f += (a[:, k, None] - points[ids, k]) ** 2
+            sa, sb = qs[g][:, None], sizes[ids]
+            f *= sa * sb * 2 / (sa + sb)
+            f[(q[g][:, None] == ids) | ~boxes.filled[r]] = np.inf
+            at = f.argmin(1)
+            rows = np.arange(len(g))
+            least = f[rows, at]
+            equal = f == least[:, None]
+            for i in np.flatnonzero((equal.sum(1) > 1) & np.isfinite(least)):  # ties within a leaf
+                same = np.flatnonzero(equal[i])
+                at[i] = same[_pair_hash(names[q[g[i]]], names[ids[i, same]]).argmin()]
+            near, mine = ids[rows, at], q[g]
+            was, held = best[mine], found[mine]
+            wins = least < was
+            tied = np.flatnonzero((least == was) & (held >= 0))
+            wins[tied] = _pair_hash(names[mine[tied]], names[near[tied]]) < _pair_hash(names[mine[tied]], names[held[tied]])
+            best[mine[wins]], found[mine[wins]] = least[wins], near[wins]
+
+        every = np.arange(len(q))
+        compare(every, own)
+        g, node, floor = every, np.zeros(len(q), np.int64), np.zeros(len(q))
+        for box_low, box_high, box_small in boxes.levels[1:]:
+            g, node = np.repeat(g, 2), np.repeat(node * 2, 2)
+            node[1::2] += 1
+            floor = np.zeros(len(g))
+            for k in range(points.shape[1]):
+                at = qp[g, k]
+                floor += (at - np.clip(at, box_low[node, k], box_high[node, k])) ** 2
+            floor *= 2 * qs[g] * box_small[node] / (qs[g] + box_small[node]) * (1 - 1e-12)
+            keep = floor <= best[q[g]]
+            g, node, floor = g[keep], node[keep], floor[keep]
+        keep = node != own[g]
+        g, node, floor = g[keep], node[keep], floor[keep]
+        order = np.lexsort((floor, g))
+        g, node, floor = g[order], node[order], floor[order]
+        while len(g):
+            lead = np.r_[True, g[1:] != g[:-1]]  # the nearest box left of each
+            compare(g[lead], node[lead])
+            keep = ~lead & (floor <= best[q[g]])
+            g, node, floor = g[keep], node[keep], floor[keep]
+    return found[asked], best[asked]
+
+
+def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low, high = np.atleast_1d(np.minimum(a, b)).astype(np.uint64), np.atleast_1d(np.maximum(a, b)).astype(np.uint64)
+    h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def ward(points: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
     """Labels of agglomerative clustering that merges while the Ward distance is below a threshold.
 
-    By chains of nearest neighbours: every merge costs one pass over the clusters, memory is linear. Labels follow each
-    cluster's first point.
+    Merges all pairs that are each other's nearest, round by round: Ward's distance to a merged pair is not below the
+    lesser of those to its parts, so this gives the same clusters as one merge after another (where no distances are
+    equal), and who has none below the threshold is done. Nearest ones are found through boxes; memory is linear. sizes:
+    points that each row stands for. Labels follow each cluster's first point.
     """
     n = len(points)
-    centre, size, live = points.astype(float).copy(), np.ones(n), np.ones(n, bool)
-    parent, height, chain = np.arange(n), [], []
-    while live.sum() > 1:
-        if not chain:
-            chain = [int(np.flatnonzero(live)[0])]
-        a = chain[-1]
-        distance = np.where(live, 2 * size * size[a] / (size + size[a]) * ((centre - centre[a]) ** 2).sum(1), np.inf)
-        distance[a] = np.inf
-        b = int(distance.argmin())
-        if len(chain) > 1 and distance[chain[-2]] <= distance[b]:
-            b = chain[-2]
-            low, high = min(a, b), max(a, b)
-            height.append((float(np.sqrt(distance[b])), low, high))
-            centre[low] = (centre[low] * size[low] + centre[high] * size[high]) / (size[low] + size[high])
-            size[low] += size[high]
-            live[high] = False
-            chain = chain[:-2]
-        else:
-            chain.append(b)
-    for h, low, high in height:
-        if h < threshold:
-            root = low
-            while parent[root] != root:
-                root = parent[root]
-            parent[high] = root
-    for i in range(n):
-        root = i
-        while parent[root] != root:
-            root = parent[root]
-        parent[i] = root
+    centre, size = points.astype(float).copy(), np.ones(n) if sizes is None else sizes.astype(float)
+    parent, near, far = np.arange(n), np.full(n, -1), np.full(n, np.inf)
+    live, stale = np.arange(n), np.ones(n, bool)
+    while len(live) > 1:
+        asked = np.flatnonzero(stale[live])
+        at, squared = _nearest(centre[live], size[live], live, asked, threshold**2)
+        near[live[asked]], far[live[asked]] = np.where(at >= 0, live[at], -1), squared
+        live = live[near[live] >= 0]
+        if not len(live):
+            break
+        low = live[(near[near[live]] == live) & (live < near[live])]
+        if not len(low):
+            low = live[[far[live].argmin()]]  # rounding made neighbours disagree: the nearest pair of all
+        pair = near[low]
+        low, high = np.minimum(low, pair), np.maximum(low, pair)
+        whole = size[low] + size[high]
+        centre[low] = (centre[low] * size[low, None] + centre[high] * size[high, None]) / whole[:, None]
+        size[low], parent[high] = whole, low
+        moved = np.zeros(n, bool)
+        moved[low] = moved[high] = True
+        live = live[parent[live] == live]
+        stale = moved.copy()
+        stale[live] |= moved[near[live]]
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
     return np.unique(parent, return_inverse=True)[1]
 
 
-def ward_clusters(df: DataFrame, id: str, features: list[str], threshold: float, *, limit: int = 50_000) -> DataFrame:
+def ward_clusters(df: DataFrame, id: str, features: list[str], threshold: float, *, limit: int = 10_000_000) -> DataFrame:
     """(id, cluster): Ward clustering of the standardised features.
 
-    The method compares all clusters with one another, so it is one task over distinct feature rows (equal rows are
-    merged first); more than `limit` of them is an error when computed, not a cut.
+    Any two clusters may merge, so it is one task over distinct feature rows (equal rows are one row that stands for all
+    of them); some 200 bytes a row. More than `limit` of them is an error when computed, not a cut.
     """
+    import pyarrow as pa
+
     x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]
     stats = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(x)], *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(x)])
     scaled = df.crossJoin(F.broadcast(stats)).select(F.col(id), F.array(*[F.coalesce(F.try_divide(v - F.col(f"m{i}"), F.nullif(F.col(f"s{i}"), F.lit(0.0))), F.lit(0.0)) for i, v in enumerate(x)]).alias("x"))  # one row
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"{len(pdf)} distinct rows are more than the limit of {limit}")
-        pdf = pdf.sort_values("first")
-        # Equal rows count once for each of their members.
-        rows = np.repeat(np.arange(len(pdf)), pdf["n"]) if pdf["n"].sum() <= limit else np.arange(len(pdf))
-        label = ward(np.stack(pdf["x"].to_list())[rows], threshold)
-        first = np.unique(rows, return_index=True)[1]
-        return pd.DataFrame({"x": pdf["x"], "cluster": label[first]})
-
-    found = scaled.groupBy("x").agg(F.min(id).alias("first"), F.count(F.lit(1)).alias("n")).groupBy().applyInPandas(run, "x array<double>, cluster long")
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows > limit:
+            raise ValueError(f"{table.num_rows} distinct rows are more than the limit of {limit}")
+        table = table.sort_by("first").combine_chunks()
+        points = np.concatenate([c.flatten().to_numpy() for c in table["x"].chunks]).reshape(-1, len(features))
+        label = ward(points, threshold, table["n"].to_numpy())
+        return pa.table({"x": table["x"].cast(pa.list_(pa.field("element", pa.float64()))), "cluster": pa.array(label, pa.int64())})
+
+    found = scaled.groupBy("x").agg(F.min(id).alias("first"), F.count(F.lit(1)).alias("n")).groupBy().applyInArrow(run, "x array<double>, cluster long")
     return scaled.join(found, "x").select(id, "cluster")

@@ -78,6 +78,29 @@ def test_ward_against_all_merges(spark):
     assert len(got) == 23 and got[50] == got[0]
 
 
+def test_ward_counts_all_copies_and_takes_many_rows(spark):
+    # 60,000 rows of three kinds: a kind's 20,000 copies weigh too much to merge below 3, which three single rows do.
+    df = spark.range(60_000).select(F.col("id").alias("i"), (F.col("id") % 3).cast("double").alias("a"))
+    sizes = MO.ward_clusters(df, "i", ["a"], 3.0).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in sizes) == [20_000] * 3
+    assert MO.ward_clusters(df.limit(3), "i", ["a"], 3.0).select("cluster").distinct().count() == 1
+    many = spark.range(50_500).select(F.col("id").alias("i"), F.col("id").cast("double").alias("a"))  # more distinct rows than once allowed
+    assert MO.ward_clusters(many, "i", ["a"], 0.001).count() == 50_500
+
+
+def test_ward_by_mutual_neighbours_against_chains():
+    rng = np.random.default_rng(4)
+    points, sizes = rng.normal(size=(400, 3)), rng.integers(1, 4, 400)
+    points[:, 2] = np.round(points[:, 2])
+    rows = np.repeat(np.arange(400), sizes)
+    for t in (0.5, 2.0, 5.0):
+        whole, weighed = MO.ward(points[rows], t), MO.ward(points, t, sizes)
+        pairs = set(zip(whole.tolist(), weighed[rows].tolist(), strict=True))
+        assert len(pairs) == len(set(whole.tolist())) == len(set(weighed.tolist()))
+    line = np.arange(64.0)[:, None]  # equal distances everywhere
+    assert len(set(MO.ward(line, 1.0).tolist())) == 64 and len(set(MO.ward(line, 1e9).tolist())) == 1
+
+
 def test_forest(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, float(v), float(rng.normal()), int(v > 0.3), i % 2) for i, v in enumerate(rng.normal(size=120))], "i int, a double, b double, y int, fold int")
