@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, shuffle_parts, staged, words_of
+from .common import released, shared_dir, shuffle_parts, small_batches, staged, words_of
 from .tokens import byte_slices
 
-BLOCK = 12 << 20
+BLOCK = 6 << 20
+BATCH = 2 << 20  # bytes of rows that go to Python at once, where they are computed at once
 END = b""  # no word is empty
 BURN_IN, SAMPLES = 5, 5
 STRENGTH = (2.0, 10.0)  # of the contexts, the root
@@ -46,11 +47,13 @@ STEPS = 24  # customers seated one by one before waiting times are drawn
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """The arrays, compressed; all numbers' first bytes, then all second ones, and so on, as these resemble each other."""
     import zstandard
 
     parts = []
     for a in arrays:
-        parts += [struct.pack("<2sxxxxxxq", a.dtype.str[1:].encode(), len(a)), np.ascontiguousarray(a).tobytes()]
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        parts += [struct.pack("<2sxxxxxxq", a.dtype.str[1:].encode(), len(a)), planes.tobytes()]
     return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
@@ -60,7 +63,9 @@ def unpack(data: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
     while at < len(raw):
         kind, n = struct.unpack_from("<2sxxxxxxq", raw, at)
-        a = np.frombuffer(raw, np.dtype("<" + kind.decode()), n, at + 16)
+        dtype = np.dtype("<" + kind.decode())
+        planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at + 16).reshape(dtype.itemsize, n)
+        a = np.ascontiguousarray(planes.T).view(dtype).reshape(n)
         out.append(a)
         at += 16 + a.nbytes
     return out
@@ -109,7 +114,12 @@ class Block:
         before = np.empty(len(tokens), np.int64)
         before[1:] = tokens[:-1]
         before[np.cumsum(counts) - counts] = self.codes[END]  # a text's start
-        pairs, at = np.unique(rank[tokens] << 32 | rank[before], return_inverse=True)
+        keys = rank[tokens] << 32
+        keys |= rank[before]
+        del tokens, before, words
+        pairs, at = np.unique(keys, return_inverse=True)
+        del keys
+        at = at.astype("<u4")
         seen = np.bincount(at[np.repeat(learn, counts)], minlength=len(pairs))
         digests = digests[order]
         bucket = (digests[:, 0] % np.uint64(buckets)).astype(np.int64)
@@ -125,7 +135,7 @@ class Block:
                 out.append((b, pack(digests[lo:hi, 0], digests[lo:hi, 1].astype("<u2"), per_word.astype("<u4"), *_halves(contexts[p:q]), seen[p:q].astype("<u4"))))
         ids = pa.chunked_array(self.ids).combine_chunks()
         null = np.asarray(ids.is_null())
-        return out, pack(np.asarray(ids.fill_null(0)).astype("<i8"), null.astype("<u1"), counts.astype("<u4"), at.astype("<u4"))
+        return out, pack(np.asarray(ids.fill_null(0)).astype("<i8"), null.astype("<u1"), counts.astype("<u4"), at)
 
 
 ROW = "kind string, key long, block long, payload binary"
@@ -137,7 +147,7 @@ def _row(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _questions(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows `ask` (key: bucket) and `text` (key: block) of all blocks of docs (doc_id, text, learn)."""
+    """Rows `ask` (key: bucket) and `text` (key: above the buckets, its own) of all blocks of docs (doc_id, text, learn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,7 +158,7 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
             asks, texts = block.question(buckets)
             for i in range(0, len(asks), 64):
                 yield _row([("ask", b, base + done, p) for b, p in asks[i : i + 64]])
-            yield _row([("text", (base + done) % buckets, base + done, texts)])
+            yield _row([("text", buckets + base + done, base + done, texts)])
 
         for b in batches:
             ids, texts, learn = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
@@ -166,7 +176,7 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
 def _merge(table: pa.Table, buckets: int) -> pa.Table:
     """All blocks' questions to one bucket -> one state row: distinct pairs with their counts, and each block's pairs.
 
-    Packed texts that came along pass through.
+    A packed text, which has a key of its own, passes through.
     """
     is_text = np.array([k == "text" for k in table.column("kind").to_pylist()], bool)
     texts, table = table.filter(pa.array(is_text)), table.filter(pa.array(~is_text))
@@ -412,7 +422,8 @@ def score_texts(docs: DataFrame, learn: Column, *, id: str = "doc_id", text: str
     buckets = shuffle_parts(spark)
     rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string"), F.coalesce(learn, F.lit(False)))
     # One exchange carries the questions to their buckets and the packed texts to any bucket; both are written there.
-    merged = _bucketed(_questions(rows, buckets).groupBy("key").applyInArrow(lambda t: _merge(t, buckets), MERGED), buckets)
+    with small_batches(spark, BATCH):
+        merged = _bucketed(_questions(rows, buckets).groupBy("key").applyInArrow(lambda t: _merge(t, buckets), MERGED), buckets)
     released(spark)
     states = merged.where("kind = 'state'").select("key", "state", "asked")
     rows = staged(_each(states, lambda dishes: dishes.rows(0, buckets, first=True)), "lm-start", ["kind"]).select("kind", "key", "block", "payload")

@@ -508,3 +508,30 @@ def test_repeated_passages(which, request):
 
 def test_passages_of_nothing(none):
     assert suffixes.removal_digests(none).count() == 0
+
+
+def test_pitman_yor_groups_are_small(spark):
+    import pyarrow as pa
+    import zstandard
+
+    from quillon.llm.common import small_batches
+    from quillon.llm.pitmanyor import _questions, pack, unpack
+
+    # A packed text is in no bucket's group, and every text has a group of its own.
+    docs = spark.createDataFrame([(i, f"some words {i}", True) for i in range(60)], "id long, text string, learn boolean").repartition(3)
+    rows = _questions(docs, 4).select("kind", "key").collect()
+    asks, texts = ({r.key for r in rows if r.kind == k} for k in ("ask", "text"))
+    assert asks <= set(range(4)) and min(texts) >= 4 and len(texts) == sum(r.kind == "text" for r in rows) == 3
+    # Numbers are packed byte by byte of their places, shorter than one after another, and come back as they were.
+    numbers = np.random.default_rng(0).integers(0, 70_000, 50_000).astype("<u4")
+    assert len(pack(numbers)) < 0.9 * len(zstandard.ZstdCompressor(level=1).compress(numbers.tobytes()))
+    given = [numbers, np.zeros(0, "<u2"), np.array([-1, 1 << 40], "<i8"), np.array([0.5, -2], "<f4")]
+    for a, b in zip(given, unpack(pack(*given)), strict=True):
+        assert a.dtype == b.dtype and (a == b).all()
+    # A group goes to Python in several batches, and the setting is as before afterwards.
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    wide = spark.range(400).select(F.lit(0).alias("k"), F.repeat(F.lit("x"), 100).alias("t"))
+    with small_batches(spark, 2000):
+        assert wide.groupBy("k").applyInArrow(lambda t: pa.table({"n": [t.column("t").num_chunks]}), "n long").first().n > 5
+    assert spark.conf.get(key) == before
