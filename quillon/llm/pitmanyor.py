@@ -421,7 +421,7 @@ def score_texts(docs: DataFrame, learn: Column, *, id: str = "doc_id", text: str
     spark = docs.sparkSession
     buckets = shuffle_parts(spark)
     rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string"), F.coalesce(learn, F.lit(False)))
-    # One exchange carries the questions to their buckets and the packed texts to any bucket; both are written there.
+    # One exchange carries the questions to their buckets and each packed text to a group of its own; both are written there.
     with small_batches(spark, BATCH):
         merged = _bucketed(_questions(rows, buckets).groupBy("key").applyInArrow(lambda t: _merge(t, buckets), MERGED), buckets)
     released(spark)
