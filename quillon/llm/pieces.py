@@ -3,16 +3,19 @@
 A text's spaces become word marks and a mark precedes it. No piece crosses the start of a run of marks, so a text is a
 sequence of words that are encoded each by itself, a block's distinct words once:
 
-1. Texts are packed in blocks, and the blocks' distinct words are written in the same buckets as the blocks.
+1. Texts are read once, in blocks. A block asks for each of its distinct words in the bucket of the word's hash; its texts
+   are kept as places among these words. A bucket takes the distinct words of all blocks, so a word is encoded once in
+   the corpus and a frequent word makes no hot bucket.
 2. A word's substrings of up to the longest piece's length are exploded and equi-joined to the piece table; a character
-   that no piece covers is spelled in bytes. Edges are grouped by word. All of this happens where the block is: nothing
-   is shuffled, and a frequent word is one row a block.
-3. The edges are folded by Spark's `aggregate`. For a unigram model the fold is Viterbi's: best score and last edge of
+   that no piece covers is spelled in bytes. This happens where the bucket is: words and edges aren't shuffled, and a
+   word's edges leave the join one after another.
+3. The edges are folded. For a unigram model the fold is Viterbi's, by Spark's `aggregate`: best score and last edge of
    every position, then a walk back. The pieces of a BPE model carry merge ranks, and the path of the largest score sum
    is not what merging gives (it agrees on under half of the words). For such a model the edges are folded once, by
-   rank and start, over the set of cuts: an edge whose ends are cuts with one cut between them removes that one. A
-   piece is made of pieces of better ranks, so this order is the merges' own; tests hold it against the library.
-4. Each block puts its texts' ids together from its words'.
+   rank and start, over the set of cuts, for many words at a time: an edge whose ends are cuts with one cut between them
+   removes that one. A piece is made of pieces of better ranks, so this order is the merges' own; tests hold it against
+   the library.
+4. A bucket answers every block's words in the order asked, and each block puts its texts' ids together.
 
 Defined cases: null and empty texts have no pieces; the piece table's size is the model's and doesn't grow with the
 input; texts need the identity normalisation (the model's own is not applied); words of more than MAX_WORD characters
@@ -23,9 +26,9 @@ stays null; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,16 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Texts, answered, text_blocks
-from .common import let, shared_dir, shuffle_parts
+from .common import released, shuffle_parts
+from .pitmanyor import ROW, _bucketed, _row, pack, unpack
+from .tokens import byte_slices
 
 MARK = "▁"
 MAX_WORD = 2000
 SHORT = 61  # characters of a word whose cuts fit a long
-BLOCK, BUCKETS = 6 << 20, 4  # bytes of text; buckets a shuffle partition
-GROUPS = 1 << 21  # words whose edges a task holds at once before it sorts them: several blocks' words
+BLOCK = 12 << 20  # characters of text
+FOLD = 400_000  # edges that are folded at once
+SPELL = 50_000  # words that are spelled at once
 UNKNOWN_SCORE = -1e9  # of a character that is spelled in bytes
 _RUN = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -78,13 +83,13 @@ class PieceModel:
         return out
 
 
-def words_of_text(text: str | None) -> list[str]:
-    """The words of a text, each without its first mark."""
+def words_of_text(text: str | None) -> list[bytes]:
+    """The words of a text, each without its first mark, as UTF-8."""
     if not text:
         return []
     if MARK in text or "  " in text or text[0] == " ":
-        return [w[1:] for w in _RUN.findall(MARK + text.replace(" ", MARK))]
-    return text.split(" ")
+        return [w[1:].encode("utf-8", "surrogatepass") for w in _RUN.findall(MARK + text.replace(" ", MARK))]
+    return text.encode("utf-8", "surrogatepass").split(b" ")
 
 
 class _Ranks(dict):
@@ -93,61 +98,133 @@ class _Ranks(dict):
         return i
 
 
-def _ranked(texts: Texts) -> tuple[list[str], list[np.ndarray]]:
-    """The block's distinct words in order, and each text's words by their place in it."""
-    ranks, out = _Ranks(), []
-    data = texts.bytes.tobytes()
-    for a, e in zip(texts.starts.tolist(), texts.ends.tolist(), strict=True):
-        words = words_of_text(data[a:e].decode("utf-8", "surrogatepass"))
-        out.append(np.fromiter(map(ranks.__getitem__, words), np.int32, len(words)))
-    words = sorted(ranks)
-    place = np.empty(len(words), np.int32)
-    place[[ranks[w] for w in words]] = np.arange(len(words), dtype=np.int32)
-    return words, [place[x] for x in out]
+class _Block:
+    """Collects texts; question() gives the packed words by bucket and the packed texts as places among them."""
 
+    def __init__(self):
+        self.ranks, self.size = _Ranks(), 0
+        self.words: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.ids: list[int | None] = []
 
-def _block_words(blocks: DataFrame, buckets: int) -> DataFrame:
-    """block, rank (and whether the word is longer than SHORT, in the lowest bit), word of each block's distinct words,
-    written in the blocks' own buckets."""
+    def add(self, ids: list[int | None], texts: list[str | None]) -> None:
+        lists = list(map(words_of_text, texts))
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.words.append(np.fromiter(map(self.ranks.__getitem__, chain.from_iterable(lists)), np.int32, int(counts.sum())))
+        self.counts.append(counts)
+        self.ids += ids
+        self.size += sum(len(t or "") for t in texts)
+
+    def question(self, buckets: int) -> tuple[list[tuple[int, bytes]], bytes]:
+        words = list(self.ranks)
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        order, asks, place = order.tolist(), [], np.empty(len(words), np.int32)
+        for b in range(buckets):
+            lo, hi = cuts[b], cuts[b + 1]
+            if lo < hi:
+                some = sorted(order[lo:hi], key=words.__getitem__)  # sorted words resemble their neighbours
+                place[some] = np.arange(lo, hi, dtype=np.int32)
+                asks.append((b, _pressed([words[i] for i in some])))
+        ids = np.array([0 if i is None else i for i in self.ids], "<i8")
+        null = np.array([i is None for i in self.ids], "<u1")
+        return asks, pack(ids, null, np.concatenate(self.counts).astype("<u4"), place[np.concatenate(self.words)].astype("<u4"), level=3)
+
+
+def _pressed(words: list[bytes]) -> bytes:
+    """One word at least; no word has a space."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b" ".join(words))
+
+
+def _unpressed(payload: bytes) -> list[bytes]:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(payload).split(b" ")
+
+
+ASKED = "key long, block long, ask binary, texts binary"  # one of the last two is null; key: of the bucket asked
+
+
+def _questions(docs: DataFrame, buckets: int) -> DataFrame:
+    """The questions and the packed texts of all blocks of docs (id, text)."""
+
+    def rows(block: int, keys: list[int | None], asks: list[bytes | None], texts: bytes | None) -> pa.RecordBatch:
+        n = len(keys)
+        columns = [pa.array(keys, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(asks, pa.binary()), pa.array([texts] * n, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "block", "ask", "texts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, block, done = TaskContext.get().partitionId() << 24, _Block(), 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            asks, texts = block.question(buckets)
+            for i in range(0, len(asks), 64):
+                some = asks[i : i + 64]
+                yield rows(base + done, [b for b, _ in some], [p for _, p in some], None)
+            yield rows(base + done, [None], [None], texts)
+
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                some = b.column(1).slice(at, 2048).to_pylist()
+                for lo, hi in byte_slices(some, 1 << 20):
+                    block.add(b.column(0).slice(at + lo, hi - lo).to_pylist(), some[lo:hi])
+                    if block.size >= BLOCK:
+                        yield from close()
+                        block, done = _Block(), done + 1
+                at += len(some)
+        if block.ids:
+            yield from close()
+
+    return docs.mapInArrow(run, ASKED)
+
+
+MERGED = "key long, state binary, asked binary"
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """All blocks' words in one bucket -> one row: the distinct ones, and each block's places among them."""
+    blocks = table.column("block").to_numpy()
+    order = np.argsort(blocks, kind="stable")
+    asks, ranks, asked = table.column("ask"), _Ranks(), []
+    for i in order.tolist():
+        words = _unpressed(asks[i].as_py())
+        asked.append(np.fromiter(map(ranks.__getitem__, words), "<u4", len(words)))
+    sizes = np.array([len(x) for x in asked], "<i8")
+    row = (table.column("key")[0].as_py(), _pressed(list(ranks)), pack(blocks[order].astype("<i8"), sizes, np.concatenate(asked)))
+    return pa.table({n: pa.array([v], k) for n, v, k in zip(("key", "state", "asked"), row, (pa.int64(), pa.binary(), pa.binary()), strict=True)})
+
+
+def _is_long(word: bytes) -> bool:
+    return len(word) >= MAX_WORD and len(word.decode("utf-8", "surrogatepass")) >= MAX_WORD
+
+
+def _bucket_words(states: DataFrame) -> DataFrame:
+    """key, rank, word (with its mark) of each bucket's distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words, _ = _ranked(Texts(payload.as_py()))
+            for key, state in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = _unpressed(state.as_py())
                 for lo in range(0, len(words), 20_000):
-                    some = [(r << 1 | (len(w) >= SHORT), MARK + w) for r, w in enumerate(words[lo : lo + 20_000], lo) if len(w) < MAX_WORD]
+                    some = [(r, MARK + w.decode("utf-8", "surrogatepass")) for r, w in enumerate(words[lo : lo + 20_000], lo) if not _is_long(w)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(some), block, np.int64)), pa.array([r for r, _ in some], pa.int32()), pa.array([w for _, w in some], pa.string())], names=["block", "rank", "word"]
+                        [pa.array(np.full(len(some), key, np.int64)), pa.array([r for r, _ in some], pa.int32()), pa.array([w for _, w in some], pa.string())], names=["key", "rank", "word"]
                     )
 
-    spark, name = blocks.sparkSession, f"words_{uuid.uuid4().hex}"
-    rows = blocks.mapInArrow(run, "block long, rank int, word string")
-    rows.write.option("compression", "zstd").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    out = spark.table(name)
-    out.schema  # resolved now; the files stay when the name goes
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
-def _written_paths(paths: DataFrame, buckets: int) -> DataFrame:
-    """paths written in the blocks' buckets. While they are computed, a task's words are grouped without sorting."""
-    spark, name, key = paths.sparkSession, f"paths_{uuid.uuid4().hex}", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, GROUPS)
-    try:
-        paths.write.option("compression", "zstd").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    finally:
-        spark.conf.set(key, before)
-    out = spark.table(name)
-    out.schema  # resolved now; the files stay when the name goes
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return states.select("key", "state").mapInArrow(run, "key long, rank int, word string")
 
 
 def lattice(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
-    """keys and `edges` of words (`keys`, which tell them apart, and `word`): the substrings that are pieces.
+    """keys and `edge` of words (`keys`, which tell them apart, and `word`): the substrings that are pieces, a row each,
+    a word's one after another.
 
-    For a model of merges an edge is a long that sorts by rank and start (see _edge), and single characters, which need
+    For a model of merges an edge is a long that sorts by rank and start (20 bits of the id, 7 of the size, 16 of the start, the rank above), and single characters, which need
     no merge, are left out; else a struct of start, n, id, score, where a character that is no piece has the id -1.
     """
     least = 2 if model.merges else 1
@@ -166,59 +243,78 @@ def lattice(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
     else:
         joined = cut.join(table, "h", "left").withColumn("id", F.when(same, F.col("id"))).where("id is not null or n = 1")
         edge = F.struct("start", "n", F.coalesce("id", F.lit(-1)).alias("id"), F.when(F.col("id").isNotNull(), F.col("score")).otherwise(UNKNOWN_SCORE).alias("score"))
-    return joined.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-
+    return joined.select(*keys, edge.alias("edge"))
+
+
+def merged(word: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Which edges are on their word's path by merge ranks; word: ascending numbers, from 0. Characters between them stand alone."""
+    start, size = (edges >> 27) & 0xFFFF, (edges >> 20) & 0x7F
+    order = np.argsort(word << 31 | (edges >> 43) << 16 | start)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    count = np.diff(np.append(first, len(word)))
+    long = np.maximum.reduceat(start + size, first) > SHORT
+    on = np.zeros(len(edges), bool)
+    # Words whose cuts fit a number: the k-th edges of all of them at once, those with many edges first.
+    live = np.flatnonzero(~long)
+    live = live[np.argsort(-count[live], kind="stable")]
+    left = np.searchsorted(-count[live], -np.arange(1, int(count[live].max(initial=0)) + 1), "right").tolist()
+    cuts, one, begin = np.full(len(live), -1, np.int64), np.int64(1), first[live]
+    both, window = ((one << size) | one) << np.minimum(start, SHORT), ((one << size + 1) - one) << np.minimum(start, SHORT)
+    for k, n in enumerate(left):
+        e = order[begin[:n] + k]
+        ends, inside = both[e], cuts[:n] & window[e]
+        alone = (np.bitwise_count(inside) == 3) & (inside & ends == ends)
+        cuts[:n] ^= np.where(alone, inside ^ ends, 0)
+    at = np.zeros(len(first), np.int64)
+    at[live] = cuts
+    short = ~np.repeat(long, count)
+    on[short] = (at[word[short]] & window[short]) == both[short]
+    # Longer words: the same with integers of any length.
+    for w in np.flatnonzero(long).tolist():
+        lo, hi, cut = first[w], first[w] + count[w], -1
+        some = [(int(e), int(start[e]), int(size[e])) for e in order[lo:hi]]
+        for _, s, n in some:
+            inside = cut >> s & (2 << n) - 1
+            if inside.bit_count() == 3 and inside & 1 and inside >> n:
+                cut ^= (inside ^ (1 << n | 1)) << s
+        for e, s, n in some:
+            on[e] = cut >> s & (2 << n) - 1 == 1 << n | 1
+    return on
+
+
+def _folded(edges: DataFrame, keys: list[str], made: Callable, schema: str) -> DataFrame:
+    """made(columns of keys, edges) -> rows, of the path's edges of many whole words; edges: keys and edge by lattice."""
 
-def _shift(value, bits):
-    return F.call_function("shiftleft", value, bits)
-
-
-def _edge(e):
-    """start and size of an edge: 20 bits of the id, 7 of the size, 16 of the start, the rank above."""
-    return F.shiftright(e, 27).bitwiseAND(F.lit(0xFFFF)).cast("int"), F.shiftright(e, 20).bitwiseAND(F.lit(0x7F)).cast("int")
-
-
-def merged(edges, short):
-    """The edges of the path by merge ranks; short: whether the word has SHORT characters at most.
-
-    Characters between them stand alone.
-    """
-    one = F.lit(1).cast("long")
-
-    def ends(e):
-        start, size = _edge(e)
-        return _shift(_shift(one, size).bitwiseOR(one), start), _shift(_shift(one, size + 1) - one, start)
-
-    def step(cuts, e):
-        both, window = ends(e)
-        inside = cuts.bitwiseAND(window)
-        alone = (F.bit_count(inside) == 3) & (inside.bitwiseAND(both) == both)
-        return F.when(alone, cuts.bitwiseXOR(inside.bitwiseXOR(both))).otherwise(cuts)
-
-    def path(cuts):
-        def on(e):
-            both, window = ends(e)
-            return cuts.bitwiseAND(window) == both
-
-        return F.filter(edges, on)
-
-    by_bits = let(F.aggregate(edges, F.lit(-1).cast("long"), step), path)
-
-    # Longer words: the next cut of every cut, 0 where there is none.
-    def join(after, e):
-        start, size = _edge(e)
-        middle = F.get(after, start)
-        done = F.transform(after, lambda x, i: F.when(i == start, start + size).when(i == middle, F.lit(0)).otherwise(x))
-        return F.when((middle > 0) & (middle < start + size) & (F.get(after, middle) == start + size), done).otherwise(after)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fold(columns: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
+            new = np.zeros(len(columns[-1]), bool)
+            for c in columns[:-1]:
+                new[1:] |= c[1:] != c[:-1]
+            upto = len(new) if last else int(np.flatnonzero(new)[-1]) if new.any() else 0
+            done, rest = [c[:upto] for c in columns], [c[upto:] for c in columns]
+            if not upto:
+                return None, rest
+            on = merged(np.cumsum(new[:upto]), done[-1])
+            return made([c[on] for c in done[:-1]], done[-1][on]), rest
+
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            rows += b.num_rows
+            if rows >= FOLD:
+                out, rest = fold([np.concatenate(c) for c in zip(*held, strict=True)], False)
+                held, rows = [rest], len(rest[-1])
+                if out is not None:
+                    yield out
+        if rows:
+            yield fold([np.concatenate(c) for c in zip(*held, strict=True)], True)[0]
 
-    last = F.array_max(F.transform(edges, lambda e: _edge(e)[0] + _edge(e)[1]))
-    follow = lambda after: F.filter(edges, lambda e: F.get(after, _edge(e)[0]) == _edge(e)[0] + _edge(e)[1])
-    by_array = let(F.aggregate(edges, F.concat(F.sequence(F.lit(1), last), F.array(F.lit(0))), join), follow)
-    return F.when(short, by_bits).otherwise(by_array)
+    return edges.select(*keys, "edge").mapInArrow(run, schema)
 
 
 def viterbi(edges):
-    """The edges of the path of the largest score sum, coded as in _edge (without rank, and without characters that are no
+    """The edges of the path of the largest score sum, coded as in lattice (without rank, and without characters that are no
     piece); a fold forward and a fold back."""
     edges = F.sort_array(F.transform(edges, lambda e: F.struct((e["start"] + e["n"]).alias("end"), e["start"].alias("start"), e["id"].alias("id"), e["score"].alias("score"))))
     start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.struct(F.lit(-1).alias("id"), F.lit(0).alias("start"))).alias("last"))
@@ -244,11 +340,48 @@ def viterbi(edges):
     return F.aggregate(edges, start, relax, walk)
 
 
-def word_paths(words: DataFrame, model: PieceModel, keys: list[str], short) -> DataFrame:
-    """keys and `path` (edges as in _edge, in no order) of words; words of single characters alone are left out where the
-    model merges. short: a condition on keys, whether the word has SHORT characters at most."""
-    path = merged(F.col("edges"), short) if model.merges else viterbi(F.col("edges"))
-    return lattice(words, model, keys).select(*keys, path.alias("path"))
+def word_paths(words: DataFrame, model: PieceModel, keys: list[str], short=None) -> DataFrame:
+    """keys and `path` (edges as in lattice, in no order) of words; words of single characters alone are left out where the
+    model merges. short isn't needed any more."""
+    edges = lattice(words, model, keys)
+    if not model.merges:
+        return edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges")).select(*keys, viterbi(F.col("edges")).alias("path"))
+
+    def made(columns: list[np.ndarray], edges: np.ndarray) -> pa.RecordBatch:
+        new = np.zeros(len(edges), bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        paths = pa.ListArray.from_arrays(pa.array(np.append(first, len(edges)), pa.int32()), pa.array(edges, pa.int64()))
+        return pa.RecordBatch.from_arrays([*(pa.array(c[first]) for c in columns), paths], names=[*keys, "path"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
+    return _folded(edges, keys, made, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", path array<bigint>")
+
+
+FOUND = "key long, payload binary"
+
+
+def _bucket_paths(words: DataFrame, model: PieceModel) -> DataFrame:
+    """The paths of words (key, rank, word): key and many of its ranks and edges, packed."""
+
+    def packed(key: np.ndarray, rank: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+        cuts = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key)).tolist()
+        rows = [pack(rank[a:e].astype("<u4"), (edges[a:e] >> 20 & 0x7FFFFF).astype("<u4"), (edges[a:e] & 0xFFFFF).astype("<u4"), level=3) for a, e in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(key[cuts[:-1]], pa.int64()), pa.array(rows, pa.binary())], names=["key", "payload"])
+
+    if model.merges:
+        return _folded(lattice(words, model, ["key", "rank"]), ["key", "rank"], lambda c, e: packed(c[0], c[1], e), FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.compute.list_value_length(b.column(2)).to_numpy()
+            key, rank = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
+            order = np.argsort(key, kind="stable")
+            yield packed(key[order], rank[order], pa.compute.list_flatten(b.column(2)).to_numpy()[order])
+
+    return word_paths(words, model, ["key", "rank"]).mapInArrow(run, FOUND)
 
 
 class Speller:
@@ -290,52 +423,80 @@ ENCODED = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean"
 def encode(docs: DataFrame, model_path: str, *, id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document: the number of pieces, the CRC-32 of its ids as little-endian 32-bit numbers, and whether they decode
     to the text; with with_ids also the ids."""
-    model = PieceModel(model_path)
-    buckets = shuffle_parts(docs.sparkSession) * BUCKETS
-    blocks = text_blocks(docs, id=id, text=text, block_bytes=BLOCK, level=7, buckets=buckets)
-    words = _block_words(blocks, buckets)
-    found = _written_paths(word_paths(words, model, ["block", "rank"], F.col("rank").bitwiseAND(F.lit(1)) == 0), buckets)
+    spark, model = docs.sparkSession, PieceModel(model_path)
+    buckets = shuffle_parts(spark)
+    rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string"))
+    asked = _bucketed(_questions(rows, buckets), buckets, "block")
+    merged = _bucketed(asked.where("ask is not null").select("key", "block", "ask").groupBy("key").applyInArrow(_merge, MERGED), buckets)
+    released(spark)
+    found = _bucketed(_bucket_paths(_bucket_words(merged), model), buckets)
     spelling, speller = model.as_bytes(), Speller(model)
 
-    def body(block: int, texts: Texts, table: pa.Table) -> pa.Table:
-        words, members = _ranked(texts)
-        marked = [MARK + w if len(w) < MAX_WORD else "" for w in words]
-        owner, edges = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if table.num_rows:
-            lists = table.column("path").combine_chunks()
-            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-            edges = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(table.column("rank").to_numpy().astype(np.int64) >> 1, lists.value_lengths().to_numpy(zero_copy_only=False))
-        flat, lengths = speller.ids(marked, owner, edges)
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, words = left.column("key")[0].as_py(), _unpressed(left.column("state")[0].as_py())
+        parts = [unpack(p.as_py()) for p in right.column("payload")]
+        owner, where, piece = (np.concatenate([p[i] for p in parts] or [np.zeros(0, "<u4")]).astype(np.int64) for i in range(3))
+        order = np.argsort(owner, kind="stable")
+        owner, edges, library = owner[order], (where << 20 | piece)[order], None
+        flats, sizes, right_ = [], [], np.ones(len(words), bool)
+        for lo in range(0, len(words), SPELL):
+            some = words[lo : lo + SPELL]
+            a, e = np.searchsorted(owner, [lo, lo + len(some)])
+            long = {i for i, w in enumerate(some) if _is_long(w)}
+            flat, lengths = speller.ids(["" if i in long else MARK + w.decode("utf-8", "surrogatepass") for i, w in enumerate(some)], owner[a:e] - lo, edges[a:e])
+            if long:
+                import sentencepiece
+
+                library = library or sentencepiece.SentencePieceProcessor(model_file=model_path)
+                each = np.split(flat, np.cumsum(lengths)[:-1])
+                for i in long:
+                    each[i] = np.array(library.encode(some[i].decode("utf-8", "surrogatepass").replace(MARK, " ")), np.int32)
+                flat, lengths = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+            ids, at = flat.tolist(), 0
+            for i, (w, k) in enumerate(zip(some, lengths.tolist(), strict=True)):
+                right_[lo + i] = b"".join([spelling[x] for x in ids[at : at + k]]) == mark + w
+                at += k
+            flats.append(flat)
+            sizes.append(lengths)
+        flat, lengths = np.concatenate(flats).astype("<u2" if model.size <= 1 << 16 else "<u4"), np.concatenate(sizes)
         starts = np.cumsum(lengths) - lengths
-        long = [r for r, w in enumerate(words) if len(w) >= MAX_WORD]
-        if long:
-            import sentencepiece
-
-            library = sentencepiece.SentencePieceProcessor(model_file=model_path)
-            for r in long:
-                found = np.array(library.encode(words[r].replace(MARK, " ")), np.int32)
-                starts[r], lengths[r], flat = len(flat), len(found), np.concatenate([flat, found])
-        right = np.ones(len(words), bool)
-        for w, (word, a, k) in enumerate(zip(words, starts.tolist(), lengths.tolist(), strict=True)):
-            right[w] = b"".join([spelling[i] for i in flat[a : a + k].tolist()]) == (MARK + word).encode("utf-8", "surrogatepass")
-        ids = []
-        for m in members:
-            k = lengths[m]
-            ends = np.cumsum(k)
-            total = int(ends[-1]) if len(ends) else 0
-            ids.append(flat[np.repeat(starts[m] - (ends - k), k) + np.arange(total)] if total else np.zeros(0, np.int32))
-        columns = {
-            "doc_id": texts.id_array(),
-            "n_pieces": pa.array([len(x) for x in ids], pa.int64()),
-            "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-            "round_trip": pa.array([bool(right[m].all()) for m in members], pa.bool_()),
-        }
-        if with_ids:
-            columns["ids"] = pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))
-        return pa.table(columns)
-
-    return answered(blocks, found, body, ENCODED + (", ids array<int>" if with_ids else ""))
+        blocks, counts, back = unpack(left.column("asked")[0].as_py())
+        out = []
+        for block, mine in zip(blocks.tolist(), np.split(back, np.cumsum(counts)[:-1]), strict=True):
+            out.append(("answer", key, block, pack(lengths[mine].astype("<u4"), right_[mine].astype("<u1"), _taken(flat, starts[mine], lengths[mine]))))
+        return pa.Table.from_batches([_row(out)])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"doc_id": [], "n_pieces": [], "ids_crc32": [], "round_trip": [], "ids": []}
+        if left.num_rows:
+            numbers, null, counts, places = unpack(left.column("texts")[0].as_py())
+            keys, payloads = right.column("key").to_numpy(), right.column("payload")
+            parts = [unpack(payloads[i].as_py()) for i in np.argsort(keys).tolist()]
+            lengths, good, flat = (np.concatenate([p[i] for p in parts] or [np.zeros(0, "<u4")]) for i in range(3))
+            lengths = lengths.astype(np.int64)
+            starts = np.cumsum(lengths) - lengths
+            for m in np.split(places, np.cumsum(counts.astype(np.int64))[:-1]):
+                x = _taken(flat, starts[m], lengths[m])
+                out["n_pieces"].append(len(x))
+                out["ids_crc32"].append(zlib.crc32(x.astype("<u4").tobytes()))
+                out["round_trip"].append(bool(good[m].all()))
+                if with_ids:
+                    out["ids"].append(x.tolist())
+            out["doc_id"] = pa.array(numbers, pa.int64(), mask=null.astype(bool))
+        kinds = {"doc_id": pa.int64(), "n_pieces": pa.int64(), "ids_crc32": pa.int64(), "round_trip": pa.bool_()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
+        return pa.table({n: pa.array(out[n], k) if isinstance(out[n], list) else out[n] for n, k in kinds.items()})
+
+    mark = MARK.encode()
+    answers = merged.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(answer, ROW)
+    texts = asked.where("texts is not null").select("block", "texts")
+    return texts.groupBy("block").cogroup(answers.select("key", "block", "payload").groupBy("block")).applyInArrow(finish, ENCODED + (", ids array<int>" if with_ids else ""))
+
+
+def _taken(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices of flat, one after another."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
 def decode(encoded: DataFrame, model_path: str, *, id: str = "doc_id", ids: str = "ids") -> DataFrame:

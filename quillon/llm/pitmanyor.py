@@ -311,10 +311,10 @@ class Model:
         return (np.maximum(c - self.discount[level] * t, 0) + self.weight(level, tables) * parent) / (STRENGTH[level] + customers)
 
 
-def _bucketed(df: DataFrame, n: int) -> DataFrame:
-    """df written once as a table in n buckets by key, which later groupings by key don't shuffle."""
+def _bucketed(df: DataFrame, n: int, by: str = "key") -> DataFrame:
+    """df written once as a table in n buckets by key (or block), which later groupings by it don't shuffle."""
     spark, name = df.sparkSession, f"lm_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, "key").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(n, by).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     out = spark.table(name)
     out.schema  # resolved now; the files stay when the name goes
     spark.sql(f"DROP TABLE {name}")

@@ -143,6 +143,21 @@ def spelled(model, words, found):
     return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
 
 
+def test_a_word_of_many_blocks_is_encoded_once(spark, monkeypatch):
+    """The lattice gets each distinct word of the corpus once, and every text its own words' ids back."""
+    import sentencepiece
+
+    path, text = queries.tokenizer_path("piece_bpe_32k.model"), "the same words  in every▁block " + "é" * 70
+    docs = spark.createDataFrame([(i, text if i % 3 else f"{text} number{i % 7}") for i in range(60)], "doc_id long, text string").repartition(5)
+    seen, plain = [], pieces._bucket_words
+    monkeypatch.setattr(pieces, "_bucket_words", lambda states: seen.append(plain(states)) or seen[0])
+    m, given = sentencepiece.SentencePieceProcessor(model_file=path), dict(texts(docs))
+    for r in pieces.encode(docs, path, with_ids=True).collect():
+        assert list(r.ids) == m.encode(given[r.doc_id]) and r.round_trip
+    words = [r.word for r in seen[0].collect()]
+    assert len(words) == len(set(words)) == len({w for t in given.values() for w in pieces.words_of_text(t)})
+
+
 def test_viterbi_is_the_best_path(spark):
     model = pieces.PieceModel(queries.tokenizer_path("piece_bpe_32k.model"))
     words = ["▁the", "▁word𝄞s", "▁abcdefgh", "▁"]
