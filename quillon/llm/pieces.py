@@ -249,7 +249,7 @@ def lattice(words: DataFrame, model: PieceModel, keys: list[str]) -> DataFrame:
 def merged(word: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Which edges are on their word's path by merge ranks; word: ascending numbers, from 0. Characters between them stand alone."""
     start, size = (edges >> 27) & 0xFFFF, (edges >> 20) & 0x7F
-    order = np.argsort(word << 31 | (edges >> 43) << 16 | start)
+    order = np.argsort(word << 36 | (edges >> 43) << 16 | start)  # ranks have 20 bits as ids have
     first = np.flatnonzero(np.diff(word, prepend=-1))
     count = np.diff(np.append(first, len(word)))
     long = np.maximum.reduceat(start + size, first) > SHORT

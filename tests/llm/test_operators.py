@@ -143,6 +143,13 @@ def spelled(model, words, found):
     return [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
 
 
+def test_merge_ranks_of_large_models():
+    """Of abc the bc is merged first, whatever ranks the words beside it have."""
+    edge = lambda rank, start: rank << 43 | start << 27 | 2 << 20
+    edges = np.array([edge(1_000_000, 0), edge(40_000, 1), edge(3, 0), edge(1, 1), edge(70_000, 0), edge(65_536, 1)], np.int64)
+    assert pieces.merged(np.array([0, 0, 1, 1, 2, 2]), edges).tolist() == [False, True] * 3
+
+
 def test_a_word_of_many_blocks_is_encoded_once(spark, monkeypatch):
     """The lattice gets each distinct word of the corpus once, and every text its own words' ids back."""
     import sentencepiece
