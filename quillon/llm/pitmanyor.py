@@ -15,9 +15,11 @@ probabilities of the sweeps after burn-in are averaged. Discounts are estimated
 Spread. Texts are read once, in blocks. A block asks, for each of its distinct (context, token) pairs, in the bucket
 of the token's hash; a bucket merges the counts of all blocks, samples its own dishes, and answers every
 block's pairs in the order asked. All training text is counted; nothing is pruned. A token is at most once in a block's
-question, so frequent words make no hot bucket. A restaurant's dishes lie in many buckets: the bucket of the context's
-own hash sums its tables, and after each sweep every bucket sends the sums of its contexts there and gets the totals
-back. Neither the driver nor a broadcast holds anything by context.
+question, so frequent words make no hot bucket. A restaurant's dishes lie in many buckets: the owner of the range that
+the context's hash is in sums its tables, and after each sweep every bucket sends the sums of its contexts there and gets
+the totals back. There are as many owners as the contexts need: at most as many as let a message hold LEAST contexts on
+the average, but enough that none gathers more than some MOST. So messages grow with the contexts, not with the square of
+the buckets, up to MOST / LEAST buckets. Neither the driver nor a broadcast holds anything by context.
 
 Defined cases: null and empty texts are one end token; without training texts N and V are 0 and every token has
 probability 1; repeated rows count and are scored each; other columns are not read.
@@ -44,6 +46,7 @@ END = b""  # no word is empty
 BURN_IN, SAMPLES = 5, 5
 STRENGTH = (2.0, 10.0)  # of the contexts, the root
 STEPS = 24  # customers seated one by one before waiting times are drawn
+LEAST, MOST = 1 << 12, 1 << 21  # contexts in a message to an owner, on the average; those that one owner gathers
 
 
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
@@ -173,14 +176,14 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, ROW)
 
 
-def _merge(table: pa.Table, buckets: int) -> pa.Table:
+def _merge(table: pa.Table) -> pa.Table:
     """All blocks' questions to one bucket -> one state row: distinct pairs with their counts, and each block's pairs.
 
     A packed text, which has a key of its own, passes through.
     """
     is_text = np.array([k == "text" for k in table.column("kind").to_pylist()], bool)
     texts, table = table.filter(pa.array(is_text)), table.filter(pa.array(~is_text))
-    rows = [("text", k, b, p, None) for k, b, p in zip(*(texts.column(c).to_pylist() for c in ("key", "block", "payload")), strict=True)]
+    rows = [("text", k, b, None, p, None) for k, b, p in zip(*(texts.column(c).to_pylist() for c in ("key", "block", "payload")), strict=True)]
     if table.num_rows:
         blocks = table.column("block").to_numpy()
         order = np.argsort(blocks, kind="stable")
@@ -195,21 +198,23 @@ def _merge(table: pa.Table, buckets: int) -> pa.Table:
         per_word = np.concatenate([a[2] for a in asked])
         every = np.concatenate([a[3].astype(np.uint64) | a[4].astype(np.uint64) << np.uint64(32) for a in asked])
         contexts, context = np.unique(every, return_inverse=True)
-        by_owner = np.argsort(contexts % np.uint64(buckets), kind="stable")
-        place = np.empty(len(contexts), np.int64)
-        place[by_owner] = np.arange(len(contexts))
-        keys = np.repeat(word, per_word) << 32 | place[context]
+        keys = np.repeat(word, per_word) << 32 | context
         pairs, back = np.unique(keys, return_inverse=True)
         c = np.bincount(back, np.concatenate([a[5] for a in asked]), minlength=len(pairs)).astype("<u4")
-        state = pack((pairs >> 32).astype("<u4"), (pairs & 0xFFFFFFFF).astype("<u4"), c, *_halves(contexts[by_owner]))
+        state = pack((pairs >> 32).astype("<u4"), (pairs & 0xFFFFFFFF).astype("<u4"), c, *_halves(contexts))
         sizes = np.array([len(a[3]) for a in asked], "<i8")
-        rows.append(("state", table.column("key")[0].as_py(), None, state, pack(blocks[order].astype("<i8"), sizes, back.astype("<u4"))))
+        rows.append(("state", table.column("key")[0].as_py(), None, len(contexts), state, pack(blocks[order].astype("<i8"), sizes, back.astype("<u4"))))
     columns = list(zip(*rows, strict=True))
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "key", "block", "state", "asked"), columns, kinds, strict=True)})
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("kind", "key", "block", "contexts", "state", "asked"), columns, kinds, strict=True)})
 
 
-MERGED = "kind string, key long, block long, state binary, asked binary"
+MERGED = "kind string, key long, block long, contexts long, state binary, asked binary"
+
+
+def owner_count(contexts: int, buckets: int) -> int:
+    """How many owners `contexts` have, counted in each bucket that has them."""
+    return max(1, min(buckets, contexts // (buckets * LEAST)), -(-contexts // MOST))
 
 
 def reseat(customers: np.ndarray, discount: float, new: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -239,7 +244,7 @@ def reseat(customers: np.ndarray, discount: float, new: np.ndarray, rng: np.rand
 class Dishes:
     """One bucket's dishes in the contexts and in the root, and sweeps over them.
 
-    contexts are the hashes of the bucket's contexts, by owner; every total by context is in their order.
+    contexts are the hashes of the bucket's contexts, ascending; every total by context is in their order.
     """
 
     def __init__(self, state: bytes, key: int, seats: bytes | None = None):
@@ -274,7 +279,7 @@ class Dishes:
         self.c0 = np.bincount(self.word, self.t1, minlength=self.n_words).astype(np.int64)
         self.t0 = reseat(self.c0, model.discount[1], np.full(self.n_words, model.weight(1, model.root_tables)) / (model.types + 1), rng)
 
-    def rows(self, number: int, buckets: int, *, first: bool = False) -> pa.RecordBatch:
+    def rows(self, number: int, owners: int, *, first: bool = False) -> pa.RecordBatch:
         """Seats, tables by context to the contexts' owners, and sums of the root; first also the contexts' customers."""
         by_word = np.bincount(self.word, self.c, minlength=self.n_words)
         sums = [self.c.sum(), (by_word > 0).sum(), (self.c == 1).sum(), (self.c == 2).sum(), (self.c0 == 1).sum(), (self.c0 == 2).sum(), self.c0.sum(), self.t0.sum()]
@@ -283,18 +288,17 @@ class Dishes:
         if first:
             sent += [("customers", self.by_context(self.c).astype("<u4"))]
         for kind, values in sent:
-            out += [(kind, owner, self.key, pack(values[lo:hi])) for owner, lo, hi in self.by_owner(buckets)]
+            out += [(kind, owner, self.key, pack(values[lo:hi])) for owner, lo, hi in self.by_owner(owners)]
         return _row(out)
 
-    def by_owner(self, buckets: int) -> list[tuple[int, int, int]]:
-        """(owner, first, last + 1) of the contexts of each owner."""
-        owner = (self.contexts % np.uint64(buckets)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1)).tolist() + [len(owner)]
-        return [(int(owner[lo]), lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    def by_owner(self, owners: int) -> list[tuple[int, int, int]]:
+        """(owner, first, last + 1) of the contexts of each owner; owners have equal ranges of the hashes."""
+        cuts = np.searchsorted(self.contexts, np.array([-(-(i << 48) // owners) for i in range(owners + 1)], np.uint64)).tolist()
+        return [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
 
-    def asking(self, buckets: int) -> pa.RecordBatch:
+    def asking(self, owners: int) -> pa.RecordBatch:
         """The contexts themselves, to their owners."""
-        return _row([("contexts", owner, self.key, pack(*_halves(self.contexts[lo:hi]))) for owner, lo, hi in self.by_owner(buckets)] or [("contexts", self.key, self.key, pack(*_halves(self.contexts)))])
+        return _row([("contexts", owner, self.key, pack(*_halves(self.contexts[lo:hi]))) for owner, lo, hi in self.by_owner(owners)])
 
 
 class Model:
@@ -365,13 +369,13 @@ def _joined(table: pa.Table, kind: str) -> np.ndarray:
     return np.concatenate([unpack(p)[0] for _, p in _ordered(table, kind)]).astype(np.int64)
 
 
-def _swept(states: DataFrame, rows: DataFrame, model: Model, number: int, buckets: int) -> DataFrame:
+def _swept(states: DataFrame, rows: DataFrame, model: Model, number: int, owners: int) -> DataFrame:
     """One sweep of every bucket; rows: its seats and the tables by context."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         dishes = Dishes(left.column("state")[0].as_py(), left.column("key")[0].as_py(), _ordered(right, "seats")[0][1])
         dishes.sweep(model, _joined(right, "tables"), number)
-        return pa.Table.from_batches([dishes.rows(number, buckets)])
+        return pa.Table.from_batches([dishes.rows(number, owners)])
 
     return states.select("key", "state").groupBy("key").cogroup(rows.groupBy("key")).applyInArrow(run, ROW)
 
@@ -423,18 +427,19 @@ def score_texts(docs: DataFrame, learn: Column, *, id: str = "doc_id", text: str
     rows = docs.select(F.col(id).cast("long"), F.col(text).cast("string"), F.coalesce(learn, F.lit(False)))
     # One exchange carries the questions to their buckets and each packed text to a group of its own; both are written there.
     with small_batches(spark, BATCH):
-        merged = _bucketed(_questions(rows, buckets).groupBy("key").applyInArrow(lambda t: _merge(t, buckets), MERGED), buckets)
+        merged = _bucketed(_questions(rows, buckets).groupBy("key").applyInArrow(_merge, MERGED), buckets)
     released(spark)
     states = merged.where("kind = 'state'").select("key", "state", "asked")
-    rows = staged(_each(states, lambda dishes: dishes.rows(0, buckets, first=True)), "lm-start", ["kind"]).select("kind", "key", "block", "payload")
+    n_owners = owner_count(merged.agg(F.sum("contexts")).first()[0] or 0, buckets)
+    rows = staged(_each(states, lambda dishes: dishes.rows(0, n_owners, first=True)), "lm-start", ["kind"]).select("kind", "key", "block", "payload")
     tokens, types, p1, p2, u1, u2, *root = _root_sums(rows)
     discount = (_discount(p1, p2), _discount(u1, u2))
-    owners = _bucketed(_each(states, lambda dishes: dishes.asking(buckets)).groupBy("key").applyInArrow(_own, "key long, places binary"), buckets)
+    owners = _bucketed(_each(states, lambda dishes: dishes.asking(n_owners)).groupBy("key").applyInArrow(_own, "key long, places binary"), buckets)
     released(spark)
     seen, models = _totals(owners, rows, "customers"), {}
     for i in range(1, burn_in + samples + 1):
         given = rows.where("kind = 'seats'").unionByName(_totals(owners, rows, "tables"))
-        rows = staged(_swept(states, given, Model(tokens, types, discount, *root), i, buckets), "lm-sweep", ["kind"]).select("kind", "key", "block", "payload")
+        rows = staged(_swept(states, given, Model(tokens, types, discount, *root), i, n_owners), "lm-sweep", ["kind"]).select("kind", "key", "block", "payload")
         root = _root_sums(rows)[-2:]
         if i > burn_in:
             models[i] = Model(tokens, types, discount, *root)

@@ -266,6 +266,31 @@ def test_pitman_yor_restaurants_grow_with_the_words():
     assert len(set(contexts.tolist())) == 3002  # the words, `same` and the end
 
 
+def test_pitman_yor_messages_grow_with_the_buckets(spark, monkeypatch):
+    """A sweep's rows are in proportion to the buckets, not to their square, and each bucket gets all its totals back."""
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 60) % 3000)) for i in range(200)]
+    docs, made, keep = spark.createDataFrame(rows, "doc_id long, text string"), [], pitmanyor.staged
+
+    def counted(df, name, *more):
+        out = keep(df, name, *more)
+        if name == "lm-sweep":
+            made.append(out.count())
+        return out
+
+    def scores(buckets):
+        monkeypatch.setattr(pitmanyor, "shuffle_parts", lambda spark: buckets)
+        return {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in pitmanyor.score_texts(docs, F.col("doc_id") % 5 != 0, burn_in=1, samples=1).collect()}
+
+    monkeypatch.setattr(pitmanyor, "staged", counted)
+    few, many = scores(4), scores(32)
+    assert made[2] == made[3] <= 8 * made[0]
+    assert {i: r[:3] for i, r in few.items()} == {i: r[:3] for i, r in many.items()} and len(many) == 200
+    # With more owners than buckets the messages are others, and the totals, so the scores, the same.
+    monkeypatch.setattr(pitmanyor, "MOST", 100)
+    assert scores(4) == few and made[4] > 2 * made[0]
+
+
 def test_pitman_yor_without_rows(none):
     assert pitmanyor.score_texts(none, F.lit(True)).count() == 0
 
