@@ -28,6 +28,7 @@ probability 1; repeated rows count and are scored each; other columns are not re
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,15 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, shuffle_parts, small_batches, staged, words_of
-from .tokens import byte_slices
+from .common import released, shared_dir, shuffle_parts, small_batches, staged
 
 BLOCK = 6 << 20
 BATCH = 2 << 20  # bytes of rows that go to Python at once, where they are computed at once
 END = b""  # no word is empty
 BURN_IN, SAMPLES = 5, 5
 STRENGTH = (2.0, 10.0)  # of the contexts, the root
-STEPS = 24  # customers seated one by one before waiting times are drawn
+STEPS = 24  # customers seated one by one before many are in a round
 LEAST, MOST = 1 << 12, 1 << 21  # contexts in a message to an owner, on the average; those that one owner gathers
 
 
@@ -55,7 +55,9 @@ def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
 
     parts = []
     for a in arrays:
-        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        planes, values = np.empty((a.itemsize, len(a)), np.uint8), np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        for k in range(a.itemsize):  # much faster than a transposed copy
+            planes[k] = values[:, k]
         parts += [struct.pack("<2sxxxxxxq", a.dtype.str[1:].encode(), len(a)), planes.tobytes()]
     return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
@@ -68,7 +70,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
         kind, n = struct.unpack_from("<2sxxxxxxq", raw, at)
         dtype = np.dtype("<" + kind.decode())
         planes = np.frombuffer(raw, np.uint8, n * dtype.itemsize, at + 16).reshape(dtype.itemsize, n)
-        a = np.ascontiguousarray(planes.T).view(dtype).reshape(n)
+        values = np.empty((n, dtype.itemsize), np.uint8)
+        for k in range(dtype.itemsize):
+            values[:, k] = planes[k]
+        a = values.view(dtype).reshape(n)
         out.append(a)
         at += 16 + a.nbytes
     return out
@@ -78,37 +83,60 @@ def _halves(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return contexts.astype("<u4"), (contexts >> np.uint64(32)).astype("<u2")
 
 
-class _Codes(dict):
-    def __missing__(self, word):
-        self[word] = i = len(self)
-        return i
+def _bytes_list(a: pa.Array) -> list[bytes]:
+    """to_pylist of a binary array that is no slice and has no nulls, some four times as fast."""
+    if not len(a):
+        return []
+    data = bytes(a.buffers()[2] or b"")
+    return [data[i:j] for i, j in itertools.pairwise(np.frombuffer(a.buffers()[1], np.int32, len(a) + 1).tolist())]
 
 
 class Block:
     """Collects texts; question() gives the packed pairs by bucket and the packed texts in terms of them."""
 
     def __init__(self):
-        self.codes, self.size = _Codes(), 0
-        self.tokens: list[np.ndarray] = []
-        self.ids: list[np.ndarray] = []
+        self.size = 0
+        self.words: list[pa.Array] = []
+        self.ids: list[pa.Array] = []
         self.counts: list[np.ndarray] = []
         self.learn: list[np.ndarray] = []
 
-    def add(self, ids: list[int], texts: list[str | None], learn: list[bool]) -> None:
-        lists = [words_of(t) for t in texts]
-        flat: list[bytes] = []
-        for ws in lists:
-            ws.append(END)
-            flat += ws
-        self.tokens.append(np.fromiter(map(self.codes.__getitem__, flat), np.int32, len(flat)))
-        self.counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
-        self.ids.append(pa.array(ids, pa.int64()))
+    def add(self, ids: pa.Array | list[int | None], texts: pa.Array | list[str | None], learn: pa.Array | list[bool]) -> None:
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        # As words_of, but for empty strings at a text's ends: these kernels act on the same ASCII characters only.
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        self.words.append(lists.flatten().cast(pa.binary()))
+        self.counts.append(np.asarray(lists.value_lengths()))
+        self.ids.append(pa.array(ids.to_pylist() if isinstance(ids, pa.Array) else ids, pa.int64()))  # a slice would hold its batch
         self.learn.append(np.array(learn, bool))
-        self.size += sum(len(t or "") for t in texts)
+        self.size += pc.sum(pc.binary_length(texts)).as_py() or 0
+
+    def tokens(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct tokens, END last; the texts' tokens by their places there; and how many each text has. Called once."""
+        coded = pa.chunked_array(self.words, pa.binary()).dictionary_encode()
+        self.words.clear()
+        words = _bytes_list(coded.chunk(0).dictionary)
+        codes = np.concatenate([np.asarray(c.indices) for c in coded.chunks])
+        counts = np.concatenate(self.counts).astype(np.int64)
+        if END in words:  # empty strings, which are no words: the last word takes their place among the distinct ones
+            empty = words.index(END)
+            full = codes != empty
+            counts = np.diff(np.append(0, np.cumsum(full))[np.append(0, np.cumsum(counts))])
+            codes = codes[full]
+            words[empty] = words[-1]
+            codes[codes == len(words) - 1] = empty
+            words.pop()
+        counts += 1
+        tokens, is_word = np.full(len(codes) + len(counts), len(words), np.int32), np.ones(len(codes) + len(counts), bool)
+        is_word[np.cumsum(counts) - 1] = False
+        tokens[is_word] = codes
+        return [*words, END], tokens, counts
 
     def question(self, buckets: int) -> tuple[list[tuple[int, bytes]], bytes]:
-        words = list(self.codes)
-        tokens, counts, learn = np.concatenate(self.tokens), np.concatenate(self.counts), np.concatenate(self.learn)
+        words, tokens, counts = self.tokens()
+        learn = np.concatenate(self.learn)
         digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in words), "<u8").reshape(-1, 2)
         digests = np.stack([digests[:, 0], digests[:, 1] & np.uint64(0xFFFF)], 1)
         order = np.lexsort((digests[:, 1], digests[:, 0], digests[:, 0] % np.uint64(buckets)))
@@ -116,7 +144,7 @@ class Block:
         rank[order] = np.arange(len(words))
         before = np.empty(len(tokens), np.int64)
         before[1:] = tokens[:-1]
-        before[np.cumsum(counts) - counts] = self.codes[END]  # a text's start
+        before[np.cumsum(counts) - counts] = len(words) - 1  # a text's start
         keys = rank[tokens] << 32
         keys |= rank[before]
         del tokens, before, words
@@ -153,6 +181,7 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows `ask` (key: bucket) and `text` (key: above the buckets, its own) of all blocks of docs (doc_id, text, learn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         base, block, done = TaskContext.get().partitionId() << 24, Block(), 0
@@ -162,15 +191,18 @@ def _questions(docs: DataFrame, buckets: int) -> DataFrame:
             for i in range(0, len(asks), 64):
                 yield _row([("ask", b, base + done, p) for b, p in asks[i : i + 64]])
             yield _row([("text", buckets + base + done, base + done, texts)])
+            pa.default_memory_pool().release_unused()  # the process stays for later stages
 
         for b in batches:
-            ids, texts, learn = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for lo, hi in byte_slices(texts, 1 << 20):
-                block.add(ids.slice(lo, hi - lo).to_pylist(), texts[lo:hi], [bool(x) for x in learn[lo:hi]])
+            ends, lo = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0)), dtype=np.int64), 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
+                block.add(*(c.slice(lo, hi - lo) for c in b.columns))
+                lo = hi
                 if block.size >= BLOCK:
                     yield from close()
                     block, done = Block(), done + 1
-        if block.tokens:
+        if block.ids:
             yield from close()
 
     return docs.mapInArrow(run, ROW)
@@ -227,17 +259,34 @@ def reseat(customers: np.ndarray, discount: float, new: np.ndarray, rng: np.rand
         t, a = tables[live], new[live]
         tables[live] = t + (rng.random(len(live)) * (a + k - discount * t) < a)
         live = live[customers[live] > k + 1]
-    # For the many customers left, waiting times until the next new table: the chance that m in a row
-    # join is about ((k - dt) / (k - dt + m)) ** a.
-    seated = np.full(len(live), float(STEPS))
+    # For the many customers left: as the chance falls with each customer, those at new tables are among candidates drawn
+    # by the chance at a round's start, each kept by the fall since. A round has about weight / 2 candidates of each dish.
+    seated = np.full(len(live), STEPS)
     while len(live):
-        held = np.maximum(seated - discount * tables[live], 1e-3)
-        with np.errstate(over="ignore"):
-            wait = held * np.expm1(-np.log(rng.random(len(live))) / np.maximum(new[live], 1e-12))
-        seated = seated + np.floor(np.minimum(wait, 1e15)) + 1
-        on = seated <= customers[live]
+        a, left = new[live], customers[live] - seated
+        start = a + seated - discount * tables[live]
+        n = np.clip(np.ceil(a / 2), 1, left).astype(np.int64)
+        ends = np.cumsum(n)
+        dish = np.repeat(np.arange(len(live)), n)
+        with np.errstate(divide="ignore"):
+            gaps = np.floor(np.log1p(-rng.random(len(dish))) / np.log1p(-a / start)[dish])
+        place = np.cumsum(np.minimum(gaps, left[dish]) + 1)
+        place -= np.repeat(np.append(0.0, place[ends[:-1] - 1]), n)
+        inside = place <= left[dish]
+        fall = place - 1 + start[dish] * (1 - 1 / (1 - rng.random(len(dish))))
+        # Kept are those whose fall is below what the new tables before them, again kept ones, give back.
+        kept = inside
+        while True:
+            before = np.cumsum(kept) - kept
+            before -= np.repeat(before[ends - n], n)
+            again = inside & (fall < discount * before)
+            if np.array_equal(again, kept):
+                break
+            kept = again
+        tables[live] += np.add.reduceat(kept, ends - n, dtype=np.int64)
+        seated = seated + np.minimum(place[ends - 1], left).astype(np.int64)
+        on = seated < customers[live]
         live, seated = live[on], seated[on]
-        tables[live] += 1
     return tables
 
 

@@ -302,6 +302,57 @@ def test_reseating_keeps_its_bounds():
     assert (t <= c).all() and (t[c > 0] >= 1).all() and t[0] == 0
 
 
+def exact_tables(customers, discount, new):
+    """The chance of each number of tables, customer by customer."""
+    p, t = np.zeros(customers + 2), np.arange(customers + 2)
+    p[1] = 1
+    for k in range(1, customers):
+        q = np.where((t > 0) & (t <= k), new / (new + k - discount * np.minimum(t, k)), 0)
+        p, more = p * (1 - q), (p * q)[:-1]
+        p[1:] += more
+    return p
+
+
+@pytest.mark.parametrize(("customers", "discount", "new"), [(25, 0.7, 0.5), (200, 0.9, 50.0), (400, 0.5, 400.0), (300, 0.7, 1e5), (400, 0.1, 1.0), (600, 0.72, 20.0)])
+def test_reseating_of_many_customers_is_exact(customers, discount, new):
+    runs, p = 20_000, exact_tables(customers, discount, new)
+    # Dishes of other sizes lie between, as rounds are of all dishes at once.
+    c, w = np.array([customers, 3, 90] * runs), np.array([new, 2.0, 7.0] * runs)
+    t = pitmanyor.reseat(c, discount, w, np.random.default_rng(3))[::3]
+    often = p * runs > 10
+    found = np.bincount(t, minlength=len(p))
+    assert ((found - runs * p)[often] ** 2 / (runs * p[often])).sum() < often.sum() + 5 * np.sqrt(2 * often.sum())
+    assert abs(t.mean() - (p * np.arange(len(p))).sum()) < 5 * t.std() / np.sqrt(runs)
+
+
+def test_reseating_takes_few_rounds():
+    """A dish of many tables takes rounds by the logarithm of its customers, not one for each table."""
+    rng, calls = np.random.default_rng(0), []
+
+    class Counted:
+        def random(self, n):
+            calls.append(n)
+            return rng.random(n)
+
+    t = pitmanyor.reseat(np.array([3, 400_000, 50]), 0.7, np.array([1.0, 5000.0, 1.0]), Counted())
+    assert t[1] > 20_000 and len(calls) < 200 and sum(calls) < 4 * t[1]
+
+
+def test_pitman_yor_blocks_have_the_words_of_the_texts():
+    from quillon.llm.common import words_of
+
+    rng = np.random.default_rng(0)
+    odd = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\x00", "a", "A", "Z", "É", "é", "İ", "K", "𝄞"]
+    for texts in ([None], ["", " "], ["a"], *([None, "", "".join(rng.choice(odd, rng.integers(0, 30))), " x ", "".join(rng.choice(odd, 9))] for _ in range(100))):
+        block = pitmanyor.Block()
+        for some in (texts[:2], texts[2:]):
+            block.add([1] * len(some), some, [True] * len(some))
+        words, tokens, counts = block.tokens()
+        want = [[*words_of(t), b""] for t in texts]
+        assert [words[k] for k in tokens] == [w for ws in want for w in ws] and counts.tolist() == [len(ws) for ws in want]
+        assert len(set(words)) == len(words)
+
+
 def brute_components(pairs, size, num, den):
     sets = []
     for _, text in pairs:
